@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evigrain.llm import mixing, simhash
+from evigrain.llm import media, mixing, pieces, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,8 +23,28 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(_table(spark, sf_dir, "documents"))
+
+
+def piece_model() -> bytes:
+    """The model that op6 encodes with."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        return f.read()
+
+
+def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_digests(pieces.encode_documents(_table(spark, sf_dir, "documents"), piece_model()))
+
+
+def piece_digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix}
+    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op5_media": op5_media, "op6_pieces": op6_pieces}
 
 
 def oracle_sql() -> dict[str, str]:
