@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import media, mixing, pieces, simhash
+from evigrain.llm import media, mixing, ngrams, pieces, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +43,12 @@ def piece_digests(encoded: DataFrame) -> DataFrame:
     return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngrams.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op5_media": op5_media, "op6_pieces": op6_pieces}
+    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm}
 
 
 def oracle_sql() -> dict[str, str]:
