@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import media, mixing, ngrams, pieces, simhash
+from evigrain.llm import covertree, media, mixing, ngrams, pieces, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,8 +47,12 @@ def op7_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngrams.score_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.link_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm}
+    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
