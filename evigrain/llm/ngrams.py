@@ -12,7 +12,6 @@ anywhere, and the sample has no influence on the counts.
 from __future__ import annotations
 
 import math
-import struct
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,6 +23,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evigrain.llm.runs import split_runs, unpack
 from evigrain.llm.staging import new_path, staged
 
 SHARD_BITS = 8, 14
@@ -75,21 +75,6 @@ def slices(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, held
 
 
-def pack(keys: np.ndarray, *values: np.ndarray) -> bytes:
-    """Sorted keys with 32-bit values, compressed."""
-    n = len(keys)
-    planes = [np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(n, 8).T.tobytes()]
-    planes += [v.astype(np.uint32).view(np.uint8).reshape(n, 4).T.tobytes() for v in values]
-    return struct.pack("<I", n) + pa.compress(b"".join(planes), codec="zstd", asbytes=True)
-
-
-def unpack(blob: bytes, values: int) -> list[np.ndarray]:
-    (n,) = struct.unpack_from("<I", blob)
-    raw = np.frombuffer(pa.decompress(blob[4:], decompressed_size=n * (8 + 4 * values), codec="zstd", asbytes=True), np.uint8)
-    keys = np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel(), dtype=np.uint64)
-    return [keys] + [np.ascontiguousarray(raw[(8 + 4 * i) * n : (12 + 4 * i) * n].reshape(4, n).T).view(np.uint32).ravel() for i in range(values)]
-
-
 def add_up(keys: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
     """Distinct keys, sorted, with the sums of their values."""
     if not len(keys):
@@ -126,11 +111,7 @@ def shard_of(keys: np.ndarray, hot: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _by_shard(keys: np.ndarray, shards: np.ndarray, kind: str, *values: np.ndarray) -> Iterator[tuple]:
-    """A packed run for each shard; ``keys`` are sorted."""
-    order = np.argsort(shards, kind="stable")
-    cuts = np.flatnonzero(np.diff(shards[order])) + 1
-    for rows in np.split(order, cuts) if len(order) else ():
-        yield kind, int(shards[rows[0]]), pack(keys[rows], *(v[rows] for v in values))
+    return ((kind, shard, blob) for shard, blob in split_runs(keys, shards, list(values)))
 
 
 def _runs(rows: list[tuple]) -> pa.RecordBatch:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import covertree, media, mixing, ngrams, pieces, simhash
+from evigrain.llm import covertree, linedup, media, mixing, ngrams, pieces, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.removed_lines(_table(spark, sf_dir, "documents"))
+
+
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings}
+    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op4_lines": op4_lines, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings}
 
 
 def oracle_sql() -> dict[str, str]:
