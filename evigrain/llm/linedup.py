@@ -66,8 +66,13 @@ def settle_equal(rows: Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order[later], leader[later], order[first]
 
 
-def settle_variants(rows: Rows, whole: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """As settle_equal, but between whole lines and variants of others only."""
+def settle_variants(rows: Rows, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As settle_equal, but between whole lines (place -1) and variants of others only.
+
+    Variants without the word at the same place settle among themselves elsewhere, so of each place
+    only the first one needs to be sent on.
+    """
+    whole = place < 0
     order, first = _groups(rows, whole)
     key = np.cumsum(np.isin(np.arange(len(order)), _groups(rows)[1])) - 1  # both orders list groups alike
     lead = np.full((2, len(order)), -1)
@@ -75,7 +80,8 @@ def settle_variants(rows: Rows, whole: np.ndarray) -> tuple[np.ndarray, np.ndarr
     other = lead[1 - whole[order].astype(int), key]
     later = other >= 0
     later[later] = _earlier(rows, other[later], order[later])
-    return order[later], other[later], order[first]
+    order_by_place, first_by_place = _groups(rows, place)
+    return order[later], other[later], order_by_place[first_by_place]
 
 
 def partners(rows: Rows) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +199,7 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later, keeper, first = settle_equal(same)
         yield _decisions(same, later, keeper, 1)
         yield from _runs("same", tuple(x[first] for x in same))
-        later, keeper, first = settle_variants(rows, ~part)
+        later, keeper, first = settle_variants(rows, place)
         yield _decisions(rows, later, keeper, 1)
         yield from _runs("less", tuple(x[first] for x in rows), (~part)[first])
         held.__init__()
@@ -229,7 +235,7 @@ def _in_shard(key: tuple, runs: pa.Table) -> pa.Table:
     elif kind == "same":
         out = [_decisions(rows, *settle_equal(rows)[:2], 1)]
     else:
-        out = [_decisions(rows, *settle_variants(rows, extra[0] == 1)[:2], 1)]
+        out = [_decisions(rows, *settle_variants(rows, np.where(extra[0] == 1, -1, 0))[:2], 1)]
     return pa.Table.from_batches(out)
 
 
