@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import covertree, linedup, media, mixing, ngrams, pieces, simhash
+from evigrain.llm import covertree, linedup, media, mixing, ngrams, pieces, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,8 +55,18 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents labelled as of good quality and not toxic."""
+    return _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps."""
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).where("kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op4_lines": op4_lines, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings}
+    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op4_lines": op4_lines, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
