@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import covertree, linedup, media, mixing, ngrams, pieces, quality, simhash
+from evigrain.llm import covertree, linedup, media, mixing, ngrams, pieces, quality, sanitise, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "fingerprint", "component_id")
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.span_digests(sanitise.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -66,7 +70,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_mix": op3_mix, "op4_lines": op4_lines, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings, "op10_quality": op10_quality}
+    return {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_mix": op3_mix, "op4_lines": op4_lines, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
