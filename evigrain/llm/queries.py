@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import covertree, linedup, media, mixing, ngrams, pieces, quality, sanitise, simhash
+from evigrain.llm import covertree, linedup, media, mixing, ngrams, pieces, quality, sanitise, secrets, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return covertree.link_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.find_secrets(_table(spark, sf_dir, "documents")))
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents labelled as of good quality and not toxic."""
     return _table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
@@ -70,7 +74,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_mix": op3_mix, "op4_lines": op4_lines, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings, "op10_quality": op10_quality}
+    return {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_mix": op3_mix, "op4_lines": op4_lines, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
