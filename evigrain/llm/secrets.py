@@ -39,30 +39,35 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
+HEX_SIGNS = bytes(120 if chr(i) in "0123456789abcdef" else 46 for i in range(256))
+HEX_RUN = b"x" * 32
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W\d_A-Za-z]+|\S")
-WITH_DIGIT = re.compile(r"[A-Za-z0-9]*[0-9][A-Za-z0-9]*")
+DIGITS = re.compile(r"[0-9]+")
+LETTERS = re.compile(r"[A-Za-z0-9]*")
+KEY_WORDS = ("pass", "pwd", "secret", "token", "api", "key", "auth", "cred")
 AFTER_KEY = re.compile(r"""(?:pass|pwd|secret|token|api|key|auth|cred)\w*["']?\s{0,4}[:=]\s{0,4}["']?(?=[A-Za-z0-9]{8})""", re.I)
 KEY_WORD = re.compile(r"pass|pwd|secret|token|api|key|auth|cred", re.I)
 SPACE = re.compile(r"\s")
 
 
+def _found(text: str) -> tuple[list, list, list]:
+    """The valid matches of each pattern; texts that can't hold one aren't searched."""
+    low = text.lower()
+    assign = [m for m in ASSIGN.finditer(text) if len(m[2]) >= 8] if any(w in low for w in ASSIGN_WORDS) else []
+    access = [m for m in ACCESS.finditer(text) if len(m[0]) >= 16] if "AKIA" in text else []
+    return assign, access, list(HEX.finditer(text)) if HEX_RUN in text.encode().translate(HEX_SIGNS) else []
+
+
 def pattern_spans(text: str) -> list[tuple[int, int, str]]:
     """The patterns' spans, by start, then kind as listed; matches that are too short are dropped."""
-    found = []
-    low = text.lower()
-    if any(w in low for w in ASSIGN_WORDS):
-        found += [(*m.span(), 0) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    if "AKIA" in text:
-        found += [(*m.span(), 1) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
-    found += [(*m.span(), 2) for m in HEX.finditer(text)]
-    found.sort(key=lambda x: (x[0], x[2]))
-    return [(a, b, KINDS[k]) for a, b, k in found]
+    found = sorted((m.start(), k, m.end()) for k, ms in enumerate(_found(text)) for m in ms)
+    return [(a, b, KINDS[k]) for a, k, b in found]
 
 
 def secret_spans(text: str) -> list[tuple[int, int]]:
     """What the patterns' matches hide: the value of an assignment, else the whole match."""
-    found = [m.span(2) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
-    return found + [m.span() for m in ACCESS.finditer(text) if len(m[0]) >= 16] + [m.span() for m in HEX.finditer(text)]
+    assign, access, long = _found(text)
+    return [m.span(2) for m in assign] + [m.span() for m in (*access, *long)]
 
 
 def shape(token: str) -> tuple[int, ...]:
@@ -98,10 +103,25 @@ def file_features(text: str) -> tuple[int, ...]:
 
 def pieces(text: str) -> list[tuple[int, int, set[int]]]:
     """The stretches between white space that may hold a secret, with the places where one may begin."""
-    starts = {m.start() for m in WITH_DIGIT.finditer(text) if m.end() - m.start() >= 8}
+    starts, upto = set(), 0
+    for m in DIGITS.finditer(text):  # digits are rare, so tokens are found from them
+        if m.start() >= upto:
+            begin, upto = m.start(), LETTERS.match(text, m.end()).end()
+            while begin and text[begin - 1].isascii() and text[begin - 1].isalpha():
+                begin -= 1
+            if upto - begin >= 8:
+                starts.add(begin)
     low = text.lower()
-    if any(w in low for w in ("pass", "pwd", "secret", "token", "api", "key", "auth", "cred")):
+    if len(low) != len(text):  # a few letters have longer lower forms, which move the places
         starts |= {m.end() for m in AFTER_KEY.finditer(text)}
+    else:
+        for word in KEY_WORDS:
+            at = low.find(word)
+            while at >= 0:
+                m = AFTER_KEY.match(text, at)
+                if m:
+                    starts.add(m.end())
+                at = low.find(word, at + 1)
     out: list[tuple[int, int, set[int]]] = []
     for start in sorted(starts):
         if out and start < out[-1][1]:
