@@ -318,8 +318,8 @@ def score_slice(model: KneserNey, arrays: Arrays, hashes: WordHashes, texts: lis
 
 def score(df: DataFrame, model: KneserNey, keep: list[Column], text: Column) -> DataFrame:
     """The columns ``keep`` of every row with ``n_tokens, n_known, base_score, score`` of its text."""
-    wanted = df.select(*keep, F.coalesce(text.cast("string"), F.lit("")).cast("binary").alias("_text"))
-    schema = wanted.drop("_text").schema
+    wanted = df.select(*keep, F.coalesce(text.cast("string"), F.lit("")).cast("binary").alias("text to score"))
+    schema = wanted.drop("text to score").schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrays, hashes = Arrays(model.path), WordHashes()
