@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from evigrain.plans import corpus, evaluation, evidence  # noqa: F401
+from evigrain.plans.registry import ORACLES, QUERIES  # noqa: F401
+
 FLAGSHIP = "coverage_3state"
