@@ -77,5 +77,24 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_mix": op3_mix, "op4_lines": op4_lines, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
 
 
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM d GROUP BY source),
+w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap, 3 * source_size / ((rank - 1) % 3 + 1) AS cap_by_weight FROM s),
+l AS (SELECT *, (sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - (sum(weight) OVER o - weight)) AS level FROM w WINDOW o AS (ORDER BY cap_by_weight, rank)),
+t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT arg_min(level, (cap_by_weight, rank)) FROM l WHERE level <= cap_by_weight)) AS target FROM l),
+p AS (SELECT d.*, source_size, target, round(target) AS quota, sum(size) OVER (PARTITION BY d.source ORDER BY md5('7|' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size) + greatest(0, least(start + 2 * source_size + size, quota) - start - 2 * source_size))::BIGINT AS taken FROM p
+"""
+
+OP8_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(x, y) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.x, l.y FROM r JOIN l ON r.y = l.x),
+c AS (SELECT x AS vec_id, min(y) AS component_id FROM r GROUP BY x)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mix": OP3_SQL, "op8_embeddings": OP8_SQL}
