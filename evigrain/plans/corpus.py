@@ -169,10 +169,10 @@ def longest_by_lang(table):
 
 
 @query(f"""WITH l AS ({LINES_SQL}), s AS (SELECT doc_id, seq, line, CASE WHEN regexp_matches(line, '^[A-Z]') AND length(line) < 60 THEN seq END AS h FROM l WHERE trim(line) <> '')
-SELECT doc_id, seq, CAST(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS INT) AS section_seq, lag(seq) OVER (PARTITION BY doc_id ORDER BY seq) AS previous_seq FROM s""")
+SELECT doc_id, seq, CAST(coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING), -1) AS INT) AS section_seq, coalesce(lag(seq) OVER (PARTITION BY doc_id ORDER BY seq), -1) AS previous_seq FROM s""")
 def carried_sections(table):
     """The last short capitalised line before each element stands for its section."""
     rows = elements.paragraphs(table("documents"))
     order = Window.partitionBy("doc_id").orderBy("seq")
     head = F.when(F.col("text").rlike("^[A-Z]") & (F.length("text") < 60), F.col("seq"))
-    return rows.select("doc_id", "seq", F.last(head, True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("section_seq"), F.lag("seq").over(order).alias("previous_seq"))
+    return rows.select("doc_id", "seq", F.last(head, True).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("section_seq"), F.lag("seq").over(order).alias("previous_seq")).na.fill(-1, ["section_seq", "previous_seq"])

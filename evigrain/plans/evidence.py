@@ -83,13 +83,13 @@ DENSE_SQL = f"""dd AS ({EMBED_SQL.format('doc_id', 'documents')}), dq AS ({EMBED
 
 @query(SPARSE_SQL + ", " + DENSE_SQL + """, f AS (SELECT coalesce(a.item_id, b.item_id) AS item_id, coalesce(a.doc_id, b.doc_id) AS doc_id, a.rank AS left_rank, b.rank AS right_rank, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score
 FROM (SELECT * FROM r WHERE rank <= 50) a FULL JOIN (SELECT * FROM dr WHERE rank <= 50) b ON a.item_id = b.item_id AND a.doc_id = b.doc_id),
-t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f) SELECT item_id, doc_id, left_rank, right_rank, round(score, 9) AS score, rank FROM t WHERE rank <= 10""")
+t AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 12) DESC, doc_id) AS rank FROM f) SELECT item_id, doc_id, coalesce(left_rank, 0) AS left_rank, coalesce(right_rank, 0) AS right_rank, round(score, 9) AS score, rank FROM t WHERE rank <= 10""")
 def rrf_hybrid(table):
     """Hashed sparse and dense rankings of all documents for each benchmark item, fused by reciprocal rank."""
     dense = relational.top_k(rules.dense_scores(table("benchmark"), "item_id", table("documents"), "doc_id"), ["item_id"], [F.desc("score"), F.asc("doc_id")], 50)
     both = relational.fused(_sparse_ranks(table, 50).select("item_id", "doc_id", "rank"), dense.select("item_id", "doc_id", "rank"), ["item_id"], "doc_id")
     best = relational.top_k(both, ["item_id"], [F.desc(F.round("score", 12)), F.asc("doc_id")], 10)
-    return best.withColumn("score", F.round("score", 9))
+    return best.withColumn("score", F.round("score", 9)).na.fill(0, ["left_rank", "right_rank"])
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, d.vec_id, round(list_dot_product(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 6) AS score FROM embeddings q JOIN embeddings d ON q.vec_id % 50 = 0 AND q.vec_id <> d.vec_id),
