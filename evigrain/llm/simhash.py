@@ -206,7 +206,7 @@ def simhash_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     fps = staged(fingerprints(df, id_col, text_col, width), "fingerprints")
     distinct = staged(fps.groupBy("fp").agg(F.min("id").alias("first_id"), F.min("second").alias("second")), "distinct")
     roots = connected_components(linked_fingerprints(distinct, max_distance), "a", "b")
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = staged(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    lowest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     groups = rooted.join(lowest, "root").select("fp", "component_id")
     return fps.join(groups, "fp").select(F.col("id").alias(id_col), "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -45,16 +45,18 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     Returns ``(node, root)`` for every node that has an edge to another one; ``root`` is the
     smallest node of its component. Self loops, nulls and repeated edges change nothing; no
     edges give no rows. Each round moves as many rows as there are edges, a node's minimum is
-    combined before the shuffle, and each round's edges are staged.
+    combined before the shuffle, and each round's edges are staged. So are the minima: a join with
+    a staged table is one whose large keys Spark can split, a join on an aggregation is not.
     """
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     now = staged(edges.where(F.col(a) != F.col(b)).select(u, v).distinct(), "edges")
     mark = _mark(now)
     while mark[0]:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = staged(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = staged(large, "large")
+        low = staged(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
         now = staged(small.unionByName(low.withColumnRenamed("m", "v")).distinct(), "edges")
         before, mark = mark, _mark(now)
