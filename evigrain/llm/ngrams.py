@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from evigrain.llm.runs import split_runs, unpack
 from evigrain.llm.staging import new_path, staged
 
-SHARD_BITS = 8, 14
+SHARD_BITS = 8, 20
 ROWS_PER_SHARD = 2000
 SALT_BITS = 6
 HOT_SHARE = 0.01
@@ -125,19 +125,19 @@ def _file(path: str, name: str) -> tuple[fs.FileSystem, str]:
 
 
 def _write(path: str, kind: str, shard: int, keys: np.ndarray, *values: np.ndarray) -> None:
-    """A shard's file: its sorted keys, then each of its 32-bit values. A repeated task writes the same bytes, and a complete file takes the place of another."""
+    """A shard's file: its sorted keys, then each of its values. A repeated task writes the same bytes, and a complete file takes the place of another."""
     files, target = _file(path, f"{kind}-{shard}")
     files.create_dir(target.rsplit("/", 1)[0], recursive=True)
     part = f"{target}.{uuid.uuid4().hex}"
     with files.open_output_stream(part) as out:
         out.write(keys.tobytes())
         for v in values:
-            out.write(np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes())
+            out.write(v.astype(VALUES[kind][1]).tobytes())
     files.move(part, target)
 
 
-#: Number of values that are stored with the keys of each kind.
-VALUES = {"pair": 1, "word": 1, "context": 4, "follow": 1}
+#: Number and type of the values that are stored with the keys of each kind; pairs' counts are exact to 2**24.
+VALUES = {"pair": (1, np.float32), "word": (1, np.uint64), "context": (4, np.uint64), "follow": (1, np.uint32)}
 
 
 class Arrays:
@@ -157,13 +157,16 @@ class Arrays:
             else:
                 with files.open_input_stream(target) as f:
                     raw = np.frombuffer(f.read(), np.uint8)
-            n = len(raw) // (8 + 4 * VALUES[kind])
-            self.there[kind, shard] = [raw[: 8 * n].view(np.uint64)] + [raw[(8 + 4 * i) * n : (12 + 4 * i) * n].view(np.uint32) for i in range(VALUES[kind])]
+            values, dtype = VALUES[kind]
+            size = np.dtype(dtype).itemsize
+            n = len(raw) // (8 + size * values)
+            parts = (raw[(8 + size * i) * n : (8 + size * (i + 1)) * n].view(dtype) for i in range(values))
+            self.there[kind, shard] = [raw[: 8 * n].view(np.uint64), *parts]
         return self.there[kind, shard]
 
     def join(self, kind: str, keys: np.ndarray, shards: np.ndarray) -> list[np.ndarray]:
         """For each key the values stored with it, 0 where there are none; keys are sorted within their shard."""
-        out = [np.zeros(len(keys), np.uint32) for _ in range(VALUES[kind])]
+        out = [np.zeros(len(keys), VALUES[kind][1]) for _ in range(VALUES[kind][0])]
         order = np.argsort(shards, kind="stable")
         for rows in np.split(order, np.flatnonzero(np.diff(shards[order])) + 1) if len(order) else ():
             stored, *values = self.get(kind, int(shards[rows[0]]))
@@ -261,14 +264,18 @@ def train(texts: DataFrame) -> KneserNey:
         rows = [(kind, shard, b"", len(keys), int(counts.sum()), *_counts_of_counts(counts))]
         if kind == "pair":
             first, second = keys >> HALF, keys & np.uint64(0xFFFFFFFF)
-            for name, parts in (("context", add_up(first, counts, counts == 1, counts == 2, counts >= 3)), ("follow", add_up(second, np.ones(len(keys))))):
+            words, total, *kinds = add_up(first, counts, counts == 1, counts == 2, counts >= 3)
+            context = words, total & 0xFFFFFFFF, total >> 32, *kinds
+            for name, parts in (("context", context), ("follow", add_up(second, np.ones(len(keys))))):
                 words = parts[0] << HALF
                 rows += [(k, s, b, 0, 0, 0, 0, 0, 0) for k, s, b in _by_shard(words, top_bits(words, bits), name, *parts[1:])]
         return _stats(rows)
 
     def by_word(key: tuple, runs: pa.Table) -> pa.Table:
         kind, shard = key[0].as_py(), key[1].as_py()
-        keys, *values = merged(runs.column("blob").to_pylist(), VALUES[kind])
+        keys, *values = merged(runs.column("blob").to_pylist(), 5 if kind == "context" else 1)
+        if kind == "context":
+            values = [values[0] + (values[1] << 32), *values[2:]]
         _write(path, kind, shard, keys, *values)
         return _stats([(kind, shard, b"", len(keys), int(values[0].sum()), *_counts_of_counts(values[0]))])
 
