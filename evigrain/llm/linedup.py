@@ -15,6 +15,7 @@ itself, so a key that a third of all lines hold moves one row for each task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from evigrain.llm.staging import staged
 MIN_WORDS = 5
 LONG_WORDS = 16
 HELD_ROWS = 2 << 20
-SHARD_BITS = 9
+SHARD_BITS = 9, 18
+ROWS_PER_SHARD = 2000
 SIGN = np.uint64(1 << 63)
 RUN = "kind string, shard int, blob binary, doc long, line int, keeper_doc long, keeper_line int, distance int"
 
@@ -108,12 +110,12 @@ def _marks(kind: str, rows: Rows, which: np.ndarray) -> pa.RecordBatch:
     return _batch(pa.array([kind] * n, pa.string()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), (rows[2][which] ^ SIGN).view(np.int64), rows[3][which].astype(np.int32), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()))
 
 
-def _runs(kind: str, rows: Rows, extra: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+def _runs(kind: str, rows: Rows, bits: int, extra: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
     """Packed runs by shard, sorted by key."""
     order = np.argsort(rows[0], kind="stable")
     key, check, doc, line = (x[order] for x in rows)
     values = [check, doc >> np.uint64(32), doc & np.uint64(0xFFFFFFFF), line] + ([extra[order]] if extra is not None else [])
-    found = list(split_runs(key, (key >> np.uint64(64 - SHARD_BITS)).astype(np.int64), values))
+    found = list(split_runs(key, (key >> np.uint64(64 - bits)).astype(np.int64), values))
     n = len(found)
     if n:
         yield _batch(pa.array([kind] * n), pa.array([s for s, _ in found], pa.int32()), pa.array([b for _, b in found], pa.binary()), *(pa.nulls(n, k) for k in (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())))
@@ -141,7 +143,7 @@ class _Held:
         return key, check, doc, np.array(self.line, np.uint32)
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _first_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Whole lines and, of long lines, their halves."""
     lines, halves = _Held(), _Held()
 
@@ -150,7 +152,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         short = np.array(lines.extra, np.uint32)
         later, keeper, first = settle_equal(rows)
         yield _decisions(rows, later, keeper, 0)
-        yield from _runs("line", tuple(x[first] for x in rows), short[first])
+        yield from _runs("line", tuple(x[first] for x in rows), bits, short[first])
         stays = np.zeros(len(rows[0]), bool)
         stays[first] = True
         of = np.array(halves.extra, np.int64)
@@ -159,7 +161,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = key[use], rows[1][of[use]], doc[use], line[use]
         met, sent = partners(rows)
         yield _marks("candidate", rows, met)
-        yield from _runs("half", tuple(x[sent] for x in rows))
+        yield from _runs("half", tuple(x[sent] for x in rows), bits)
         lines.__init__()
         halves.__init__()
 
@@ -187,7 +189,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _second_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     """Variants of candidate lines: by place, and as whole lines of others."""
     held = _Held()
 
@@ -198,10 +200,10 @@ def _second_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         same = tuple(x[part] for x in (mixed, *rows[1:]))
         later, keeper, first = settle_equal(same)
         yield _decisions(same, later, keeper, 1)
-        yield from _runs("same", tuple(x[first] for x in same))
+        yield from _runs("same", tuple(x[first] for x in same), bits)
         later, keeper, first = settle_variants(rows, place)
         yield _decisions(rows, later, keeper, 1)
-        yield from _runs("less", tuple(x[first] for x in rows), (~part)[first])
+        yield from _runs("less", tuple(x[first] for x in rows), bits, (~part)[first])
         held.__init__()
 
     for batch in batches:
@@ -247,10 +249,11 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     count as one document. Other columns aren't read; an empty table gives an empty result.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    first = staged(docs.mapInArrow(_first_pass, RUN), "lines")
+    bits = min(SHARD_BITS[1], max(SHARD_BITS[0], math.ceil(math.log2(max(1, df.count() / ROWS_PER_SHARD)))))
+    first = staged(docs.mapInArrow(lambda batches: _first_pass(batches, bits), RUN), "lines")
     settled = staged(first.where("blob is not null").groupBy("kind", "shard").applyInArrow(_in_shard, RUN), "lines")
     candidates = first.unionByName(settled).where("kind = 'candidate'").groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    variants = docs.join(candidates, "doc").select("doc", "text", "wanted").mapInArrow(_second_pass, RUN)
+    variants = docs.join(candidates, "doc").select("doc", "text", "wanted").mapInArrow(lambda batches: _second_pass(batches, bits), RUN)
     second = staged(variants, "variants")
     again = second.where("blob is not null").groupBy("kind", "shard").applyInArrow(_in_shard, RUN)
     found = first.unionByName(settled).unionByName(second).unionByName(again).where("kind = 'removed'")
