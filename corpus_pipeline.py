@@ -10,11 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import linedup, mixing, pieces, quality, queries, simhash
+from evigrain.llm import linedup, mixing, nearcopies, pieces, quality, queries
 from evigrain.llm.staging import staged
 
-#: Words in a shingle, and the bits that fingerprints of texts with a similarity of 0.8 differ in, with some room.
+#: Words in a shingle, and the similarity of shingle sets from which texts are near copies.
 SHINGLE_WORDS = 5
+SIMILARITY = 0.8
+#: Bound of the fingerprint rule that stood for the similarity before; tests hold the stage against it.
 NEAR_BITS = 14
 
 
@@ -31,7 +33,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id stays."""
-    groups = simhash.simhash_groups(docs, width=SHINGLE_WORDS, max_distance=NEAR_BITS)
+    groups = nearcopies.near_copy_groups(docs, width=SHINGLE_WORDS, similarity=SIMILARITY)
     return docs.join(groups.where("doc_id <> component_id").select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
 
 
