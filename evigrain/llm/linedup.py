@@ -7,8 +7,9 @@ word of it. So equal keys of (variant, place) or of (variant, whole line) are bo
 verification of the distance: keys are 96 bits of XXH3 over the whole variant. A line goes if an
 earlier line, in order of document and line, lies within the bound.
 
-Only lines that can have a partner emit variants. Two long lines within the bound share their first
-or their last half, so halves are joined first; short lines emit at once. Every join is a grouping
+Only lines that can have a partner emit variants. Two lines within the bound of which one is long
+share their first or their last half, so halves are joined first; shorter lines emit at once. The
+longest of those may be a word short of a long line, and give it their halves too. Every join is a grouping
 of sorted, packed runs: a task sends on a key's earliest line only and settles its other lines
 itself, so a key that a third of all lines hold moves one row for each task.
 """
@@ -144,7 +145,7 @@ class _Held:
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Whole lines and, of long lines, their halves."""
+    """Whole lines and, of lines that are long or a word short of it, their halves."""
     lines, halves = _Held(), _Held()
 
     def flush() -> Iterator[pa.RecordBatch]:
@@ -174,8 +175,8 @@ def _first_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
                 n = len(words)
                 if n < MIN_WORDS:
                     continue
-                if n >= LONG_WORDS:
-                    for m in {n // 2, (n + 1) // 2}:
+                if n >= LONG_WORDS - 1:
+                    for m in {max(n, LONG_WORDS) // 2, (n + 1) // 2}:
                         halves.parts += [b"<" + b" ".join(words[:m]), b">" + b" ".join(words[-m:])]
                         halves.doc += [doc, doc]
                         halves.line += [number, number]
