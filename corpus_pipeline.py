@@ -26,8 +26,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that an earlier line is within one word of go; documents of which only scraps remain go too."""
-    left = linedup.drop_lines(docs, linedup.removed_lines(docs))
+    """Lines that an earlier line is within one word of go; documents of which nothing remains go too."""
+    left = linedup.drop_lines(docs, linedup.removed_lines(docs, shortest=1), shortest=1)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

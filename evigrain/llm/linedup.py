@@ -144,7 +144,7 @@ class _Held:
         return key, check, doc, np.array(self.line, np.uint32)
 
 
-def _first_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
+def _first_pass(batches: Iterator[pa.RecordBatch], bits: int, shortest: int) -> Iterator[pa.RecordBatch]:
     """Whole lines and, of lines that are long or a word short of it, their halves."""
     lines, halves = _Held(), _Held()
 
@@ -173,7 +173,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
             for number, line in enumerate(text.as_py().lower().split(b"\n")):
                 words = line.split()
                 n = len(words)
-                if n < MIN_WORDS:
+                if n < shortest:
                     continue
                 if n >= LONG_WORDS - 1:
                     for m in {max(n, LONG_WORDS) // 2, (n + 1) // 2}:
@@ -184,7 +184,7 @@ def _first_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Rec
                 lines.parts.append(b" ".join(words))
                 lines.doc.append(doc)
                 lines.line.append(number)
-                lines.extra.append(n < LONG_WORDS)
+                lines.extra.append(MIN_WORDS <= n < LONG_WORDS)
             if len(lines.parts) > HELD_ROWS // 8:
                 yield from flush()
     yield from flush()
@@ -242,16 +242,18 @@ def _in_shard(key: tuple, runs: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out)
 
 
-def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = MIN_WORDS) -> DataFrame:
     """``(id_col, line_no, keeper_<id_col>, keeper_line_no, distance)``: every line that goes, with an earlier line within ``distance`` (0 or 1 words).
 
-    Lines are parted by line feeds and numbered from 0. Lines with fewer than five words always
-    stay, and so do the lines of null texts and of rows with a null id. Rows with the same id
+    Lines are parted by line feeds and numbered from 0. Lines with fewer than five words go only
+    where an earlier line is equal, and with fewer than ``shortest`` (1 at least) always stay, as
+    do blank lines, the lines of null texts and of rows with a null id. Rows with the same id
     count as one document. Other columns aren't read; an empty table gives an empty result.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    shortest = max(1, shortest)
     bits = min(SHARD_BITS[1], max(SHARD_BITS[0], math.ceil(math.log2(max(1, df.count() / ROWS_PER_SHARD)))))
-    first = staged(docs.mapInArrow(lambda batches: _first_pass(batches, bits), RUN), "lines")
+    first = staged(docs.mapInArrow(lambda batches: _first_pass(batches, bits, shortest), RUN), "lines")
     settled = staged(first.where("blob is not null").groupBy("kind", "shard").applyInArrow(_in_shard, RUN), "lines")
     candidates = first.unionByName(settled).where("kind = 'candidate'").groupBy("doc").agg(F.collect_set("line").alias("wanted"))
     variants = docs.join(candidates, "doc").select("doc", "text", "wanted").mapInArrow(lambda batches: _second_pass(batches, bits), RUN)
@@ -263,11 +265,11 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return found.select(F.col("doc").alias(id_col), F.col("line").alias("line_no"), F.col("k.keeper_doc").alias(f"keeper_{id_col}"), F.col("k.keeper_line").alias("keeper_line_no"), F.col("k.distance").alias("distance"))
 
 
-def drop_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = MIN_WORDS) -> DataFrame:
     """``df`` with the removed lines taken out of its texts, other columns as they are.
 
-    A document that lost lines and has none of at least five words left is dropped: what would
-    remain of it are scraps of a copy.
+    A document that lost lines and has none of at least ``shortest`` words left is dropped. With 1
+    those are the documents of which nothing but blanks would remain.
     """
     schema, at = df.schema, df.columns.index(text_col)
     lists = removed.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_removed"))
@@ -279,7 +281,7 @@ def drop_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_c
                 if gone:
                     gone = set(gone)
                     left = [x for i, x in enumerate(text.split("\n")) if i not in gone]
-                    keep.append(any(len(x.encode().split()) >= MIN_WORDS for x in left))
+                    keep.append(any(len(x.encode().split()) >= shortest for x in left))
                     texts.append("\n".join(left))
                 else:
                     keep.append(True)

@@ -28,7 +28,7 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.removed_lines(_table(spark, sf_dir, "documents"))
+    return linedup.removed_lines(_table(spark, sf_dir, "documents"), shortest=1)
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
