@@ -3,20 +3,26 @@
 Lines are compared as lower-cased word sequences; the edit bound is one word. A line of n words has
 n variants, each without one word. Two lines of equal length whose variants without the word at the
 same place are equal differ in that word alone; a line that equals another one's variant lacks one
-word of it. So equal keys of (variant, place) or of (variant, whole line) are both the join and the
-verification of the distance: keys are 96 bits of XXH3 over the whole variant. A line goes if an
-earlier line, in order of document and line, lies within the bound.
-
-Only lines that can have a partner emit variants. Two lines within the bound of which one is long
-share their first or their last half, so halves are joined first; shorter lines emit at once. The
-longest of those may be a word short of a long line, and give it their halves too. Every join is a grouping
-of sorted, packed runs: a task sends on a key's earliest line only and settles its other lines
-itself, so a key that a third of all lines hold moves one row for each task.
+word of it. So lines are joined on equal hashed keys of (variant, place) and of (variant, whole
+line). The pairs that the keys name are read again and their distance is verified word by word. A
+line goes if an earlier line, in order of document and line, lies within the bound.
+
+A variant's key comes from the line's polynomial before the word it lacks and the one after it, so
+all keys of a line take time in proportion to its words, and no variant is ever built. Keys are
+settled in numpy arrays of a fixed number of rows, whatever the lengths of lines and texts.
+
+Short lines emit their variants at once; a long line emits them only if it can have a partner. Two
+lines within the bound of which one is long share their first or their last half, so halves are
+joined first; a line a word short of a long one gives it its halves too. The texts of long
+candidates are picked by a broadcast bit set of bounded size, and then joined by document. Every join
+of keys is a grouping of sorted, packed runs: a task sends on a key's earliest line only and settles
+its other lines itself, so a key that a third of all lines hold moves one row for each task.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +31,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigrain.llm.runs import pack, split_runs, unpack
-from evigrain.llm.staging import staged
+from evigrain.llm.ngrams import CACHE_WORDS, WordHashes
+from evigrain.llm.runs import split_runs, unpack
+from evigrain.llm.simhash import other_bits
+from evigrain.llm.staging import sieved, staged
 
 MIN_WORDS = 5
 LONG_WORDS = 16
-HELD_ROWS = 2 << 20
+#: A task settles what it holds after so many lines or words that emit variants, and so many variants at a time: some 100 bytes each.
+HELD_LINES, HELD_WORDS, CHUNK_KEYS = 1 << 17, 1 << 19, 1 << 16
+#: Bases of the two polynomials that hash a line from its words' hashes.
+BASES = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 SHARD_BITS = 9, 18
 ROWS_PER_SHARD = 2000
 SIGN = np.uint64(1 << 63)
@@ -40,11 +51,6 @@ RUN = "kind string, shard int, blob binary, doc long, line int, keeper_doc long,
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
 
-def _digests(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    found = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, parts)), np.uint64).reshape(-1, 2)
-    return found[:, 0].copy(), (found[:, 1] >> np.uint64(32)).astype(np.uint32)
-
-
 def _earlier(rows: Rows, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether row a comes before row b."""
     doc, line = rows[2], rows[3]
@@ -133,27 +139,103 @@ def _unpacked(blobs: list[bytes], extra: int = 0) -> tuple[Rows, list[np.ndarray
 
 
 class _Held:
-    """Rows gathered from documents, as lists until they are settled."""
+    """Digests gathered from lines until they are settled; texts are never held."""
 
     def __init__(self):
-        self.parts, self.doc, self.line, self.extra = [], [], [], []
+        self.digests, self.doc, self.line, self.extra = bytearray(), array("q"), array("I"), array("q")
+
+    def add(self, part: bytes, doc: int, line: int, extra: int) -> None:
+        self.digests += xxhash.xxh3_128_digest(part)
+        self.doc.append(doc)
+        self.line.append(line)
+        self.extra.append(extra)
 
     def rows(self) -> Rows:
-        key, check = _digests(self.parts) if self.parts else (np.empty(0, np.uint64), np.empty(0, np.uint32))
+        found = np.frombuffer(bytes(self.digests), np.uint64).reshape(-1, 2)
         doc = np.array(self.doc, np.int64).view(np.uint64) ^ SIGN
-        return key, check, doc, np.array(self.line, np.uint32)
+        return found[:, 0].copy(), (found[:, 1] >> np.uint64(32)).astype(np.uint32), doc, np.array(self.line, np.uint32)
+
+
+class _Words:
+    """Hashed words of lines that emit variants."""
+
+    def __init__(self, hashes: WordHashes):
+        self.hashes, self.words, self.length, self.doc, self.line, self.of = hashes, array("Q"), array("q"), array("q"), array("I"), array("q")
+
+    def add(self, words: list[bytes], doc: int, line: int, of: int = 0) -> None:
+        if len(self.hashes) > CACHE_WORDS:
+            self.hashes.clear()
+        self.words.extend(map(self.hashes.__getitem__, words))
+        self.length.append(len(words))
+        self.doc.append(doc)
+        self.line.append(line)
+        self.of.append(of)
+
+    def variants(self, use: np.ndarray | None = None) -> Iterator[tuple[Rows, np.ndarray]]:
+        """Keys of every variant, with the place of the word it lacks, and of the whole lines (place -1), some at a time."""
+        length, words = np.array(self.length, np.int64), np.array(self.words, np.uint64)
+        doc, line = np.array(self.doc, np.int64).view(np.uint64) ^ SIGN, np.array(self.line, np.uint32)
+        if use is not None:
+            words = words[np.repeat(use, length)]
+            length, doc, line = length[use], doc[use], line[use]
+        if not len(length):
+            return
+        ends = np.cumsum(length)
+        place = np.arange(len(words)) - np.repeat(ends - length, length)
+        owner = np.repeat(np.arange(len(length)), length)
+        sums = [_line_sums(words, place, ends - length, ends, base) for base in BASES]
+        yield (*_finished([s[2] for s in sums], length), doc, line), np.full(len(length), -1, np.int64)
+        for at in range(0, len(words), CHUNK_KEYS):
+            some = slice(at, at + CHUNK_KEYS)
+            of = owner[some]
+            parts = [before[some] + (total[of] - upto[some]) * inverse for before, upto, total, inverse in sums]
+            yield (*_finished(parts, length[of] - 1), doc[of], line[of]), place[some]
+
+
+def _line_sums(words: np.ndarray, place: np.ndarray, begins: np.ndarray, ends: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.uint64]:
+    """Of each word the line's polynomial before it and up to it, of each line the whole one, and the base's inverse; modulo 2**64."""
+    powers = np.full(int(place.max()) + 1, base, np.uint64)
+    powers[0] = 1
+    terms = words * np.multiply.accumulate(powers)[place]
+    upto = np.cumsum(terms, dtype=np.uint64)
+    start = upto[begins] - terms[begins]
+    upto -= np.repeat(start, ends - begins)
+    return upto - terms, upto, upto[ends - 1], np.uint64(pow(base, -1, 1 << 64))
+
+
+def _finished(parts: list[np.ndarray], length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key and check from two polynomials and the number of words."""
+    key, check = (other_bits(p ^ length.astype(np.uint64) * np.uint64(base)) for p, base in zip(parts, BASES, strict=True))
+    return key, (check >> np.uint64(32)).astype(np.uint32)
+
+
+def _settled_variants(found: Iterator[tuple[Rows, np.ndarray]], bits: int) -> Iterator[pa.RecordBatch]:
+    """Decisions between the variants at hand, and runs of those that have to be sent on."""
+    held = list(found)
+    for some in (held[i : i + 4] for i in range(0, len(held), 4)):
+        rows = tuple(np.concatenate([r[k] for r, _ in some]) for k in range(4))
+        place = np.concatenate([p for _, p in some])
+        part = place >= 0
+        mixed = rows[0] ^ ((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        same = tuple(x[part] for x in (mixed, *rows[1:]))
+        later, keeper, first = settle_equal(same)
+        yield _decisions(same, later, keeper, 1)
+        yield from _runs("same", tuple(x[first] for x in same), bits)
+        later, keeper, first = settle_variants(rows, place)
+        yield _decisions(rows, later, keeper, 1)
+        yield from _runs("less", tuple(x[first] for x in rows), bits, (~part)[first])
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], bits: int, shortest: int) -> Iterator[pa.RecordBatch]:
-    """Whole lines and, of lines that are long or a word short of it, their halves."""
-    lines, halves = _Held(), _Held()
+    """Whole lines, the variants of short ones and, of lines that are long or a word short of it, their halves."""
+    hashes = WordHashes()
+    lines, halves, short = _Held(), _Held(), _Words(hashes)
 
     def flush() -> Iterator[pa.RecordBatch]:
         rows = lines.rows()
-        short = np.array(lines.extra, np.uint32)
         later, keeper, first = settle_equal(rows)
         yield _decisions(rows, later, keeper, 0)
-        yield from _runs("line", tuple(x[first] for x in rows), bits, short[first])
+        yield from _runs("line", tuple(x[first] for x in rows), bits)
         stays = np.zeros(len(rows[0]), bool)
         stays[first] = True
         of = np.array(halves.extra, np.int64)
@@ -163,8 +245,10 @@ def _first_pass(batches: Iterator[pa.RecordBatch], bits: int, shortest: int) ->
         met, sent = partners(rows)
         yield _marks("candidate", rows, met)
         yield from _runs("half", tuple(x[sent] for x in rows), bits)
+        yield from _settled_variants(short.variants(stays[np.array(short.of, np.int64)]), bits)
         lines.__init__()
         halves.__init__()
+        short.__init__(hashes)
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -177,64 +261,42 @@ def _first_pass(batches: Iterator[pa.RecordBatch], bits: int, shortest: int) ->
                     continue
                 if n >= LONG_WORDS - 1:
                     for m in {max(n, LONG_WORDS) // 2, (n + 1) // 2}:
-                        halves.parts += [b"<" + b" ".join(words[:m]), b">" + b" ".join(words[-m:])]
-                        halves.doc += [doc, doc]
-                        halves.line += [number, number]
-                        halves.extra += [len(lines.parts)] * 2
-                lines.parts.append(b" ".join(words))
-                lines.doc.append(doc)
-                lines.line.append(number)
-                lines.extra.append(MIN_WORDS <= n < LONG_WORDS)
-            if len(lines.parts) > HELD_ROWS // 8:
-                yield from flush()
+                        halves.add(b"<" + b" ".join(words[:m]), doc, number, len(lines.doc))
+                        halves.add(b">" + b" ".join(words[-m:]), doc, number, len(lines.doc))
+                if MIN_WORDS <= n < LONG_WORDS:
+                    short.add(words, doc, number, len(lines.doc))
+                lines.add(b" ".join(words), doc, number, 0)
+                if len(lines.doc) > HELD_LINES or len(short.words) > HELD_WORDS:
+                    yield from flush()
     yield from flush()
 
 
 def _second_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
-    """Variants of candidate lines: by place, and as whole lines of others."""
-    held = _Held()
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows, place = held.rows(), np.array(held.extra, np.int64)
-        part = place >= 0
-        mixed = rows[0] ^ ((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        same = tuple(x[part] for x in (mixed, *rows[1:]))
-        later, keeper, first = settle_equal(same)
-        yield _decisions(same, later, keeper, 1)
-        yield from _runs("same", tuple(x[first] for x in same), bits)
-        later, keeper, first = settle_variants(rows, place)
-        yield _decisions(rows, later, keeper, 1)
-        yield from _runs("less", tuple(x[first] for x in rows), bits, (~part)[first])
-        held.__init__()
-
+    """Variants of candidate long lines: by place, and as whole lines of others."""
+    hashes = WordHashes()
+    held = _Words(hashes)
     for batch in batches:
         for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            if not text.is_valid:
+                continue
             lines = text.as_py().lower().split(b"\n")
             for number in wanted:
                 words = lines[number].split() if number < len(lines) else ()
-                whole, n, at = b" ".join(words), len(words), 0
-                if n < MIN_WORDS:
-                    continue
-                for word in words[:-1]:
-                    held.parts.append(whole[:at] + whole[at + len(word) + 1 :])
-                    at += len(word) + 1
-                held.parts += [whole[: at - 1], whole]
-                held.doc += [doc] * (n + 1)
-                held.line += [number] * (n + 1)
-                held.extra += [*range(n), -1]
-            if len(held.parts) > HELD_ROWS // 2:
-                yield from flush()
-    yield from flush()
+                if len(words) >= LONG_WORDS:
+                    held.add(words, doc, number)
+                if len(held.words) > HELD_WORDS:
+                    yield from _settled_variants(held.variants(), bits)
+                    held = _Words(hashes)
+    yield from _settled_variants(held.variants(), bits)
 
 
 def _in_shard(key: tuple, runs: pa.Table) -> pa.Table:
     kind, blobs = key[0].as_py(), runs.column("blob").to_pylist()
-    rows, extra = _unpacked(blobs, int(kind in ("line", "less")))
+    rows, extra = _unpacked(blobs, int(kind == "less"))
     if kind == "half":
         out = [_marks("candidate", rows, partners(rows)[0])]
     elif kind == "line":
-        later, keeper, first = settle_equal(rows)
-        out = [_decisions(rows, later, keeper, 0), _marks("candidate", rows, first[extra[0][first] == 1])]
+        out = [_decisions(rows, *settle_equal(rows)[:2], 0)]
     elif kind == "same":
         out = [_decisions(rows, *settle_equal(rows)[:2], 1)]
     else:
@@ -254,15 +316,58 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     shortest = max(1, shortest)
     bits = min(SHARD_BITS[1], max(SHARD_BITS[0], math.ceil(math.log2(max(1, df.count() / ROWS_PER_SHARD)))))
     first = staged(docs.mapInArrow(lambda batches: _first_pass(batches, bits, shortest), RUN), "lines")
-    settled = staged(first.where("blob is not null").groupBy("kind", "shard").applyInArrow(_in_shard, RUN), "lines")
-    candidates = first.unionByName(settled).where("kind = 'candidate'").groupBy("doc").agg(F.collect_set("line").alias("wanted"))
-    variants = docs.join(candidates, "doc").select("doc", "text", "wanted").mapInArrow(lambda batches: _second_pass(batches, bits), RUN)
-    second = staged(variants, "variants")
-    again = second.where("blob is not null").groupBy("kind", "shard").applyInArrow(_in_shard, RUN)
+    settled = staged(first.where("kind in ('line', 'half')").groupBy("kind", "shard").applyInArrow(_in_shard, RUN), "lines")
+    candidates = staged(first.unionByName(settled).where("kind = 'candidate'").groupBy("doc").agg(F.collect_set("line").alias("wanted")), "candidates")
+    second = _picked(docs, candidates).mapInArrow(lambda batches: _second_pass(batches, bits), RUN)
+    second = staged(second, "variants")
+    again = first.unionByName(second).where("kind in ('same', 'less')").groupBy("kind", "shard").applyInArrow(_in_shard, RUN)
     found = first.unionByName(settled).unionByName(second).unionByName(again).where("kind = 'removed'")
-    keeper = F.min(F.struct("distance", "keeper_doc", "keeper_line")).alias("k")
-    found = found.groupBy("doc", "line").agg(keeper)
-    return found.select(F.col("doc").alias(id_col), F.col("line").alias("line_no"), F.col("k.keeper_doc").alias(f"keeper_{id_col}"), F.col("k.keeper_line").alias("keeper_line_no"), F.col("k.distance").alias("distance"))
+    found = found.select("doc", "line", "keeper_doc", "keeper_line", "distance").groupBy("doc", "line", "keeper_doc", "keeper_line").agg(F.min("distance").alias("distance"))
+    found = staged(found, "pairs")
+    exact = found.where("distance = 0").groupBy("doc", "line").agg(F.min(F.struct("keeper_doc", "keeper_line")).alias("k")).select("doc", "line", "k.keeper_doc", "k.keeper_line", F.lit(0).alias("distance"))
+    near = verified(docs, staged(found.where("distance = 1").join(exact, ["doc", "line"], "left_anti"), "pairs"))
+    near = near.groupBy("doc", "line").agg(F.min(F.struct("keeper_doc", "keeper_line")).alias("k")).select("doc", "line", "k.keeper_doc", "k.keeper_line", F.lit(1).alias("distance"))
+    found = exact.unionByName(near)
+    return found.select(F.col("doc").alias(id_col), F.col("line").alias("line_no"), F.col("keeper_doc").alias(f"keeper_{id_col}"), F.col("keeper_line").alias("keeper_line_no"), "distance")
+
+
+def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(doc, text, wanted)`` of the documents in ``wanted``; texts of most others aren't shuffled."""
+    return sieved(docs, "doc", wanted.select("doc")).join(wanted, "doc").select("doc", "text", "wanted")
+
+
+def one_word_apart(a: list[bytes], b: list[bytes]) -> bool:
+    """Whether one word replaced, added or left out makes ``a`` into ``b``."""
+    short, at = min(len(a), len(b)), 0
+    while at < short and a[at] == b[at]:
+        at += 1
+    if len(a) == len(b):
+        return at < len(a) and a[at + 1 :] == b[at + 1 :]
+    longer, other = (a, b) if len(a) > len(b) else (b, a)
+    return len(longer) == short + 1 and longer[at + 1 :] == other[at:]
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose lines, read again, are one word apart."""
+    both = pairs.select("doc", "line").unionByName(pairs.select(F.col("keeper_doc").alias("doc"), F.col("keeper_line").alias("line")))
+    wanted = staged(both.groupBy("doc").agg(F.collect_set("line").alias("wanted")), "wanted")
+
+    def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, text, numbers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                lines = text.as_py().lower().split(b"\n") if text.is_valid else []
+                numbers = [i for i in numbers if i < len(lines)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(numbers), pa.int64()), pa.array(numbers, pa.int32()), pa.array([lines[i] for i in numbers], pa.binary())], names=["doc", "line", "words"])
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [one_word_apart(a.as_py().split(), b.as_py().split()) for a, b in zip(batch.column(4), batch.column(5), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(keep, pa.bool_()))
+
+    lines = staged(_picked(docs, wanted).mapInArrow(lines_of, "doc long, line int, words binary"), "wanted")
+    of = lambda doc, line, words: lines.select(F.col("doc").alias(doc), F.col("line").alias(line), F.col("words").alias(words))
+    read = pairs.join(of("doc", "line", "a"), ["doc", "line"]).join(of("keeper_doc", "keeper_line", "b"), ["keeper_doc", "keeper_line"])
+    return read.select("doc", "line", "keeper_doc", "keeper_line", "a", "b").mapInArrow(apart, "doc long, line int, keeper_doc long, keeper_line int").distinct()
 
 
 def drop_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = MIN_WORDS) -> DataFrame:

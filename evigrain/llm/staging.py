@@ -6,6 +6,7 @@ local master, a folder of our own is used.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -39,6 +40,27 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SIEVE_BITS = 10, 22
+
+
+def sieved(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``df`` with every row whose ``key`` is among ``wanted``'s first column, and few or some others.
+
+    A bit set of hashed keys, of 512 KB at most, is broadcast, so rows that a later join would drop
+    need no shuffle. A null key is never wanted. Where so many keys are wanted that most bits are
+    set, more of the other rows stay; the join that follows decides in any case.
+    """
+    wanted = wanted.select(F.col(wanted.columns[0]).alias("wanted"))
+    bits = min(SIEVE_BITS[1], max(SIEVE_BITS[0], math.ceil(math.log2(8 * max(1, wanted.count())))))
+    bit = lambda column: F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1))
+    word, place = (lambda column: F.shiftright(bit(column), 6)), (lambda column: bit(column).bitwiseAND(F.lit(63)).cast("int"))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), place("wanted"))
+    found = wanted.groupBy(word("wanted").alias("the word")).agg(F.bit_or(one).alias("the bits"))
+    met = df.join(F.broadcast(found), word(key) == F.col("the word"))
+    there = F.call_function("shiftrightunsigned", F.col("the bits"), place(key)).bitwiseAND(F.lit(1)) == 1
+    return met.where(there & F.col(key).isNotNull()).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 

@@ -29,3 +29,17 @@ def test_short_lines_are_compared_for_equality(spark, tmp_path):
 def test_documents_with_text_of_their_own_stay(spark):
     left = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(SHORT, "doc_id long, text string"), "")
     assert dict(map(tuple, left.collect())) == {1: SHORT[0][1], 2: "\nonly here", 4: SHORT[3][1], 5: "and this"}
+
+
+def test_very_long_lines_and_rows_without_text(spark):
+    words = [f"w{i % 977}x{i}" for i in range(20_000)]
+    other = words[:12_345] + ["new"] + words[12_346:]
+    rows = [(1, " ".join(words)), (2, " ".join(other)), (3, " ".join(other[:-1])), (4, None), (None, " ".join(words)), (5, "")]
+    got = linedup.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == [(2, 0, 1, 0, 1), (3, 0, 2, 0, 1)]
+
+
+def test_distance_of_words():
+    a = [b"a", b"b", b"c"]
+    assert linedup.one_word_apart(a, [b"a", b"x", b"c"]) and linedup.one_word_apart(a, [b"a", b"c"]) and linedup.one_word_apart([b"b", b"c"], a)
+    assert not linedup.one_word_apart(a, a) and not linedup.one_word_apart(a, [b"a"]) and not linedup.one_word_apart(a, [b"c", b"b", b"a"])
