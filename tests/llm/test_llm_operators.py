@@ -108,7 +108,7 @@ def entities(text):
 
 def test_personal_data(spark):
     random.seed(3)
-    parts = ["a", "b@c.de", "@", ".", "1", "22", "255", "256", "4111111111111111", " ", "-", "+1", "(", "é", "😀", "4012888888881881", "001.2.3.4", "+", "\n"]
+    parts = ["a", "b@c.de", "@", ".", "0", "1", "22", "10.0.0.1", "255", "256", "4111111111111111", " ", "-", "+1", "(", "é", "😀", "4012888888881881", "001.2.3.4", "+", "\n"]
     rows = [(i, "".join(random.choice(parts) for _ in range(random.randint(0, 30)))) for i in range(600)]
     rows += [(None, "x@y.zz"), (700, None), (701, ""), (702, "1" * 5000), (703, "x@y.zz again"), (703, "x@y.zz again")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
@@ -130,6 +130,58 @@ def test_disclosing_terms(spark):
     assert "ann@" not in clean[0] and "[EMAIL]" in clean[0] and "zorvex" not in clean[0] and clean[10] == dict(rows)[10]
 
 
+def test_disclosure_scores_and_places_against_brute_force(spark):
+    """Counts, scores and places of the terms, by plain loops over small texts."""
+    random.seed(11)
+    words = [f"word{c}" for c in "abcdefgh"]
+    people = ["ann@ex.org", "+1 (017) 555-7713", "10.0.0.1"]
+    rows = []
+    for i in range(80):
+        parts = [random.choice(words) for _ in range(random.randint(5, 60))]
+        if i % 4 < 3:
+            parts.insert(random.randrange(len(parts)), f"zeta{i % 4} {people[i % 4]} omega{i % 4 if random.random() < 0.8 else ''}")
+            parts.append(f"zeta{i % 4}")
+        rows.append((i, " ".join(parts)))
+    term = re.compile(r"[^\W\d_][\w'-]{2,}")
+    hidden, spans = {}, {}
+    for i, text in rows:
+        spans[i] = [(int(a), int(b), k) for k, a, b in (e.split(":") for e in entities(text))]
+        for a, b, _ in spans[i]:
+            text = text[:a] + "\n" * (b - a) + text[b:]
+        hidden[i] = text
+    n_t, near = collections.Counter(), set()
+    for i, text in rows:
+        n_t.update(m[0].lower() for m in term.finditer(hidden[i]))
+        for a, b, kind in spans[i]:
+            low, high = max(0, a - sanitise.WINDOW - 1), b + sanitise.WINDOW + 1
+            for lo, hi in ((low, a), (b, min(high, len(text)))):
+                for m in term.finditer(hidden[i][lo:hi]):
+                    cut = (m.start() == 0 and lo > 0) if hi == a else (m.end() > sanitise.WINDOW and hi == high)
+                    if not cut:
+                        near.add((i, f"{kind}:{text[a:b].lower()}", m[0].lower(), lo + m.start()))
+    n_te, n_e = collections.Counter((t, e) for _, e, t, _ in near), collections.Counter(e for _, e, _, _ in near)
+    docs = collections.Counter((t, e) for t, e, _ in {(t, e, i) for i, e, t, _ in near})
+    every, want = sum(n_t.values()), collections.defaultdict(dict)
+    for i, e, t, _ in near:
+        p = n_e[e] / (every + 1)
+        score = math.log2(min(1, n_te[t, e] / n_t[t]) / p) / -math.log2(p)
+        if docs[t, e] >= 2 and score >= sanitise.GENERALISE_AT:
+            act = "remove" if score >= sanitise.REMOVE_AT else "generalise"
+            want[i][t] = max(act, want[i].get(t, ""))
+    assert any(want.values())
+    got = sanitise.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for r in got:
+        places = sorted((m.start(), m.end(), want[r.doc_id][m[0].lower()]) for m in term.finditer(hidden[r.doc_id]) if m[0].lower() in want[r.doc_id])
+        assert [tuple(t) for t in r.term] == places
+
+
+def test_a_text_with_many_entities(spark):
+    long = " ".join(f"person number {i} has mail{i}@site{i % 50}.example.org or 10.1.{i // 250}.{i % 250}" for i in range(10_000))
+    got = sanitise.span_digests(sanitise.find_personal_data(spark.createDataFrame([(1, long), (2, "short")], "doc_id long, text string"))).collect()
+    one = next(r for r in got if r.doc_id == 1)
+    assert (one.n_email, one.n_ip) == (10_000, 10_000) and one.base_sha256 == hashlib.sha256(",".join(entities(long)).encode()).hexdigest()
+
+
 def targets_of(sizes):
     order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weights, total = {s: 1 + i % 3 for i, s in enumerate(order)}, sum(sizes.values())
