@@ -3,8 +3,10 @@
 Each source's documents are laid end to end in a shuffled order, on a line of words that repeats
 for every epoch and is cut into blocks of equal length. Slot ``n`` of the schedule goes to the
 source whose share of the cumulative weights holds the fractional part of ``n`` times the golden
-ratio; the k-th slot of a source takes its k-th block. Sources stay interleaved as evenly as their
-weights allow in every stretch of the mix, and no random state is kept, so reruns agree.
+ratio; the k-th slot of a source takes its k-th block, so the sequence decides how many blocks, and
+which documents, a source gives. Its low discrepancy keeps that within a few blocks of the target,
+and sources interleaved as evenly as their weights allow in every stretch of the mix. No random
+state is kept, so reruns agree.
 
 Only DataFrame functions are used. Running sums and ranks are made in two levels (within a bucket
 or chunk, and over the sums of those), so no source's rows have to meet in one task.
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from evigrain.llm.staging import staged
 
 GOLDEN = 0.6180339887498949
+#: A mix has so many slots, unless that would make its blocks longer than BLOCK_WORDS.
+SLOTS = 1 << 18
 BLOCK_WORDS = 1024
 MAX_EPOCHS = 3
 CHUNK_SLOTS = 1024
@@ -67,53 +71,53 @@ def word_line(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     return placed.join(sums, ["rank", "bucket"]).withColumn("begin", F.col("before") + F.col("offset")).drop("before", "offset", "key")
 
 
-def schedule(targets: DataFrame, block_words: int) -> DataFrame:
+def block_length(total: int, most: int = BLOCK_WORDS) -> int:
+    """Words of a block: a ``SLOTS``-th of the mix, at least one and at most ``most``."""
+    return max(1, min(most, -(-total // SLOTS)))
+
+
+def schedule(targets: DataFrame, total: int, block_words: int, step: float = GOLDEN) -> DataFrame:
     """``(slot, rank, block)``: the slots in order, each with its source and that source's next block.
 
-    Slots that a source has no quota left for fall away; those that the sequence leaves it short
-    of, a few by its low discrepancy, close the schedule.
+    Slot ``n`` belongs to the source whose span of the cumulative targets holds the fractional part
+    of ``n * step``. How many slots a source gets, and so what it takes, is up to the sequence alone.
     """
     spark = targets.sparkSession
-    total = targets.agg(F.sum("quota")).first()[0] or 0
-    slots = -(-total // block_words)
-    upto = Window.orderBy("rank")
-    share = F.col("quota") / F.lit(max(1, total))
-    spans = targets.withColumn("high", F.sum(share).over(upto)).withColumn("low", F.col("high") - share)
-    spans = spans.withColumn("high", F.when(F.row_number().over(Window.orderBy(F.desc("rank"))) == 1, 2.0).otherwise(F.col("high")))
+    upto = F.sum("quota").over(Window.orderBy("rank"))
+    spans = targets.select("rank", ((upto - F.col("quota")) / F.lit(float(max(1, total)))).alias("low"), (upto / F.lit(float(max(1, total)))).alias("high"), "quota").where("quota > 0")
     cell = lambda x: F.least(F.floor(x * CELLS), F.lit(CELLS)).cast("long")
-    spans = spans.where("quota > 0").select("rank", "quota", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
-    point = F.col("slot") * F.lit(GOLDEN)
-    drawn = spark.range(slots).withColumnRenamed("id", "slot").withColumn("point", point - F.floor(point)).withColumn("cell", cell(F.col("point")))
-    drawn = drawn.join(spans, "cell").where("point >= low and point < high").select("slot", "rank", "quota", F.floor(F.col("slot") / CHUNK_SLOTS).alias("chunk"))
+    spans = spans.select("rank", "low", "high", F.explode(F.sequence(cell(F.col("low")), cell(F.col("high")))).alias("cell"))
+    point = F.col("slot") * F.lit(step)
+    drawn = spark.range(-(-total // block_words)).withColumnRenamed("id", "slot").withColumn("point", point - F.floor(point)).withColumn("cell", cell(F.col("point")))
+    drawn = drawn.join(spans, "cell").where("point >= low and point < high").select("slot", "rank", F.floor(F.col("slot") / CHUNK_SLOTS).alias("chunk"))
     before = Window.partitionBy("rank").orderBy("chunk")
     counts = drawn.groupBy("rank", "chunk").agg(F.count(F.lit(1)).alias("n")).select("rank", "chunk", (F.sum("n").over(before) - F.col("n")).alias("before"))
     place = F.row_number().over(Window.partitionBy("rank", "chunk").orderBy("slot"))
-    ranked = drawn.withColumn("place", place).join(counts, ["rank", "chunk"]).withColumn("block", F.col("before") + F.col("place") - 1)
-    needed = F.ceil(F.col("quota") / block_words)
-    had = drawn.groupBy("rank").agg(F.count(F.lit(1)).alias("had"))
-    short = targets.where("quota > 0").join(had, "rank", "left").withColumn("had", F.coalesce("had", F.lit(0).cast("long"))).where(F.col("had") < needed)
-    short = short.select(F.lit(slots).cast("long").alias("slot"), "rank", F.explode(F.sequence("had", needed.cast("long") - 1)).alias("block"))
-    return ranked.where(F.col("block") < needed).select("slot", "rank", "block").unionByName(short)
+    return drawn.withColumn("place", place).join(counts, ["rank", "chunk"]).select("slot", "rank", (F.col("before") + F.col("place") - 1).alias("block"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, seed: int = 7) -> DataFrame:
-    """The mix by document: ``(id, source, size, source_size, target, taken, first_slot)``, a row for each input row.
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), block_words: int = BLOCK_WORDS, seed: int = 7, step: float = GOLDEN) -> DataFrame:
+    """The mix by document: ``(id, source, size, source_size, target, taken, n_slots, first_slot)``, a row for each input row.
 
-    ``taken`` counts the words of the document in the mix, repeats included: 0 if none of its
-    blocks is taken, never over three times its size. A source's taken words equal its rounded
-    target. Null and empty texts have size 0 and are never taken; null sources are one source,
-    the last one; repeated rows are separate documents; an empty table gives an empty result.
+    ``taken`` counts the words of the document in its source's first ``n_slots`` blocks, repeats
+    included, and never over three times its size; ``first_slot`` is the slot of the block in which
+    the document begins, null if it isn't taken. A source's taken words come within a few blocks of
+    its target. Null and empty texts have size 0 and are never taken; null sources are one source,
+    the last one; repeated rows are separate documents, and which of rows with one id and size
+    comes first is of no effect on what they take together; an empty table gives an empty result.
     """
     docs = staged(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sizes")
     targets = staged(source_targets(docs, weights).coalesce(1), "targets")
+    total = targets.agg(F.sum("quota")).first()[0] or 0
+    words = block_length(total, block_words)
+    slots = staged(schedule(targets, total, words, step), "slots")
+    counts = staged(slots.groupBy("rank").agg(F.count(F.lit(1)).alias("n_slots")), "counts")
+    got = F.coalesce("n_slots", F.lit(0).cast("long"))
+    targets = staged(targets.join(counts, "rank", "left").withColumn("n_slots", got).withColumn("quota", F.least(F.col("source_size") * MAX_EPOCHS, F.col("n_slots") * words)).coalesce(1), "targets")
     line = word_line(docs, targets, seed)
     start = lambda e: F.col("begin") + e * F.col("source_size")
-    epochs = F.filter(F.transform(F.sequence(F.lit(0), F.lit(MAX_EPOCHS - 1)), lambda e: F.struct(start(e).alias("from"), F.least(start(e) + F.col("size"), F.col("quota")).alias("to"))), lambda x: x["from"] < x["to"])
-    line = line.select("rank", "bucket", "number", "id", "source", "size", "source_size", "target", F.explode_outer(epochs).alias("epoch"))
-    blocks = F.when(F.col("epoch").isNotNull(), F.sequence(F.floor(F.col("epoch.from") / block_words), F.floor((F.col("epoch.to") - 1) / block_words)))
-    pieces = line.withColumn("block", F.explode_outer(blocks))
-    words = F.least("epoch.to", (F.col("block") + 1) * block_words) - F.greatest("epoch.from", F.col("block") * block_words)
-    taken = pieces.withColumn("words", words).join(schedule(targets, block_words), ["rank", "block"], "left")
-    whole = ["rank", "bucket", "number", "id", "source", "size", "source_size", "target"]
-    taken = taken.groupBy(*whole).agg(F.sum(F.when(F.col("slot").isNotNull(), F.col("words")).otherwise(0)).alias("taken"), F.min("slot").alias("first_slot"))
-    return taken.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "first_slot")
+    part = lambda e: F.greatest(F.lit(0), F.least(start(e) + F.col("size"), F.col("quota")) - start(e))
+    taken = line.withColumn("taken", sum(part(e) for e in range(1, MAX_EPOCHS)) + part(0))
+    block = F.when(F.col("taken") > 0, F.floor(F.col("begin") / words))
+    taken = taken.withColumn("block", block).join(slots, ["rank", "block"], "left")
+    return taken.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", "taken", "n_slots", F.col("slot").alias("first_slot"))

@@ -24,7 +24,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "n_slots", F.coalesce("first_slot", F.lit(-1).cast("long")).alias("first_slot"))
 
 
 def op4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,8 +83,14 @@ s AS (SELECT source, sum(size) AS source_size, row_number() OVER (ORDER BY sourc
 w AS (SELECT *, (rank - 1) % 3 + 1 AS weight, 3 * source_size AS cap, 3 * source_size / ((rank - 1) % 3 + 1) AS cap_by_weight FROM s),
 l AS (SELECT *, (sum(source_size) OVER () - (sum(cap) OVER o - cap)) / (sum(weight) OVER () - (sum(weight) OVER o - weight)) AS level FROM w WINDOW o AS (ORDER BY cap_by_weight, rank)),
 t AS (SELECT source, source_size, least(cap::DOUBLE, weight * (SELECT arg_min(level, (cap_by_weight, rank)) FROM l WHERE level <= cap_by_weight)) AS target FROM l),
-p AS (SELECT d.*, source_size, target, round(target) AS quota, sum(size) OVER (PARTITION BY d.source ORDER BY md5('7|' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size::BIGINT AS source_size, target, (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size) + greatest(0, least(start + 2 * source_size + size, quota) - start - 2 * source_size))::BIGINT AS taken FROM p
+q AS (SELECT *, round(target)::BIGINT AS quota, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rank FROM t),
+b AS (SELECT *, sum(quota) OVER () AS total, sum(quota) OVER (ORDER BY rank) AS upto, greatest(1, least(1024, (sum(quota) OVER () + 262143) // 262144)) AS words FROM q),
+n AS (SELECT i AS slot, i * 0.6180339887498949::DOUBLE - floor(i * 0.6180339887498949::DOUBLE) AS point FROM range((SELECT coalesce(max((total + words - 1) // words), 0)::BIGINT FROM b)) r(i)),
+s2 AS (SELECT slot, rank, row_number() OVER (PARTITION BY rank ORDER BY slot) - 1 AS block FROM n JOIN b ON point >= (upto - quota)::DOUBLE / total::DOUBLE AND point < upto::DOUBLE / total::DOUBLE),
+g AS (SELECT b.*, (SELECT count(*) FROM s2 WHERE s2.rank = b.rank) AS n_slots FROM b),
+p AS (SELECT d.*, g.rank, source_size, target, words, n_slots, least(3 * source_size, n_slots * words) AS quota, sum(size) OVER (PARTITION BY d.source ORDER BY md5('7|' || doc_id), doc_id, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+k AS (SELECT *, (greatest(0, least(start + size, quota) - start) + greatest(0, least(start + source_size + size, quota) - start - source_size) + greatest(0, least(start + 2 * source_size + size, quota) - start - 2 * source_size))::BIGINT AS taken FROM p)
+SELECT doc_id, size, source_size::BIGINT AS source_size, target, taken, n_slots::BIGINT AS n_slots, coalesce(slot, -1)::BIGINT AS first_slot FROM k LEFT JOIN s2 ON k.taken > 0 AND s2.rank = k.rank AND s2.block = (k.start // k.words)
 """
 
 OP8_SQL = """

@@ -209,7 +209,7 @@ def test_mix(spark, docs):
     assert len(got) == len(rows) and (got.taken <= 3 * got["size"]).all()
     for source, group in got.groupby(got.source.fillna("null")):
         name = None if source == "null" else source
-        assert group.source_size.iloc[0] == sizes[name] and group.target.iloc[0] == pytest.approx(want[name]) and abs(group.taken.sum() - want[name]) <= 1
+        assert group.source_size.iloc[0] == sizes[name] and group.target.iloc[0] == pytest.approx(want[name]) and abs(group.taken.sum() - want[name]) <= 6
     assert mixing.mix_sources(empty(spark)).count() == 0
 
 
@@ -217,7 +217,41 @@ def test_mix_where_sources_are_capped(spark):
     rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(5, "a"), (500, "b"), (0, "c"), (3, "d"), (100, None)])]
     got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), block_words=7).collect()
     want = targets_of({"a": 5, "b": 500, "c": 0, "d": 3, None: 100})
-    assert all(r.target == pytest.approx(want[r.source]) and abs(r.taken - r.target) <= 1 for r in got)
+    assert all(r.target == pytest.approx(want[r.source]) and abs(r.taken - r.target) <= 4 for r in got)
+
+
+def test_the_sequence_decides_what_is_taken(spark, docs):
+    """By a plain loop over the slots, and with another sequence."""
+
+    def plain(sizes, step):
+        order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+        quota = {s: round(t) for s, t in targets_of(sizes).items()}
+        total, low, got = sum(quota.values()), 0, collections.Counter()
+        spans = []
+        for s in order:
+            spans.append((low / total, (low + quota[s]) / total, s))
+            low += quota[s]
+        for n in range(-(-total // mixing.block_length(total))):
+            point = n * step - math.floor(n * step)
+            got[next(s for a, b, s in spans if a <= point < b)] += 1
+        return got
+
+    sizes = collections.Counter()
+    for r in docs.select("text", "source").collect():
+        sizes[r.source] += len((r.text or "").encode().split())
+    results = []
+    for step in (mixing.GOLDEN, 0.5, 0.0):
+        got = mixing.mix_sources(docs, step=step).collect()
+        want = plain(sizes, step)
+        assert all(r.n_slots == want[r.source] for r in got)
+        results.append(sorted((r.doc_id, r.taken) for r in got))
+        taken = collections.Counter()
+        for r in got:
+            taken[r.source] += r.taken
+        words = mixing.block_length(sum(round(t) for t in targets_of(sizes).values()))
+        assert all(taken[s] == min(3 * sizes[s], want[s] * words) for s in sizes)
+        assert all((r.first_slot is None) == (r.taken == 0) for r in got)
+    assert results[0] != results[1] != results[2]
 
 
 def lines_within_one_word(rows):
