@@ -1,21 +1,25 @@
 r"""Secret scans: patterns, and a linear-chain conditional random field for what they miss.
 
 Tokens are runs of ASCII letters and digits, runs of other letters, and single signs. A token's
-features are its shape, the shapes of its neighbours, and what kind of file it stands in; tags are
-begin, inside and outside. A secret begins at a token of eight or more letters and digits that has
-a digit, or at one that follows a key word and an assignment, and goes on without white space: all
-other tokens are outside by the model's own constraint, so Viterbi decoding of a whole text comes
-down to its pieces between white space that hold such a token.
-
-No secrets are labelled, so the patterns' matches are the labels to learn from: the field is fitted
-by gradient ascent of its likelihood on at most ``SAMPLE`` pieces with and as many without a match,
-the ones with the lowest hash over all texts. It is applied to every text.
+features are its shape, the shapes of its neighbours, the make-up of the unbroken stretch of key
+characters it belongs to, and what kind of file it stands in; tags are begin, inside and outside,
+an inside only after a begin or inside. A secret has at least ``MIN_CHARS`` key characters, or
+``MIN_AFTER_KEY`` where it follows a key word and an assignment, so only pieces between white space
+with such a stretch can hold one; those are decoded by Viterbi as a whole, wherever they stand.
+
+The field learns from three kinds of labelled pieces, each bounded in number: pieces of the corpus
+with a pattern's match, as they stand and once more with the pattern's cue (key word or prefix)
+replaced; pieces of the corpus without a match; and generated ones in contexts from the corpus:
+secrets of forms that no pattern covers, and addresses, paths, names and numbers that only look so.
+It is fitted by gradient ascent of the penalised likelihood, and applied to every text.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import re
+import string
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -26,10 +30,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("assign", "access", "hex")
-SAMPLE = 3000
-ROUNDS = 200
-MIN_CHARS = 16
-MAX_TRAIN_TOKENS = 64
+#: Bounds of the training set: pieces of each kind, characters on either side that go along, and tokens of a piece.
+SAMPLE = 1500
+CONTEXT = 60, 40
+MAX_TRAIN_CHARS, MAX_TRAIN_TOKENS = 400, 40
+ROUNDS = 150
+MIN_CHARS, MIN_AFTER_KEY = 16, 8
 OFFSETS = (-3, -2, -1, 0, 1)
 OUTSIDE, BEGIN, INSIDE = 0, 1, 2
 
@@ -42,10 +48,11 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 HEX_SIGNS = bytes(120 if chr(i) in "0123456789abcdef" else 46 for i in range(256))
 HEX_RUN = b"x" * 32
 TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W\d_A-Za-z]+|\S")
-DIGITS = re.compile(r"[0-9]+")
-LETTERS = re.compile(r"[A-Za-z0-9]*")
+#: An unbroken stretch of key characters; equals signs only close it.
+STRETCH = re.compile(r"[A-Za-z0-9+/_.-]+={0,2}")
+LONG_STRETCH = re.compile(r"[A-Za-z0-9+/_.-]{16,}|[A-Za-z0-9+/_.-]{15}=|[A-Za-z0-9+/_.-]{14}==")
 KEY_WORDS = ("pass", "pwd", "secret", "token", "api", "key", "auth", "cred")
-AFTER_KEY = re.compile(r"""(?:pass|pwd|secret|token|api|key|auth|cred)\w*["']?\s{0,4}[:=]\s{0,4}["']?(?=[A-Za-z0-9]{8})""", re.I)
+AFTER_KEY = re.compile(r"""(?:pass|pwd|secret|token|api|key|auth|cred)\w*["']?\s{0,4}[:=]\s{0,4}["']?(?:bearer\s)?(?=[A-Za-z0-9+/_.-]{8})""", re.I)
 KEY_WORD = re.compile(r"pass|pwd|secret|token|api|key|auth|cred", re.I)
 SPACE = re.compile(r"\s")
 
@@ -91,9 +98,30 @@ def shape(token: str) -> tuple[int, ...]:
     return tuple(on)
 
 
+def make_up(text: str, begin: int, end: int) -> tuple[int, ...]:
+    """Feature numbers of a stretch: length, kinds of characters, entropy, changes of kind, vowels, signs, and what stands around it."""
+    run = text[begin:end]
+    n, letters = len(run), [c for c in run if c.isalpha()]
+    kinds = [0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3 for c in run]
+    on = [bisect_right((8, 12, 16, 20, 24, 32, 40, 64), n)]
+    on.append(9 + (0 in kinds) + 2 * (1 in kinds) + 4 * (2 in kinds))
+    counts = [run.count(c) for c in set(run)]
+    on.append(17 + min(11, int(-2 * sum(c / n * math.log2(c / n) for c in counts))))
+    turns = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
+    on.append(29 + min(5, int(8 * turns / n)))
+    on.append(35 + min(5, int(10 * sum(c in "aeiouAEIOU" for c in letters) / len(letters))) if letters else 41)
+    for k, sign in enumerate("./-_"):
+        on.append(42 + 3 * k + min(2, run.count(sign)))
+    longest = max(map(len, re.findall("[a-z]+", run)), default=0)
+    on.append(54 + bisect_right((2, 4, 6, 9), longest))
+    around = (run[-1] == "=", "@" in (text[begin - 1 : begin], text[end : end + 1]), "://" in text[max(0, begin - 8) : begin + 8], text[begin - 1 : begin] in ("\"", "'"))
+    return (*on, *(59 + i for i, x in enumerate(around) if x))
+
+
 SHAPES = 43
+MAKE_UPS = 64
 PER_TOKEN = len(OFFSETS) * (SHAPES + 1)
-FEATURES = PER_TOKEN + 3
+FEATURES = PER_TOKEN + 3 + MAKE_UPS
 
 
 def file_features(text: str) -> tuple[int, ...]:
@@ -101,37 +129,35 @@ def file_features(text: str) -> tuple[int, ...]:
     return tuple(PER_TOKEN + i for i, on in enumerate((signs * 50 > len(text), "BEGIN " in text or "://" in text, KEY_WORD.search(text) is not None)) if on)
 
 
-def pieces(text: str) -> list[tuple[int, int, set[int]]]:
-    """The stretches between white space that may hold a secret, with the places where one may begin."""
-    starts, upto = set(), 0
-    for m in DIGITS.finditer(text):  # digits are rare, so tokens are found from them
-        if m.start() >= upto:
-            begin, upto = m.start(), LETTERS.match(text, m.end()).end()
-            while begin and text[begin - 1].isascii() and text[begin - 1].isalpha():
-                begin -= 1
-            if upto - begin >= 8:
-                starts.add(begin)
+def key_ends(text: str) -> set[int]:
+    """Where the value begins after each key word with an assignment."""
     low = text.lower()
     if len(low) != len(text):  # a few letters have longer lower forms, which move the places
-        starts |= {m.end() for m in AFTER_KEY.finditer(text)}
-    else:
-        for word in KEY_WORDS:
-            at = low.find(word)
-            while at >= 0:
-                m = AFTER_KEY.match(text, at)
-                if m:
-                    starts.add(m.end())
-                at = low.find(word, at + 1)
+        return {m.end() for m in AFTER_KEY.finditer(text)}
+    found = set()
+    for word in KEY_WORDS:
+        at = low.find(word)
+        while at >= 0:
+            m = AFTER_KEY.match(text, at)
+            if m:
+                found.add(m.end())
+            at = low.find(word, at + 1)
+    return found
+
+
+def pieces(text: str) -> list[tuple[int, int, set[int]]]:
+    """The pieces between white space that can hold a secret, with the places after a key word."""
+    keys = key_ends(text)
     out: list[tuple[int, int, set[int]]] = []
-    for start in sorted(starts):
-        if out and start < out[-1][1]:
+    for start in sorted(keys | {m.start() for m in LONG_STRETCH.finditer(text)}):
+        if not out or start >= out[-1][1]:
+            begin = start
+            while begin and not text[begin - 1].isspace():
+                begin -= 1
+            end = SPACE.search(text, start)
+            out.append((begin, end.start() if end else len(text), set()))
+        if start in keys:
             out[-1][2].add(start)
-            continue
-        begin = start
-        while begin and not text[begin - 1].isspace():
-            begin -= 1
-        end = SPACE.search(text, start)
-        out.append((begin, end.start() if end else len(text), {start}))
     return out
 
 
@@ -139,11 +165,11 @@ def _tokens(text: str, begin: int, end: int) -> list[tuple[int, int]]:
     return [m.span() for m in TOKEN.finditer(text, begin, end)]
 
 
-def sequence(text: str, begin: int, end: int, starts: set[int], whole: tuple[int, ...], shapes: dict) -> tuple[list[tuple[int, int]], list[list[int]], list[bool]]:
-    """A piece's tokens, their feature numbers, and whether a secret may begin at each."""
+def sequence(text: str, begin: int, end: int, keys: set[int], whole: tuple[int, ...], shapes: dict) -> tuple[list[tuple[int, int]], list[list[int]]]:
+    """A piece's tokens and their feature numbers."""
     own = _tokens(text, begin, end)
-    before = _tokens(text, max(0, begin - 60), begin)[OFFSETS[0] :]
-    after = _tokens(text, end, min(len(text), end + 40))[: OFFSETS[-1]]
+    before = _tokens(text, max(0, begin - CONTEXT[0]), begin)[OFFSETS[0] :]
+    after = _tokens(text, end, min(len(text), end + CONTEXT[1]))[: OFFSETS[-1]]
     spans = before + own + after
     kinds = []
     for a, b in spans:
@@ -153,15 +179,21 @@ def sequence(text: str, begin: int, end: int, starts: set[int], whole: tuple[int
                 shapes.clear()
             shapes[token] = shape(token)
         kinds.append(shapes[token])
-    rows = []
+    rows, stretch, of = [], (0, 0), ()
     for i in range(len(before), len(before) + len(own)):
         on = list(whole)
         for k, offset in enumerate(OFFSETS):
             j = i + offset
             base = k * (SHAPES + 1)
             on += [base + f for f in kinds[j]] if 0 <= j < len(spans) else [base + SHAPES]
+        if spans[i][0] >= stretch[1]:
+            m = STRETCH.match(text, spans[i][0], end)
+            stretch, of = (m.span(), make_up(text, *m.span())) if m else ((0, spans[i][1]), ())
+        on += [PER_TOKEN + 3 + f for f in of]
+        if spans[i][0] in keys:
+            on.append(FEATURES - 1)
         rows.append(on)
-    return own, rows, [a in starts for a, _ in own]
+    return own, rows
 
 
 class Field:
@@ -170,20 +202,20 @@ class Field:
     def __init__(self, weights: np.ndarray, moves: np.ndarray):
         self.weights, self.moves = weights, moves
 
-    def decode(self, rows: list[list[int]], may_begin: list[bool]) -> list[int]:
-        """The best tags; a begin only where it may be, an inside only after a begin or inside."""
+    def decode(self, rows: list[list[int]]) -> list[int]:
+        """The best tags; an inside only after a begin or inside."""
         best, came = None, []
-        for on, begin in zip(rows, may_begin, strict=True):
+        moves = self.moves.copy()
+        moves[OUTSIDE, INSIDE] = -np.inf
+        for on in rows:
             own = self.weights[on].sum(axis=0)
             if best is None:
-                best = np.array([own[OUTSIDE], own[BEGIN] if begin else -np.inf, -np.inf])
+                best = own.copy()
+                best[INSIDE] = -np.inf
                 continue
-            ways = best[:, None] + self.moves
-            ways[OUTSIDE, INSIDE] = -np.inf
+            ways = best[:, None] + moves
             origin = ways.argmax(axis=0)
             best = ways[origin, range(3)] + own
-            if not begin:
-                best[BEGIN] = -np.inf
             came.append(origin)
         tags = [int(best.argmax())]
         for origin in reversed(came):
@@ -196,45 +228,47 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
-def fit(samples: list[tuple[list[list[int]], list[bool], list[int]]], rounds: int = ROUNDS, rate: float = 0.1, penalty: float = 1e-3) -> Field:
+def fit(samples: list[tuple[list[list[int]], list[int]]], rounds: int = ROUNDS, rate: float = 0.1, penalty: float = 1e-3) -> Field:
     """Maximise the penalised likelihood of the samples' tags by full-batch Adam steps."""
     field = Field(np.zeros((FEATURES, 3)), np.zeros((3, 3)))
     if not samples:
         field.weights[:, OUTSIDE] = 1.0
         return field
-    n, length = len(samples), max(len(s[2]) for s in samples)
-    on, allowed = np.zeros((n, length, FEATURES), np.float32), np.zeros((n, length, 3), bool)
-    tags, there = np.zeros((n, length), int), np.zeros((n, length), bool)
-    for i, (rows, begin, truth) in enumerate(samples):
-        for t, r in enumerate(rows):
-            on[i, t, r] = 1
-        allowed[i, : len(truth)] = [(True, b, t > 0) for t, b in enumerate(begin)]
-        tags[i, : len(truth)], there[i, : len(truth)] = truth, True
-    allowed[~there] = (True, False, False)
-    flat, low = on.reshape(-1, FEATURES), -1e9
-    truth = np.eye(3)[tags] * there[..., None]
-    pairs = np.zeros((3, 3))
-    np.add.at(pairs, (tags[:, :-1][there[:, 1:]], tags[:, 1:][there[:, 1:]]), 1)
+    samples = sorted(samples, key=lambda x: -len(x[1]))
+    n, length = len(samples), len(samples[0][1])
+    active = [sum(len(x[1]) > t for x in samples) for t in range(length)]  # the first so many samples have a token t
+    starts = np.cumsum([0, *active])
+    on, tags = np.zeros((starts[-1], FEATURES), np.float32), np.zeros(starts[-1], int)
+    for i, (rows, truth) in enumerate(samples):
+        for t, (r, tag) in enumerate(zip(rows, truth, strict=True)):
+            on[starts[t] + i, r], tags[starts[t] + i] = 1, tag
+    at = [slice(starts[t], starts[t + 1]) for t in range(length)]
+    last = np.array([len(x[1]) - 1 for x in samples])
+    truth, pairs = np.eye(3)[tags], np.zeros((3, 3))
+    for t in range(1, length):
+        np.add.at(pairs, (tags[at[t - 1]][: active[t]], tags[at[t]]), 1)
     block = np.zeros((3, 3))
-    block[OUTSIDE, INSIDE] = low
+    block[OUTSIDE, INSIDE] = -1e9
     state = [np.zeros_like(field.weights), np.zeros_like(field.moves)]
     square = [np.zeros_like(field.weights), np.zeros_like(field.moves)]
     for step in range(1, rounds + 1):
-        own = np.where(allowed, (flat @ field.weights.astype(np.float32)).reshape(n, length, 3).astype(float), low)
+        own = (on @ field.weights.astype(np.float32)).astype(float)
+        own[at[0], INSIDE] = -1e9
         moves = field.moves + block
-        forward, backward = [own[:, 0]], [np.zeros((n, 3))]
+        forward, backward = np.zeros_like(own), np.zeros_like(own)
+        forward[at[0]] = own[at[0]]
         for t in range(1, length):
-            forward.append(np.where(there[:, t, None], _log_sum(forward[-1][:, :, None] + moves, 1) + own[:, t], forward[-1]))
+            forward[at[t]] = _log_sum(forward[at[t - 1]][: active[t], :, None] + moves, 1) + own[at[t]]
         for t in range(length - 1, 0, -1):
-            backward.append(np.where(there[:, t, None], _log_sum(moves[None] + (own[:, t] + backward[-1])[:, None, :], 2), backward[-1]))
-        backward.reverse()
-        total = _log_sum(forward[-1], 1)
-        expected = np.stack([np.exp(np.minimum(0, f + b - total[:, None])) for f, b in zip(forward, backward, strict=True)], 1) * there[..., None]
-        met = np.zeros((3, 3))
-        for t in range(1, length):
-            p = forward[t - 1][:, :, None] + moves + (own[:, t] + backward[t])[:, None, :] - total[:, None, None]
-            met += (np.exp(np.minimum(0, p)) * there[:, t, None, None]).sum(axis=0)
-        slopes = [(flat.T @ (truth - expected).reshape(-1, 3).astype(np.float32)).astype(float) / n - penalty * field.weights, (pairs - met) / n - penalty * field.moves]
+            backward[at[t - 1]][: active[t]] = _log_sum(moves[None] + (own[at[t]] + backward[at[t]])[:, None, :], 2)
+        total = _log_sum(forward[starts[last] + np.arange(n)], 1)
+        expected, met = np.zeros_like(own), np.zeros((3, 3))
+        for t in range(length):
+            expected[at[t]] = np.exp(np.minimum(0, forward[at[t]] + backward[at[t]] - total[: active[t], None]))
+            if t:
+                p = forward[at[t - 1]][: active[t], :, None] + moves + (own[at[t]] + backward[at[t]])[:, None, :] - total[: active[t], None, None]
+                met += np.exp(np.minimum(0, p)).sum(axis=0)
+        slopes = [(on.T @ (truth - expected).astype(np.float32)).astype(float) / n - penalty * field.weights, (pairs - met) / n - penalty * field.moves]
         for k, (values, slope) in enumerate(zip((field.weights, field.moves), slopes, strict=True)):
             state[k] = 0.9 * state[k] + 0.1 * slope
             square[k] = 0.999 * square[k] + 0.001 * slope**2
@@ -246,62 +280,154 @@ def _texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+MIXED, SAFE_SIGNS = string.ascii_letters + string.digits, string.ascii_letters + string.digits + "-_"
+
+
+def generated_secret(rng: random.Random, after_key: bool) -> str:
+    """A secret of a form that needs no key word, or also of a short one after a key word."""
+    some = lambda signs, low, high: "".join(rng.choices(signs, k=rng.randint(low, high)))
+    forms = [
+        lambda: some(MIXED + "+/", 20, 64) + "=" * rng.randint(0, 2),
+        lambda: some(SAFE_SIGNS, 20, 48),
+        lambda: some(string.ascii_lowercase, 2, 4) + rng.choice("_-") + some(MIXED, 20, 40),
+        lambda: some(MIXED, 16, 40),
+        lambda: some(string.ascii_letters, 20, 40),
+        lambda: some(string.ascii_uppercase + string.digits, 16, 32),
+        lambda: some("0123456789ABCDEF", 32, 64),
+        lambda: some("0123456789abcdef", 20, 31),
+        lambda: ".".join(some(SAFE_SIGNS, 16, 40) for _ in range(3)),
+    ]
+    return some(MIXED, 8, 15) if after_key and rng.random() < 0.5 else rng.choice(forms)()
+
+
+def generated_other(rng: random.Random, words: list[str]) -> str:
+    """What is long or mixed but no secret: addresses, paths, names, dates, numbers."""
+    word = lambda: rng.choice(words)
+    many = lambda sep, low, high: sep.join(word() for _ in range(rng.randint(low, high)))
+    digits = lambda low, high: "".join(rng.choices(string.digits, k=rng.randint(low, high)))
+    forms = [
+        lambda: many("-", 2, 5),
+        lambda: many("_", 2, 5),
+        lambda: many("", 2, 4),
+        lambda: "".join(word().title() for _ in range(rng.randint(2, 4))),
+        lambda: many("_", 2, 4).upper(),
+        lambda: f"https://{many('.', 2, 3)}.com/{many('/', 1, 4)}{rng.choice(['', '.html', '?id=' + digits(1, 9), '/' + digits(4, 4) + '/' + digits(2, 2)])}",
+        lambda: f"/{many('/', 2, 5)}.{rng.choice(['txt', 'json', 'py', 'csv'])}",
+        lambda: f"{many('.', 1, 2)}{digits(0, 4)}@{word()}.{word()}.org",
+        lambda: f"{digits(4, 4)}-{digits(2, 2)}-{digits(2, 2)}T{digits(2, 2)}:{digits(2, 2)}:{digits(2, 2)}Z",
+        lambda: digits(10, 20),
+        lambda: "-".join(digits(3, 4) for _ in range(4)),
+        lambda: f"v{digits(1, 2)}.{digits(1, 2)}.{digits(1, 3)}-{word()}.{digits(1, 2)}",
+        lambda: "-".join("".join(rng.choices("0123456789abcdef", k=k)) for k in (8, 4, 4, 4, 12)),
+    ]
+    return rng.choice(forms)()
+
+
+CUES = ("{} = ", "{}: ", "{}=", '{} = "', "{}='")
+NEUTRAL, KEYS = ("value", "id", "ref", "data", "name"), ("pwd", "auth", "credential", "passphrase", "private_key", "access_key", "api-secret", "password", "token")
+
+
+def generated(rng: random.Random, contexts: list[str], count: int) -> list[tuple[str, int, int, bool]]:
+    """``(text, begin, end, secret)``: generated strings, half of them secrets, between words of the corpus."""
+    words = sorted({w for c in contexts for w in re.findall(r"[A-Za-z]{3,}", c)}) or ["word"]
+    out = []
+    for i in range(count):
+        secret = i % 2 == 0
+        cue = rng.random() < 0.5
+        value = generated_secret(rng, cue) if secret else generated_other(rng, words)
+        lead = rng.choice(CUES).format(rng.choice(KEYS) if cue and (secret or rng.random() < 0.3) else rng.choice(NEUTRAL)) if cue or rng.random() < 0.2 else ""
+        context = rng.choice(contexts) if contexts else ""
+        cut = rng.randint(0, len(context))
+        while cut < len(context) and not context[cut].isspace():
+            cut += 1
+        close = lead[-1:] if lead[-1:] in "\"'" else ""
+        head = f"{context[:cut]} {lead}" if context[:cut] else lead
+        out.append((head + value + close + rng.choice(["", "", ".", ","]) + context[cut:], len(head), len(head) + len(value), secret))
+    return out
+
+
+def _sample_of(text: str, secrets: list[tuple[int, int]], at: int, shapes: dict) -> tuple | None:
+    """Features and tags of the piece that holds ``at``."""
+    for begin, end, keys in pieces(text):
+        if begin <= at < end:
+            own, rows = sequence(text, begin, end, keys, file_features(text), shapes)
+            if len(own) > MAX_TRAIN_TOKENS:
+                return None
+            tags = [OUTSIDE] * len(own)
+            for a, b in secrets:
+                inside = [i for i, (x, y) in enumerate(own) if a <= x and y <= b]
+                for i in inside:
+                    tags[i] = BEGIN if i == inside[0] else INSIDE
+            return rows, tags
+    return None
+
+
+def _uncued(text: str, begin: int, end: int, rng: random.Random) -> tuple[str, int, int] | None:
+    """The text with the cue of the secret replaced; None if what is left wouldn't be told from a word."""
+    value = text[begin:end]
+    if len(value) < MIN_CHARS or not any(c.isdigit() for c in value):
+        return None
+    if value.startswith("AKIA"):
+        other = "".join(rng.choices(string.ascii_uppercase + string.digits, k=4))
+        return text[:begin] + other + text[begin + 4 :], begin, end
+    cues = list(re.finditer(r"(?i)(password|passwd|secret|token|api_?key)", text[:begin]))
+    if not cues:
+        return None
+    a, b = cues[-1].span()
+    other = rng.choice(NEUTRAL + KEYS[:5])
+    moved = len(other) - (b - a)
+    return text[:a] + other + text[b:], begin + moved, end + moved
+
+
 def train(df: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Fit the field on at most ``sample`` pieces with a pattern's match and as many without one."""
+    """Fit the field on at most ``sample`` pieces each of: with a match, its cue replaced, without one, generated secrets, and others."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shapes: dict = {}
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                where = pieces(text)
-                if not where:
-                    continue
-                secrets, whole = secret_spans(text), file_features(text)
-                for begin, end, starts in where:
-                    if end - begin > 400:
-                        continue  # too long to learn from; decoding has no such bound
-                    own, on, may = sequence(text, begin, end, starts, whole, shapes)
-                    tags = [OUTSIDE] * len(own)
-                    for a, b in secrets:
-                        inside = [i for i, (x, y) in enumerate(own) if a <= x and y <= b]
-                        if inside and may[inside[0]]:
-                            tags[inside[0]] = BEGIN
-                            for i in inside[1:]:
-                                tags[i] = INSIDE
-                    if len(own) <= MAX_TRAIN_TOKENS:
-                        key = xxhash.xxh64_intdigest(text[max(0, begin - 20) : end + 20]) >> 1
-                        rows.append((key, any(tags), [i for r in on for i in [*r, -1]], may, tags))
+                secrets = secret_spans(text)
+                where = [(begin, end) for begin, end, _ in pieces(text) if end - begin <= MAX_TRAIN_CHARS]
+                if not where and text:
+                    where = [(len(text) // 2, len(text) // 2)]  # a context for generated ones
+                for begin, end in where:
+                    low, high = max(0, begin - CONTEXT[0]), end + CONTEXT[1]
+                    inside = [(a - low, b - low) for a, b in secrets if begin <= a and b <= end]
+                    part = text[low:high]
+                    kind = "secret" if inside else "other" if end > begin else "context"
+                    rows.append((xxhash.xxh64_intdigest(part) >> 1, kind, part, [x for ab in inside for x in ab], begin - low))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.bool_(), pa.list_(pa.int32()), pa.list_(pa.bool_()), pa.list_(pa.int32())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "secret", "features", "may", "tags"])
+            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "kind", "part", "secrets", "at"])
 
     texts = _texts(df, text_col, text_col).select("text")
-    rows = texts.mapInArrow(found, "key long, secret boolean, features array<int>, may array<boolean>, tags array<int>").dropDuplicates(["key"])
-    lowest = lambda x: x.orderBy("key").limit(sample)
-    chosen = lowest(rows.where("secret")).unionByName(lowest(rows.where("not secret"))).collect()
-    samples = []
-    for r in sorted(chosen, key=lambda r: r["key"]):
-        on, row = [], []
-        for i in r["features"]:
-            if i < 0:
-                on.append(row)
-                row = []
-            else:
-                row.append(i)
-        samples.append((on, r["may"], r["tags"]))
-    return fit(samples)
+    rows = texts.mapInArrow(found, "key long, kind string, part string, secrets array<int>, at int")
+    lowest = lambda kind: rows.where(F.col("kind") == kind).dropDuplicates(["key"]).orderBy("key").limit(sample)
+    chosen = sorted(lowest("secret").unionByName(lowest("other")).unionByName(lowest("context")).collect(), key=lambda r: (r["key"], r["kind"]))
+    rng, shapes, samples = random.Random(0), {}, []
+    for r in chosen:
+        spans = list(zip(r["secrets"][::2], r["secrets"][1::2], strict=True))
+        if r["kind"] != "context":
+            samples.append(_sample_of(r["part"], spans, spans[0][0] if spans else r["at"], shapes))
+        for a, b in spans:
+            other = _uncued(r["part"], a, b, rng)
+            if other:
+                samples.append(_sample_of(other[0], [other[1:]], other[1], shapes))
+    if chosen:
+        contexts = [r["part"] for r in chosen if r["kind"] != "secret"]
+        samples += [_sample_of(text, [(a, b)] if secret else [], a, shapes) for text, a, b, secret in generated(rng, contexts, 2 * sample)]
+    return fit([x for x in samples if x])
 
 
 def field_spans(text: str, field: Field, known: list[tuple[int, int, str]], shapes: dict) -> list[tuple[int, int, str]]:
-    """Secrets that the field finds besides ``known``, of at least ``MIN_CHARS`` characters."""
+    """Secrets that the field finds besides ``known``: of ``MIN_CHARS`` characters, or ``MIN_AFTER_KEY`` after a key word."""
     where, out = pieces(text), []
     if not where:
         return out
     whole = file_features(text)
-    for begin, end, starts in where:
-        own, rows, may = sequence(text, begin, end, starts, whole, shapes)
-        tags = field.decode(rows, may)
+    for begin, end, keys in where:
+        own, rows = sequence(text, begin, end, keys, whole, shapes)
+        tags = field.decode(rows)
         i = 0
         while i < len(tags):
             if tags[i] == BEGIN:
@@ -309,7 +435,7 @@ def field_spans(text: str, field: Field, known: list[tuple[int, int, str]], shap
                 while j < len(tags) and tags[j] == INSIDE:
                     j += 1
                 a, b = own[i][0], own[j - 1][1]
-                if b - a >= MIN_CHARS and not any(x < b and a < y for x, y, _ in known):
+                if b - a >= (MIN_AFTER_KEY if a in keys else MIN_CHARS) and not any(x < b and a < y for x, y, _ in known):
                     out.append((a, b, "crf"))
                 i = j
             else:
