@@ -13,8 +13,8 @@ settled in numpy arrays of a fixed number of rows, whatever the lengths of lines
 
 Short lines emit their variants at once; a long line emits them only if it can have a partner. Two
 lines within the bound of which one is long share their first or their last half, so halves are
-joined first; a line a word short of a long one gives it its halves too. The texts of long
-candidates are picked by a broadcast bit set of bounded size, and then joined by document. Every join
+joined first; a line a word short of a long one gives it its halves too. Long candidates are picked
+from the texts by a broadcast bit set of bounded size before they are joined, line by line. Every join
 of keys is a grouping of sorted, packed runs: a task sends on a key's earliest line only and settles
 its other lines itself, so a key that a third of all lines hold moves one row for each task.
 """
@@ -276,17 +276,13 @@ def _second_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
     hashes = WordHashes()
     held = _Words(hashes)
     for batch in batches:
-        for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            if not text.is_valid:
-                continue
-            lines = text.as_py().lower().split(b"\n")
-            for number in wanted:
-                words = lines[number].split() if number < len(lines) else ()
-                if len(words) >= LONG_WORDS:
-                    held.add(words, doc, number)
-                if len(held.words) > HELD_WORDS:
-                    yield from _settled_variants(held.variants(), bits)
-                    held = _Words(hashes)
+        for doc, number, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            words = line.as_py().encode().lower().split()
+            if len(words) >= LONG_WORDS:
+                held.add(words, doc, number)
+            if len(held.words) > HELD_WORDS:
+                yield from _settled_variants(held.variants(), bits)
+                held = _Words(hashes)
     yield from _settled_variants(held.variants(), bits)
 
 
@@ -317,8 +313,8 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bits = min(SHARD_BITS[1], max(SHARD_BITS[0], math.ceil(math.log2(max(1, df.count() / ROWS_PER_SHARD)))))
     first = staged(docs.mapInArrow(lambda batches: _first_pass(batches, bits, shortest), RUN), "lines")
     settled = staged(first.where("kind in ('line', 'half')").groupBy("kind", "shard").applyInArrow(_in_shard, RUN), "lines")
-    candidates = staged(first.unionByName(settled).where("kind = 'candidate'").groupBy("doc").agg(F.collect_set("line").alias("wanted")), "candidates")
-    second = _picked(docs, candidates).mapInArrow(lambda batches: _second_pass(batches, bits), RUN)
+    candidates = staged(first.unionByName(settled).where("kind = 'candidate'").select("doc", "line").distinct(), "candidates")
+    second = _lines(docs, candidates).mapInArrow(lambda batches: _second_pass(batches, bits), RUN)
     second = staged(second, "variants")
     again = first.unionByName(second).where("kind in ('same', 'less')").groupBy("kind", "shard").applyInArrow(_in_shard, RUN)
     found = first.unionByName(settled).unionByName(second).unionByName(again).where("kind = 'removed'")
@@ -331,9 +327,12 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return found.select(F.col("doc").alias(id_col), F.col("line").alias("line_no"), F.col("keeper_doc").alias(f"keeper_{id_col}"), F.col("keeper_line").alias("keeper_line_no"), "distance")
 
 
-def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``(doc, text, wanted)`` of the documents in ``wanted``; texts of most others aren't shuffled."""
-    return sieved(docs, "doc", wanted.select("doc")).join(wanted, "doc").select("doc", "text", "wanted")
+def _lines(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(doc, line, words)`` of the lines ``(doc, line)`` in ``wanted``; most other lines aren't shuffled."""
+    key = F.xxhash64("doc", "line").alias("key")
+    picked = sieved(docs, "doc", wanted.select("doc").distinct())
+    every = picked.select("doc", F.posexplode(F.split(F.col("text").cast("string"), "\n", -1)).alias("line", "words"))
+    return sieved(every.select("*", key), "key", wanted.select(key)).drop("key").join(wanted, ["doc", "line"])
 
 
 def one_word_apart(a: list[bytes], b: list[bytes]) -> bool:
@@ -350,21 +349,14 @@ def one_word_apart(a: list[bytes], b: list[bytes]) -> bool:
 def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose lines, read again, are one word apart."""
     both = pairs.select("doc", "line").unionByName(pairs.select(F.col("keeper_doc").alias("doc"), F.col("keeper_line").alias("line")))
-    wanted = staged(both.groupBy("doc").agg(F.collect_set("line").alias("wanted")), "wanted")
-
-    def lines_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for doc, text, numbers in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                lines = text.as_py().lower().split(b"\n") if text.is_valid else []
-                numbers = [i for i in numbers if i < len(lines)]
-                yield pa.RecordBatch.from_arrays([pa.array([doc] * len(numbers), pa.int64()), pa.array(numbers, pa.int32()), pa.array([lines[i] for i in numbers], pa.binary())], names=["doc", "line", "words"])
+    wanted = staged(both.distinct(), "wanted")
 
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = [one_word_apart(a.as_py().split(), b.as_py().split()) for a, b in zip(batch.column(4), batch.column(5), strict=True)]
+            keep = [one_word_apart(a.as_py().encode().lower().split(), b.as_py().encode().lower().split()) for a, b in zip(batch.column(4), batch.column(5), strict=True)]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=batch.schema.names[:4]).filter(pa.array(keep, pa.bool_()))
 
-    lines = staged(_picked(docs, wanted).mapInArrow(lines_of, "doc long, line int, words binary"), "wanted")
+    lines = staged(_lines(docs, wanted), "wanted")
     of = lambda doc, line, words: lines.select(F.col("doc").alias(doc), F.col("line").alias(line), F.col("words").alias(words))
     read = pairs.join(of("doc", "line", "a"), ["doc", "line"]).join(of("keeper_doc", "keeper_line", "b"), ["keeper_doc", "keeper_line"])
     return read.select("doc", "line", "keeper_doc", "keeper_line", "a", "b").mapInArrow(apart, "doc long, line int, keeper_doc long, keeper_line int").distinct()

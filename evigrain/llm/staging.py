@@ -40,13 +40,14 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-SIEVE_BITS = 10, 22
+#: The bit set has eight bits for each wanted key, and no more than 2**25: 4 MB.
+SIEVE_BITS = 10, 25
 
 
 def sieved(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """``df`` with every row whose ``key`` is among ``wanted``'s first column, and few or some others.
 
-    A bit set of hashed keys, of 512 KB at most, is broadcast, so rows that a later join would drop
+    A bit set of hashed keys, of 4 MB at most, is broadcast, so rows that a later join would drop
     need no shuffle. A null key is never wanted. Where so many keys are wanted that most bits are
     set, more of the other rows stay; the join that follows decides in any case.
     """
