@@ -369,7 +369,8 @@ def drop_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_c
     those are the documents of which nothing but blanks would remain.
     """
     schema, at = df.schema, df.columns.index(text_col)
-    lists = removed.groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_removed"))
+    key, gone_col = (max(df.columns, key=len) + x for x in (" id", " removed"))  # no column has these names
+    lists = removed.groupBy(F.col(id_col).alias(key)).agg(F.collect_set("line_no").alias(gone_col))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -387,5 +388,5 @@ def drop_lines(df: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_c
             columns[at] = pa.array(texts, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    joined = df.join(lists, df[id_col] == lists["_id"], "left").drop("_id")
+    joined = df.join(lists, df[id_col] == lists[key], "left").drop(key)
     return joined.mapInArrow(cut, schema)

@@ -1,16 +1,42 @@
 """The pipeline's stages, each on what the stage before it keeps."""
 
+import collections
+import hashlib
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 import corpus_pipeline
-from evigrain.llm import linedup, queries, simhash
+from evigrain.llm import linedup, mixing, nearcopies, quality, queries
 from evigrain.llm.staging import staged
 
 DATA = "/root/testdata/sf0.01"
 
 
+def near_copies(texts):
+    """The smallest id of each group of near copies, by comparing sets that share a shingle."""
+    sets, where, root = {i: set(nearcopies.shingle_set(t, 5).tolist()) for i, t in texts.items()}, collections.defaultdict(list), {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sorted(sets):
+        shared = collections.Counter(j for h in sets[i] for j in where[h])
+        if not sets[i]:
+            shared = {j: 0 for j in sets if j < i and not sets[j]}
+        for j, n in shared.items():
+            if not sets[i] or n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) - 1e-9:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+        for h in sets[i]:
+            where[h].append(i)
+    return sorted(i for i in root if find(i) == i)
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, found = spark.read.parquet(f"{DATA}/documents.parquet"), {}
@@ -36,8 +62,9 @@ def test_no_line_is_left_that_repeats(stages):
 
 
 def test_one_of_each_group_stays(stages):
-    groups = simhash.simhash_groups(stages["lines"], width=corpus_pipeline.SHINGLE_WORDS, max_distance=corpus_pipeline.NEAR_BITS).toPandas()
-    assert sorted(r.doc_id for r in stages["near_copies"].select("doc_id").collect()) == sorted(groups.doc_id[groups.doc_id == groups.component_id])
+    """Against all pairs of shingle sets that share a shingle, at a similarity of 0.8."""
+    texts = {r.doc_id: r.text for r in stages["lines"].select("doc_id", "text").collect()}
+    assert sorted(r.doc_id for r in stages["near_copies"].select("doc_id").collect()) == near_copies(texts)
 
 
 def test_near_copies_of_a_text_are_found(spark):
@@ -63,3 +90,75 @@ def test_run_equals_the_stages(spark, stages):
     run = corpus_pipeline.run(spark, DATA)
     key = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert sorted(map(tuple, run.select(*key).collect())) == sorted(map(tuple, stages["encode"].select(*key).collect()))
+
+
+ODD = [(1, "one two three four five six seven eight", "en", "a"), (1, "one two three four five six seven eight", "en", "a"), (2, "one two three four five six seven eight", None, "b"), (None, "a line of quite a few words that stands alone", "en", None), (None, None, None, None), (5, None, "en", "a"), (6, "", "en", "a"), (7, "alpha beta\nalpha beta", "en", "b"), (8, "first text of this id here", "en", "b"), (8, "alpha beta\nsecond text of this id", "en", "b"), (9, "w " * 30_000, "xx", "c")]
+
+
+@pytest.mark.parametrize("name", ["quality", "lines", "near_copies", "mix", "encode"])
+def test_odd_rows_in_each_stage(spark, name):
+    """Nulls, repeated rows and ids, empty and long texts, and columns with names that the stages use themselves."""
+    clash = {c: F.lit(1) for c in ("id", "key", "row", "first", "times", "kept", "_id", "_removed", "_copy", "_times", "col", "wanted", "line", "the word")}
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text")).withColumns(clash)
+    stage = dict(corpus_pipeline.STAGES)[name]
+    got = stage(spark, docs, DATA)
+    rows = [(r.doc_id, getattr(r, "text", None)) for r in got.collect()]
+    given = [(i, t) for i, t, *_ in ODD]
+    order = lambda x: sorted(x, key=str)
+    assert name == "encode" or got.columns == docs.columns
+    if name == "quality":
+        assert set(map(str, rows)) <= set(map(str, given)) and all((i, t) in rows for i, t in given if not t)
+    elif name == "lines":
+        want = [(i, t) for i, t in given if i not in (2, 7)]  # 8's second text keeps its line although 7 has it
+        assert order(rows) == order([*want, (7, "alpha beta")])
+    elif name == "near_copies":
+        want = [x for x in given if x not in {(2, given[0][1]), (6, ""), (None, None)}]
+        want.remove(given[0])  # one of the repeated rows
+        assert order(rows) == order(want)
+    elif name == "mix":
+        assert set(rows) <= {x for x in given if x[1]} and all(rows.count(x) <= 3 * given.count(x) for x in rows)
+        assert sum(rows.count(x) for x in set(rows) if x[0] == 1) <= 6
+    else:
+        assert len(rows) == len(given)
+    assert stage(spark, docs.limit(0), DATA).count() == 0
+
+
+def test_run_against_brute_force(spark, tmp_path):
+    """All stages on whole tables: lines, near copies, mix and encoding by plain loops; quality by its operator, which has a test of its own."""
+    small = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {r.doc_id for r in quality.quality_scores(docs, queries.trusted_ids(spark, small)).where("kept").collect()}
+    rows = {r.doc_id: (r.text, r.source) for r in docs.collect() if r.doc_id in kept}
+
+    seen, texts = [], {}
+    for i in sorted(rows):
+        left = []
+        for line in rows[i][0].split("\n"):
+            words = line.encode().lower().split()
+            near = any(words == e or (min(len(words), len(e)) >= linedup.MIN_WORDS and abs(len(words) - len(e)) < 2 and linedup.one_word_apart(words, e)) for e in seen) if words else False
+            if words:
+                seen.append(words)
+            if not near:
+                left.append(line)
+        if "".join(left).strip() or left == rows[i][0].split("\n"):
+            texts[i] = "\n".join(left)
+    texts = {i: texts[i] for i in near_copies(texts)}
+
+    mixed = mixing.mix_sources(spark.createDataFrame([(i, t, rows[i][1]) for i, t in texts.items()], "doc_id long, text string, source string")).collect()
+    taken = collections.Counter()
+    for r in mixed:
+        taken[r.source] += r.taken
+    library = SentencePieceProcessor(model_proto=queries.piece_model())
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    times = collections.Counter(r.doc_id for r in got)
+    assert set(times) <= set(texts)
+    for source in {s for _, s in rows.values()}:
+        of = [i for i in texts if rows[i][1] == source]
+        words = sum(times[i] * len(texts[i].split()) for i in of)
+        longest = max((len(texts[i].split()) for i in of), default=0)
+        assert abs(words - taken[source]) <= 3 * longest + 0.6 * sum(len(texts[i].split()) for i in of if 0 < times[i])
+    for r in got:
+        ids = library.encode(texts[r.doc_id], add_bos=True, add_eos=True)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(library.decode(ids).encode()).hexdigest())
