@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -140,11 +141,15 @@ def _write(path: str, kind: str, shard: int, keys: np.ndarray, *values: np.ndarr
 VALUES = {"pair": (1, np.float32), "word": (1, np.uint64), "context": (4, np.uint64), "follow": (1, np.uint32)}
 
 
+#: A scoring task keeps the arrays of so many shards open, the ones used last.
+OPEN_ARRAYS = 512
+
+
 class Arrays:
     """Each shard's keys and values, mapped into memory where the folder is mounted, else read."""
 
     def __init__(self, path: str):
-        self.path, self.there = path, {}
+        self.path, self.there = path, OrderedDict()
 
     def get(self, kind: str, shard: int) -> list[np.ndarray]:
         if (kind, shard) not in self.there:
@@ -162,6 +167,9 @@ class Arrays:
             n = len(raw) // (8 + size * values)
             parts = (raw[(8 + size * i) * n : (8 + size * (i + 1)) * n].view(dtype) for i in range(values))
             self.there[kind, shard] = [raw[: 8 * n].view(np.uint64), *parts]
+            if len(self.there) > OPEN_ARRAYS:
+                self.there.popitem(last=False)
+        self.there.move_to_end((kind, shard))
         return self.there[kind, shard]
 
     def join(self, kind: str, keys: np.ndarray, shards: np.ndarray) -> list[np.ndarray]:
@@ -218,8 +226,8 @@ def _stats(rows: list[tuple]) -> pa.Table:
 
 
 def hot_words(texts: DataFrame) -> np.ndarray:
-    """Words with at least ``HOT_SHARE`` of the words of a few documents; they only decide how bigrams are spread."""
-    rows = [r[0] for r in texts.select(F.substring("text", 1, 4000)).limit(HOT_SAMPLE_DOCS).collect()]
+    """Words with at least ``HOT_SHARE`` of the words of a few documents, the ones with the lowest hashes; they only decide how bigrams are spread."""
+    rows = [r[0] for r in texts.select(F.xxhash64("text").alias("key"), F.substring("text", 1, 4000).alias("part")).orderBy("key").limit(HOT_SAMPLE_DOCS).select("part").collect()]
     words, _ = WordHashes().of([(t or "").encode() for t in rows])
     found, counts = np.unique((words >> HALF).astype(np.uint32), return_counts=True)
     return found[counts >= max(2, HOT_SHARE * len(words))]
