@@ -215,15 +215,19 @@ def _settled_variants(found: Iterator[tuple[Rows, np.ndarray]], bits: int) -> It
     for some in (held[i : i + 4] for i in range(0, len(held), 4)):
         rows = tuple(np.concatenate([r[k] for r, _ in some]) for k in range(4))
         place = np.concatenate([p for _, p in some])
-        part = place >= 0
-        mixed = rows[0] ^ ((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        same = tuple(x[part] for x in (mixed, *rows[1:]))
-        later, keeper, first = settle_equal(same)
-        yield _decisions(same, later, keeper, 1)
-        yield from _runs("same", tuple(x[first] for x in same), bits)
-        later, keeper, first = settle_variants(rows, place)
-        yield _decisions(rows, later, keeper, 1)
-        yield from _runs("less", tuple(x[first] for x in rows), bits, (~part)[first])
+        found, first = _settle_places(rows, place)
+        yield from found
+        yield from _runs("variant", tuple(x[first] for x in rows), bits, place[first] + 1)
+
+
+def _settle_places(rows: Rows, place: np.ndarray) -> tuple[list[pa.RecordBatch], np.ndarray]:
+    """Decisions among variants at the same place, and between variants and whole lines; and the rows to send on, the first of each key and place."""
+    part = place >= 0
+    mixed = rows[0] ^ ((place + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    same = tuple(x[part] for x in (mixed, *rows[1:]))
+    later, keeper, _ = settle_equal(same)
+    lacking, whole, first = settle_variants(rows, place)
+    return [_decisions(same, later, keeper, 1), _decisions(rows, lacking, whole, 1)], first
 
 
 def _first_pass(batches: Iterator[pa.RecordBatch], bits: int, shortest: int) -> Iterator[pa.RecordBatch]:
@@ -288,15 +292,13 @@ def _second_pass(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.Re
 
 def _in_shard(key: tuple, runs: pa.Table) -> pa.Table:
     kind, blobs = key[0].as_py(), runs.column("blob").to_pylist()
-    rows, extra = _unpacked(blobs, int(kind == "less"))
+    rows, extra = _unpacked(blobs, int(kind == "variant"))
     if kind == "half":
         out = [_marks("candidate", rows, partners(rows)[0])]
     elif kind == "line":
         out = [_decisions(rows, *settle_equal(rows)[:2], 0)]
-    elif kind == "same":
-        out = [_decisions(rows, *settle_equal(rows)[:2], 1)]
     else:
-        out = [_decisions(rows, *settle_variants(rows, np.where(extra[0] == 1, -1, 0))[:2], 1)]
+        out = _settle_places(rows, extra[0].astype(np.int64) - 1)[0]
     return pa.Table.from_batches(out)
 
 
@@ -316,7 +318,7 @@ def removed_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates = staged(first.unionByName(settled).where("kind = 'candidate'").select("doc", "line").distinct(), "candidates")
     second = _lines(docs, candidates).mapInArrow(lambda batches: _second_pass(batches, bits), RUN)
     second = staged(second, "variants")
-    again = first.unionByName(second).where("kind in ('same', 'less')").groupBy("kind", "shard").applyInArrow(_in_shard, RUN)
+    again = first.unionByName(second).where("kind = 'variant'").groupBy("kind", "shard").applyInArrow(_in_shard, RUN)
     found = first.unionByName(settled).unionByName(second).unionByName(again).where("kind = 'removed'")
     found = found.select("doc", "line", "keeper_doc", "keeper_line", "distance").groupBy("doc", "line", "keeper_doc", "keeper_line").agg(F.min("distance").alias("distance"))
     found = staged(found, "pairs")
