@@ -117,12 +117,12 @@ def tabular_cells(table):
     return elements.cells(elements.paragraphs(table("documents")))
 
 
-@query(f"""WITH l AS ({LINES_SQL}) SELECT source, count(DISTINCT doc_id) AS documents, md5(string_agg(line, chr(10) ORDER BY doc_id, seq)) AS text_md5 FROM l WHERE trim(line) <> '' AND length(line) < 40 GROUP BY source""")
+@query(f"""WITH l AS ({LINES_SQL}) SELECT doc_id, source, count(*) AS lines, md5(string_agg(line, chr(10) ORDER BY seq)) AS text_md5 FROM l WHERE trim(line) <> '' AND length(line) < 40 GROUP BY doc_id, source""")
 def treaty_membership(table):
-    """One row for each source: its short lines, joined in order."""
+    """One row for each document: its short lines, joined in order."""
     rows = elements.paragraphs(table("documents")).where("length(text) < 40").join(table("documents").select("doc_id", "source"), "doc_id")
-    found = rows.groupBy("source").agg(F.countDistinct("doc_id").alias("documents"), F.array_sort(F.collect_list(F.struct("doc_id", "seq", "text"))).alias("parts"))
-    return found.select("source", "documents", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "\n").cast("binary")).alias("text_md5"))
+    found = rows.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("lines"), F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("parts"))
+    return found.select("doc_id", "source", "lines", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "\n").cast("binary")).alias("text_md5"))
 
 
 @query()
