@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,24 +69,20 @@ def _entities_of(kind: str, pattern: str) -> Column:
 
 
 def chunk_spans(text: str, target: int, overlap: int) -> list[tuple[int, int]]:
-    """Spans of whole words of about ``target`` characters; each begins within ``overlap`` of the last one's end, and after its start."""
-    words, at = [], 0
-    for word in text.split():
-        begin = text.index(word, at)
-        at = begin + len(word)
-        words.append((begin, at))
-    spans, first = [], 0
-    while first < len(words):
-        last = first
-        while last + 1 < len(words) and words[last + 1][1] - words[first][0] <= target:
-            last += 1
-        spans.append((words[first][0], words[last][1]))
-        if last + 1 == len(words):
-            break
-        after = last + 1
-        while after - 1 > first and words[after - 1][0] >= words[last][1] - overlap:
-            after -= 1
-        first = after
+    """Spans of whole words of about ``target`` characters; each begins within ``overlap`` of the last one's end, and after its start.
+
+    Where a chunk that begins at a word ends, and where the one after it begins, are places in the
+    sorted begins and ends of all words, so both are searched for at once for every word.
+    """
+    found = list(re.finditer(r"\S+", text))
+    begins, ends = (np.array([m.span()[side] for m in found], np.int64) for side in (0, 1))
+    order = np.arange(len(found))
+    lasts = np.maximum(np.searchsorted(ends, begins + target, "right") - 1, order)
+    following = np.clip(np.searchsorted(begins, ends[lasts] - overlap), order + 1, lasts + 1)
+    spans, at = [], 0
+    while at < len(found):
+        spans.append((int(begins[at]), int(ends[lasts[at]])))
+        at = len(found) if lasts[at] == len(found) - 1 else int(following[at])
     return spans
 
 

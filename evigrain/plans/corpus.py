@@ -125,7 +125,15 @@ def treaty_membership(table):
     return found.select("doc_id", "source", "lines", F.md5(F.array_join(F.transform("parts", lambda p: p["text"]), "\n").cast("binary")).alias("text_md5"))
 
 
-@query()
+@query(rf"""WITH RECURSIVE l AS ({LINES_SQL}), o AS (SELECT *, doc_id || '_p' || seq AS element_id FROM l WHERE trim(line) <> ''),
+w AS (SELECT doc_id, element_id, line, unnest(regexp_extract_all(line, '\s*\S+')) AS piece, generate_subscripts(regexp_extract_all(line, '\s*\S+'), 1) AS i FROM o),
+e AS (SELECT *, CAST(sum(length(piece)) OVER (PARTITION BY element_id ORDER BY i) AS BIGINT) AS stop, count(*) OVER (PARTITION BY element_id) AS n FROM w),
+b AS (SELECT *, stop - length(regexp_extract(piece, '\S+')) AS start FROM e),
+x AS (SELECT b.element_id, b.i, b.start, b.n, greatest(b.i, max(c.i) FILTER (c.stop <= b.start + 480)) AS last FROM b JOIN b c ON b.element_id = c.element_id AND c.i >= b.i AND c.start <= b.start + 480 GROUP BY b.element_id, b.i, b.start, b.n),
+y AS (SELECT x.*, z.stop FROM x JOIN b z ON z.element_id = x.element_id AND z.i = x.last),
+k AS (SELECT y.element_id, y.i, y.start, y.stop, y.last = y.n AS done, greatest(y.i + 1, least(y.last + 1, min(c.i) FILTER (c.start >= y.stop - 64))) AS next FROM y JOIN b c ON c.element_id = y.element_id AND c.i >= y.i AND c.i <= y.last + 1 GROUP BY y.element_id, y.i, y.start, y.stop, y.last, y.n),
+r AS (SELECT element_id, i, start, stop, done, next, 0 AS part FROM k WHERE i = 1 UNION ALL SELECT k.element_id, k.i, k.start, k.stop, k.done, k.next, r.part + 1 FROM r JOIN k ON k.element_id = r.element_id AND k.i = r.next WHERE NOT r.done)
+SELECT o.doc_id, element_id, element_id || '__c' || part AS child_id, CAST(start AS INT) AS char_start, CAST(stop AS INT) AS char_end, substr(line, start + 1, stop - start) AS snippet FROM r JOIN o USING (element_id)""")
 def chunk_text(table):
     return elements.chunks(elements.paragraphs(table("documents")))
 
