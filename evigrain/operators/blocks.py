@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 BLANK = r"\n\s*\n"
 #: What the first line of a heading begins with, and what opens a sub-paragraph.
 HEADINGS = {"chapter": r"(?i)^chapter\s+", "section": r"(?i)^(section|sec\.?|s\.)\s+\d+", "article": r"(?i)^(article|art\.?)\s+\d+"}
-OPENS_SUB = r"^\s*\((\d+|[a-z])\)"
+OPENS_SUB = r"^\s*\((\d+|[a-z]+)\)(\s|$)"
 
 
 def text_blocks(docs: DataFrame) -> DataFrame:

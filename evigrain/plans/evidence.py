@@ -207,35 +207,6 @@ def layer2_bands(table):
     return rows.withColumn("band", rules.band_pick(F.col("s0"), F.col("s5"), F.col("s1")))
 
 
-LEGAL = [("d_s1", 1, None, "s. 1", "1 Definitions"), ("d_s1_a", 2, "d_s1", "s. 1(1)", '"personal data" means any data under section 26(1).'), ("d_s26", 3, None, "s. 26", "26 Transfer"), ("d_s26_1", 4, "d_s26", "s. 26(1)", "Personal data shall not leave unless section 1(1) applies."), ("d_s26_2", 5, "d_s26", "s. 26(2)", "Provided that subsection (1) does not apply to a person under section 99."), ("d_s30", 6, None, "s. 30", "Notwithstanding section 26, the Minister may exempt a transfer of personal data.")]
-LEGAL_SQL = "(VALUES " + ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in r) + ")" for r in LEGAL) + ") AS e(element_id, seq, parent_id, numbering, text)"
-EDGES_SQL = f"""e AS (SELECT * FROM {LEGAL_SQL}), x AS (SELECT element_id, seq, numbering, unnest(regexp_extract_all(lower(text), '\\bsection\\s+(\\d+[a-z]?(?:\\(\\w+\\))*)', 1)) AS ref, 0 AS rel FROM e UNION ALL SELECT element_id, seq, numbering, unnest(regexp_extract_all(lower(text), '\\bsub-?section\\s+(\\(\\d+\\)(?:\\(\\w+\\))*)', 1)), 1 FROM e),
-c AS (SELECT DISTINCT element_id, CASE WHEN rel = 1 THEN regexp_extract(numbering, '^s\\. \\d+[A-Za-z]?') || ref ELSE 's. ' || ref END AS target FROM x),
-ed AS (SELECT c.element_id AS from_element, t.element_id AS to_element, 'cross_reference' AS edge_type FROM c JOIN e t ON t.numbering = c.target WHERE c.element_id <> t.element_id
-UNION SELECT d.element_id, m.element_id, 'defines' FROM e d JOIN e p ON p.element_id = d.parent_id AND regexp_matches(p.text, '(?i)\\b(definitions?|interpretation)\\b') JOIN e m ON m.element_id <> d.element_id AND contains(lower(m.text), lower(regexp_extract(d.text, '"([^"]+)"\\s+means', 1))) WHERE regexp_matches(d.text, '"([^"]+)"\\s+means')
-UNION SELECT element_id, parent_id, 'proviso' FROM e WHERE regexp_matches(text, '(?i)provided that|does not apply') AND parent_id IS NOT NULL
-UNION SELECT n.element_id, t.element_id, 'notwithstanding' FROM e n JOIN e t ON t.numbering = 's. ' || regexp_extract(n.text, '(?i)notwithstanding section (\\d+)', 1) WHERE regexp_matches(n.text, '(?i)notwithstanding'))"""
-
-
-def _legal(table):
-    return table("region").sparkSession.createDataFrame(LEGAL, "element_id string, seq int, parent_id string, numbering string, text string")
-
-
-@query(f"WITH {EDGES_SQL} SELECT * FROM ed")
-def structure_edges(table):
-    """Typed edges between the elements of a small law."""
-    return rules.structure_edges(_legal(table))
-
-
-@query(f"""WITH RECURSIVE {EDGES_SQL}, b AS (SELECT from_element AS src, to_element AS dst FROM ed UNION SELECT to_element, from_element FROM ed), r(node, depth) AS (SELECT 'd_s26_2', 0 UNION SELECT b.dst, r.depth + 1 FROM r JOIN b ON b.src = r.node WHERE r.depth < 2) SELECT node AS element_id, min(depth) AS depth FROM r GROUP BY node""")
-def regime_assembly(table):
-    """Elements within two edges of a primary element, whatever the direction."""
-    edges = rules.structure_edges(_legal(table))
-    both = edges.select(F.col("from_element").alias("src"), F.col("to_element").alias("dst")).unionByName(edges.select(F.col("to_element").alias("src"), F.col("from_element").alias("dst"))).distinct()
-    seed = both.select(F.lit("d_s26_2").alias("node")).distinct()
-    return relational.reachable(both, seed, 2).withColumnRenamed("node", "element_id")
-
-
 @query("""SELECT doc_id, CASE WHEN regexp_matches(i, '^(P\\d+-I\\d+|\\d+\\.\\d+)$') THEN 'P' || regexp_extract(i, '(\\d+)', 1)::INT || '-I' || regexp_extract(i, '\\d+[^0-9]+(\\d+)$', 1)::INT END AS display, replace(lower(trim(source)), 'ß', 'ss') AS source_key FROM (SELECT doc_id, source, CASE doc_id % 4 WHEN 0 THEN doc_id || '.0' || (doc_id % 7) WHEN 1 THEN 'P' || doc_id || '-I' || (doc_id % 3) WHEN 2 THEN doc_id || '.1.2' ELSE doc_id || '.' || (doc_id % 9) END AS i FROM documents)""")
 def indicator_alias(table):
     d = F.col("doc_id")

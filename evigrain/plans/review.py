@@ -34,7 +34,7 @@ def statute_blocks(table):
 
 @query(rf"""WITH t AS ({STATUTES_SQL}), {BLOCKS_SQL},
 l AS (SELECT doc_id, block, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM b),
-g AS (SELECT *, sum(CASE WHEN pos > 1 AND regexp_matches(line, '^\s*\((\d+|[a-z])\)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY pos) AS part FROM l)
+g AS (SELECT *, sum(CASE WHEN pos > 1 AND regexp_matches(line, '^\s*\((\d+|[a-z]+)\)(\s|$)') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, block ORDER BY pos) AS part FROM l)
 SELECT doc_id, block, CAST(part AS BIGINT) AS part, md5(string_agg(line, chr(10) ORDER BY pos)) AS digest FROM g GROUP BY doc_id, block, part""")
 def statute_parts(table):
     return blocks.sub_paragraphs(blocks.text_blocks(_statutes(table))).select("doc_id", "block", "part", F.md5(F.col("text").cast("binary")).alias("digest"))
