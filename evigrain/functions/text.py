@@ -58,6 +58,11 @@ def keyword_score(text: Column, keywords: Column) -> Column:
     return F.aggregate(keywords, F.lit(0).cast("long"), lambda n, k: n + occurrences(text, k))
 
 
+def has_keyword(text: Column, keywords: Column) -> Column:
+    """Whether any keyword stands in the text: what a scan can drop rows by before it counts."""
+    return F.exists(keywords, lambda k: F.contains(text, k))
+
+
 def detected_language(text: Column) -> Column:
     """Language with most function words: en if the text is short, has none, or shares its top count with en."""
     words = F.regexp_extract_all(F.lower(text), F.lit("[a-zA-ZÀ-ÿ]+"), F.lit(0))

@@ -66,17 +66,20 @@ def containing(texts: DataFrame, text_id: str, items: DataFrame, item_id: str) -
     """Pairs ``(item_id, text_id)`` whose text holds the item's text verbatim.
 
     An item's longest inner word stands in every text that holds the item, as a word between
-    spaces, so texts and items are joined on it before the containment is tested. Items without
-    an inner word are tested against all texts.
+    spaces. Words and ids alone are joined on it; only the texts of the candidates that are left
+    are then read for the test. Items without an inner word, of one or two words, are tested
+    against all texts.
     """
     t, i = texts.select(F.col(text_id).alias("_t"), F.col("text").alias("_text")), items.select(F.col(item_id).alias("_i"), F.col("text").alias("_item"))
     words = F.split("_item", " ")
     inner = F.filter(F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0))), lambda w: F.length(w) > 0)
     longest = F.array_sort(F.transform(inner, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w"))))
     i = i.withColumn("_word", F.try_element_at(longest, F.lit(1))["w"])
-    by_word = t.withColumn("_word", F.explode(F.array_distinct(F.split("_text", " "))))
+    keyed = i.where("_word is not null")
+    by_word = t.select("_t", F.explode(F.array_distinct(F.split("_text", " "))).alias("_word"))
     hit = F.contains("_text", "_item")
-    found = i.where("_word is not null").join(by_word, "_word").where(hit).select("_i", "_t")
+    candidates = keyed.select("_i", "_word").join(by_word, "_word").select("_i", "_t").distinct()
+    found = candidates.join(keyed.select("_i", "_item"), "_i").join(t, "_t").where(hit).select("_i", "_t")
     rest = i.where("_word is null and length(_item) > 0").join(t, hit).select("_i", "_t")
     return found.unionByName(rest).select(F.col("_i").alias(item_id), F.col("_t").alias(text_id))
 

@@ -18,8 +18,9 @@ PROVISION_COLUMNS = ["economy", "law_name", "law_number_ref", "last_amended", "i
 
 def keyword_hits(docs: DataFrame, indicators: DataFrame) -> DataFrame:
     """Elements with a keyword of an indicator: ``(lang, indicator_id, doc_id, seq, element_id, score)``."""
-    langs = docs.select(F.col("doc_id"), F.posexplode(F.split("text", "\n", -1)).alias("seq", "line"), "lang").where(F.trim("line") != "")
-    scored = langs.crossJoin(F.broadcast(indicators)).withColumn("score", T.keyword_score(F.lower("line"), F.col("keywords"))).where("score > 0")
+    rows = docs.select("doc_id", F.posexplode(F.split(F.lower("text"), "\n", -1)).alias("seq", "line"), "lang").where(F.trim("line") != "")
+    met = rows.join(F.broadcast(indicators), T.has_keyword(F.col("line"), F.col("keywords")))
+    scored = met.withColumn("score", T.keyword_score(F.col("line"), F.col("keywords")))
     return scored.select("lang", "indicator_id", "doc_id", "seq", F.concat_ws("_p", "doc_id", "seq").alias("element_id"), "score")
 
 

@@ -55,8 +55,9 @@ def coverage_3state(table):
 @query(f"""WITH s AS (SELECT lang, indicator_id, doc_id, {SCORE_SQL.format('lower(text)')} AS score FROM documents, {INDICATOR_SQL}),
 r AS (SELECT *, row_number() OVER (PARTITION BY indicator_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) SELECT indicator_id, doc_id, CAST(score AS BIGINT) AS score, rank FROM r WHERE rank <= 10""")
 def keyword_topk(table):
-    docs = table("documents").crossJoin(F.broadcast(_indicators(table)))
-    scored = docs.select("indicator_id", "doc_id", T.keyword_score(F.lower("text"), F.col("keywords")).alias("score")).where("score > 0")
+    docs = table("documents").select("doc_id", F.lower("text").alias("low"))
+    met = docs.join(F.broadcast(_indicators(table)), T.has_keyword(F.col("low"), F.col("keywords")))
+    scored = met.select("indicator_id", "doc_id", T.keyword_score(F.col("low"), F.col("keywords")).alias("score"))
     return relational.top_k(scored, ["indicator_id"], [F.desc("score"), F.asc("doc_id")], 10)
 
 
