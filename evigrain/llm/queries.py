@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evigrain.llm import covertree, linedup, media, mixing, ngrams, pieces, quality, sanitise, secrets, simhash
+from evigrain.llm import alignment, automaton, covertree, linedup, media, mixing, ngrams, pieces, quality, sanitise, secrets, simhash, veccodes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,14 +35,18 @@ def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(_table(spark, sf_dir, "documents"))
 
 
-def piece_model() -> bytes:
-    """The model that op6 encodes with."""
+def vocabulary_file(name: str) -> bytes:
     import public_tokenizers
 
-    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+    with open(public_tokenizers.path(name), "rb") as f:
         return f.read()
 
 
+def piece_model() -> bytes:
+    """The model that op6 encodes with."""
+    return vocabulary_file("piece_bpe_32k.model")
+
+
 def op6_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_digests(pieces.encode_documents(_table(spark, sf_dir, "documents"), piece_model()))
 
@@ -73,8 +77,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(_table(spark, sf_dir, "documents"), trusted_ids(spark, sf_dir)).where("kept")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokens(_table(spark, sf_dir, "documents"), vocabulary_file("byte_bpe_50k.json").decode(), piece_model())
+
+
+def op12_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return veccodes.encode_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = automaton.encode_documents(_table(spark, sf_dir, "documents"), vocabulary_file("word_bpe_49k.json").decode())
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op2_pii": op2_pii, "op3_mix": op3_mix, "op4_lines": op4_lines, "op5_media": op5_media, "op6_pieces": op6_pieces, "op7_lm": op7_lm, "op8_embeddings": op8_embeddings, "op9_secrets": op9_secrets, "op10_quality": op10_quality}
+    found = [op1_simhash, op2_pii, op3_mix, op4_lines, op5_media, op6_pieces, op7_lm, op8_embeddings, op9_secrets, op10_quality, op11_align, op12_codes, op13_bpe]
+    return {f.__name__: f for f in found}
 
 
 OP3_SQL = r"""
@@ -102,5 +120,23 @@ SELECT vec_id, (SELECT count(*) FROM l WHERE l.x = c.vec_id) AS n_links, compone
 """
 
 
+def op12_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds of assignment and means one after the other, over vectors of the same length."""
+    near = "SELECT r, p.part, arg_min(entry, (d, entry)) AS entry, min(d) AS d FROM (SELECT r, v.part, entry, list_sum(list_transform(list_zip(v.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v JOIN b{} b ON v.part = b.part) p GROUP BY r, p.part"
+    ctes = [
+        "k AS (SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id NULLS LAST) AS r FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"v AS (SELECT vec_id, label, r, part, list_transform(e[part * len(e) // {parts} + 1 : (part + 1) * len(e) // {parts}], lambda x: floor({veccodes.SCALE} * x::DOUBLE)::BIGINT) AS x FROM k, range({parts}) t(part))",
+        f"b0 AS (SELECT part, r - 1 AS entry, x FROM v WHERE r <= {entries})",
+    ]
+    for i in range(rounds):
+        ctes.append(f"a{i} AS ({near.format(i)})")
+        ctes.append(f"m{i} AS (SELECT part, entry, list(y ORDER BY i) AS x FROM (SELECT part, entry, i, floor(sum(y) / count(*))::BIGINT AS y FROM (SELECT part, entry, unnest(x) AS y, generate_subscripts(x, 1) AS i FROM v JOIN a{i} USING (r, part)) GROUP BY part, entry, i) GROUP BY part, entry)")
+        ctes.append(f"b{i + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, b.x) AS x FROM b{i} b LEFT JOIN m{i} m USING (part, entry))")
+    ctes.append(f"a AS ({near.format(rounds)})")
+    ctes.append("c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a GROUP BY r)")
+    digest = f"(SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b{rounds})"
+    return f"WITH {', '.join(ctes)} SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, {digest} AS codebooks_sha256 FROM c JOIN k USING (r)"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": OP3_SQL, "op8_embeddings": OP8_SQL}
+    return {"op3_mix": OP3_SQL, "op8_embeddings": OP8_SQL, "op12_codes": op12_sql()}
