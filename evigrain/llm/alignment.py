@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evigrain.llm.automaton import byte_symbols
 from evigrain.llm.runs import pack, unpack
 from evigrain.llm.staging import staged
 
@@ -35,13 +36,6 @@ MARK = "▁"
 CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
-def byte_symbols() -> dict[str, int]:
-    """The byte that each symbol of a byte-level vocabulary stands for: printable ones for themselves, others in order from 256."""
-    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    symbols = {chr(b): b for b in plain}
-    return symbols | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
-
-
 def merged_ends(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
     """Two pointers over the cumulative ends of both sides' tokens: ``(i, j)`` of every pair whose ranges overlap,
     and the links after which both sides end, so groups end. Both sides end at the same place."""

@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,9 +26,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bounds of the caches in a worker, and the longest chunk that is kept there.
-CACHE_CHUNKS, CACHE_ARCS, CHUNK_CHARS = 200_000, 500_000, 64
+CACHE_WORDS, CACHE_CHUNKS, CACHE_ARCS, CHUNK_CHARS = 400_000, 100_000, 500_000, 64
 SLICE_ROWS = 256
 FOREVER = 1 << 62
+SHORT = (2, 1)
+#: Before the string of an added token, which so is no word.
+ADDED = "\0"
+CHUNKS = re.compile("[^ \t-\r]+").findall
+#: A normaliser and a split whose work on texts below U+0250 without control characters is known: lower case alone, and ``LATIN_SPLIT``.
+LATIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+LATIN_PRETOKENIZER = [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+LATIN = sorted({x for c in range(0x250) for x in chr(c).lower()})
+LETTERS, NUMBERS = ("".join(x for x in LATIN if unicodedata.category(x)[0] == kind) for kind in "LN")
+LATIN_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{NUMBERS}]|[^{LETTERS}{NUMBERS}\\t-\\r \x85\xa0]+").findall
+BEYOND_LATIN = re.compile("[\x00-\x08\x0e-\x1f\x7f\u0250-\U0010ffff]").search
 
 
 def compile_merges(tokenizer: dict) -> dict:
@@ -92,6 +107,13 @@ class Arcs:
                 return True
 
 
+def byte_symbols() -> dict[str, int]:
+    """The byte that each symbol of a byte-level vocabulary stands for: printable ones for themselves, others in order from 256."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    symbols = {chr(b): b for b in plain}
+    return symbols | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 class Encoder:
     """Encodes words, which are strings of base symbols, by the automaton."""
 
@@ -101,77 +123,99 @@ class Encoder:
         live = {label: i for i, label in enumerate(self.labels[: tables["size"]]) if label is not None and tables["live"][i]}
         self.inner = {label: i for label, i in live.items() if not suffix or not label.endswith(suffix)}
         self.last = {label[: -len(suffix)]: i for label, i in live.items() if label.endswith(suffix)} if suffix else self.inner
-        #: The most symbols of a token that begins with these two.
-        self.reach: dict[str, int] = {}
-        for label in [*self.inner, *self.last]:
-            self.reach[label[:2]] = max(self.reach.get(label[:2], 0), len(label))
+        self.inner_lengths, self.last_lengths = _lengths(self.inner), _lengths(self.last)
 
     def encode(self, word: str) -> list[int]:
-        """The only path that reads ``word``: arcs are followed, long ones first, and taken back where none goes on.
-
-        Only one path leads to each place of the word, so a place from which none goes on is never tried again.
-        """
-        if (whole := self.last.get(word)) is not None:
+        """The only path that reads ``word``. Each of its beginnings has one path too, whose last token and its start are kept."""
+        whole = self.last.get(word)
+        if whole is not None:
             return [whole]
-        n, inner, last, leads, reach = len(word), self.inner, self.last, self.arcs.leads, self.reach
-        path: list[int] = []
-        ends, dead, at, token, state = [0], set(), 0, None, None
-        length = min(n, reach.get(word[:2], 1))
-        while at < n:
-            while length:
-                end = at + length
-                token = inner.get(word[at:end]) if end < n else last.get(word[at:end])
-                if token is not None and end not in dead and (state is None or leads(state, token)):
-                    break
-                length -= 1
-            if length:
-                path.append(token)
-                ends.append(end)
-                at, state = end, token
-                length = min(n - at, reach.get(word[at : at + 2], 1))
-            elif path:
-                dead.add(at)
-                ends.pop()
-                path.pop()
-                length, at, state = at - ends[-1] - 1, ends[-1], path[-1] if path else None
+        n, known, size, leads = len(word), self.arcs.known, self.arcs.size, self.arcs.leads
+        tokens, starts = [0] * (n + 1), [0] * (n + 1)
+        ids, lengths = self.inner, self.inner_lengths
+        for end in range(1, n + 1):
+            if end == n:
+                ids, lengths = self.last, self.last_lengths
+            for length in lengths.get(word[end - 3 : end], SHORT) if end > 2 else SHORT:
+                start = end - length
+                if start >= 0 and (token := ids.get(word[start:end])) is not None:
+                    if not start:
+                        break
+                    good = known.get(tokens[start] * size + token)
+                    if good is None:
+                        good = leads(tokens[start], token)
+                    if good:
+                        break
             else:
                 raise ValueError("a word has symbols that the vocabulary lacks")
+            tokens[end], starts[end] = token, start
+        path, end = [], n
+        while end:
+            path.append(tokens[end])
+            end = starts[end]
+        path.reverse()
         return path
 
 
-class ChunkCoder:
-    """Chunks of text between white space to ``(count, ids, labels)``, remembered up to a bound.
+def _lengths(ids: dict[str, int]) -> dict[str, tuple[int, ...]]:
+    """Lengths of the labels that end with these three symbols, long ones first, and of shorter labels."""
+    found: dict[str, set[int]] = {}
+    for label in ids:
+        if len(label) > 2:
+            found.setdefault(label[-3:], set()).add(len(label))
+    return {tail: (*sorted(lengths, reverse=True), *SHORT) for tail, lengths in found.items()}
+
+
+class WordCoder(dict):
+    """Words, as byte symbols, to their ids in decimal, joined by spaces; ``labels`` has the labels of the same arcs.
 
-    Neither normalisation nor the cut into words looks across white space, so each chunk stands for itself.
+    A text is cut into chunks at white space, since neither normalisation nor the cut into words
+    looks across it, and the library cuts each chunk. Texts of Latin letters alone, and whose words
+    are cut by ``LATIN_SPLIT``, need no library for that. Both caches are bounded.
     """
 
-    def __init__(self, tokenizer, tables: dict, added: list[dict]):
+    def __init__(self, tokenizer, tables: dict, config: dict):
+        super().__init__()
         self.normalise, self.split = tokenizer.normalizer, tokenizer.pre_tokenizer
-        self.encoder, self.labels = Encoder(tables), tables["labels"]
-        self.added = {t["content"]: t["id"] for t in added}
-        self.between = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if added else None
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.encoder, self.names, self.labels, self.cut = Encoder(tables), tables["labels"], {}, {}
+        self.numbers = list(map(str, range(len(self.names))))
+        self.added = {t["content"]: t["id"] for t in config.get("added_tokens", [])}
+        self.between = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.latin = config["normalizer"] == LATIN_NORMALIZER and config["pre_tokenizer"]["pretokenizers"] == LATIN_PRETOKENIZER
+        self.symbols = {b: s for s, b in byte_symbols().items()}
+
+    def __missing__(self, word: str) -> str:
+        ids = [self.added[word[1:]]] if word[0] == ADDED else self.encoder.encode(word)
+        numbers, names = self.numbers, self.names
+        self[word] = found = " ".join([numbers[i] for i in ids])
+        self.labels[word] = " ".join([names[i] for i in ids])
+        return found
 
-    def words(self, text: str) -> list[str]:
-        """The words of normalised text, as byte symbols, as the library cuts them."""
-        return [w for w, _ in self.split.pre_tokenize_str(self.normalise.normalize_str(text))]
+    def bound(self) -> None:
+        if len(self) > CACHE_WORDS:
+            self.clear()
+            self.labels.clear()
+        if len(self.cut) > CACHE_CHUNKS:
+            self.cut.clear()
 
-    def code(self, chunk: str) -> tuple[int, str, str]:
-        found = self.known.get(chunk)
-        if found is None:
-            ids: list[int] = []
-            for part in self.between.split(chunk) if self.between else [chunk]:
-                if part in self.added:
-                    ids.append(self.added[part])
-                elif part:
-                    for word in self.words(part):
-                        ids += self.encoder.encode(word)
-            found = len(ids), " ".join(map(str, ids)), " ".join(map(self.labels.__getitem__, ids))
-            if len(chunk) <= CHUNK_CHARS:
-                if len(self.known) >= CACHE_CHUNKS:
-                    self.known.clear()
-                self.known[chunk] = found
-        return found
+    def words(self, text: str) -> list[str]:
+        if self.latin and not BEYOND_LATIN(text) and not (self.between and self.between.search(text)):
+            found = LATIN_SPLIT(text.lower())
+            return found if text.isascii() else [w if w.isascii() else w.encode().decode("latin-1").translate(self.symbols) for w in found]
+        out: list[str] = []
+        for chunk in CHUNKS(text):
+            found = self.cut.get(chunk)
+            if found is None:
+                found = []
+                for part in self.between.split(chunk) if self.between else [chunk]:
+                    if part in self.added:
+                        found.append(ADDED + part)
+                    elif part:
+                        found += [w for w, _ in self.split.pre_tokenize_str(self.normalise.normalize_str(part))]
+                if len(chunk) <= CHUNK_CHARS:
+                    self.cut[chunk] = found
+            out += found
+        return out
 
 
 def _check(config: dict) -> None:
@@ -195,28 +239,25 @@ def encode_documents(df: DataFrame, tokenizer_json: str, id_col: str = "doc_id",
     """
     config = json.loads(tokenizer_json)
     _check(config)
-    added = config.get("added_tokens", [])
-    shared = df.sparkSession.sparkContext.broadcast((tokenizer_json, compile_merges(config), added))
+    shared = df.sparkSession.sparkContext.broadcast((tokenizer_json, compile_merges(config)))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        text_json, tables, specials = shared.value
+        text_json, tables = shared.value
         tokenizer = Tokenizer.from_str(text_json)
         tokenizer.no_truncation()
         tokenizer.no_padding()
-        coder = ChunkCoder(tokenizer, tables, specials)
-        chunks = re.compile("[^ \t-\r]+").findall
+        coder = WordCoder(tokenizer, tables, json.loads(text_json))
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 texts = [t or "" for t in part.column(1).to_pylist()]
-                counts, ids, decoded = [], [], []
-                for text in texts:
-                    found = [c for c in map(coder.code, chunks(text)) if c[0]]
-                    counts.append(sum(c[0] for c in found))
-                    ids.append(" ".join([c[1] for c in found]))
-                    decoded.append(" ".join([c[2] for c in found]))
+                coder.bound()
+                words = [coder.words(t) for t in texts]
+                ids = [" ".join(map(coder.__getitem__, w)) for w in words]
+                decoded = [" ".join(map(coder.labels.__getitem__, w)) for w in words]
+                counts = [x.count(" ") + 1 if x else 0 for x in ids]
                 sample = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
                 theirs = tokenizer.encode(texts[sample], add_special_tokens=False).ids
                 if ids[sample] != " ".join(map(str, theirs)) or decoded[sample] != tokenizer.decode(theirs, skip_special_tokens=False):

@@ -50,6 +50,19 @@ def test_bpe_equals_library(spark, docs, word_bpe):
     assert automaton.encode_documents(spark.createDataFrame([], "doc_id long, text string"), word_bpe).count() == 0
 
 
+def test_latin_texts_need_no_library(word_bpe):
+    """Every character below the bound, between letters, digits and others, is cut as the library cuts it."""
+    theirs = tokenizers.Tokenizer.from_str(word_bpe)
+    config = json.loads(word_bpe)
+    coder = automaton.WordCoder(theirs, automaton.compile_merges(config), config)
+    rng = random.Random(8)
+    texts = [f"{a}{chr(c)}{b}" for c in range(0x250) for a, b in (("a", "b"), ("1", "2"), (" ", " "), ("'", "s"), ("!", "?"))]
+    texts += ["".join(chr(rng.randrange(0x250)) if rng.random() < 0.3 else rng.choice("ab'sDREV1 ") for _ in range(30)) for _ in range(400)]
+    for text in texts:
+        assert coder.latin
+        assert coder.words(text) == [w for w, _ in theirs.pre_tokenizer.pre_tokenize_str(theirs.normalizer.normalize_str(text))], text
+
+
 def test_automaton_of_small_merges():
     """Words of repeated letters, where the gadget's copies lack their own token, against merging by rank."""
     rng = random.Random(3)
@@ -95,7 +108,7 @@ def test_alignment_against_brute_force(spark, docs, monkeypatch):
     byte_json, model = queries.vocabulary_file("byte_bpe_50k.json").decode(), queries.piece_model()
     a, b = tokenizers.Tokenizer.from_str(byte_json), sentencepiece.SentencePieceProcessor(model_proto=model)
     a.encode_special_tokens = True
-    symbols = alignment.byte_symbols()
+    symbols = automaton.byte_symbols()
     labels = {i: bytes(symbols[c] for c in s) if i != 50256 else b"" for s, i in a.get_vocab().items()}
     rows, held = [], collections.Counter()
     for r in docs.collect():
