@@ -1,7 +1,7 @@
 """Alignment of two tokenizers' tokens over the same bytes.
 
 Texts are cut before single spaces between other characters, where tokens of both kinds begin
-anew; a chunk's tokens, merged by two pointers over their cumulative ends, give its groups and
+anew. Two pointers over the cumulative ends of the tokens of new chunks give their groups and
 links, and a chunk met again comes from a bounded cache in the worker. Each task packs its
 documents into blocks of bounded size: documents keep places in their block's list of different
 id pairs. Spark counts the pairs of all blocks, joins the counts back to the blocks' lists, and
@@ -29,25 +29,12 @@ from evigrain.llm.staging import staged
 #: Links or documents in a block, from which it is closed; a document is never cut.
 BLOCK_LINKS, BLOCK_ROWS = 1 << 18, 1 << 14
 SLICE_ROWS = 256
-#: Bounds of the worker's cache and of a chunk in it.
-CACHE_CHUNKS, CHUNK_CHARS = 150_000, 64
+#: Bounds of the worker's cache and of a chunk in it, and the new chunks that are encoded as one text.
+CACHE_CHUNKS, CHUNK_CHARS, TOGETHER = 150_000, 64, 1024
 MARK = "▁"
 #: Where chunks begin: a space between two characters that aren't white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-
-
-def merged_ends(a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[int]]:
-    """Two pointers over the cumulative ends of both sides' tokens: ``(i, j)`` of every pair whose ranges overlap,
-    and the links after which both sides end, so groups end. Both sides end at the same place."""
-    links, cuts, i, j = [], [], 0, 0
-    while i < len(a):
-        links.append((i, j))
-        here_a, here_b = a[i], b[j]
-        i += here_a <= here_b
-        j += here_b <= here_a
-        if here_a == here_b:
-            cuts.append(len(links))
-    return links, cuts
+WIDE = re.compile(r"\s\s|^\s|\s$").search
 
 
 class PairCoder:
@@ -67,44 +54,77 @@ class PairCoder:
             if all(c in symbols for c in label):
                 self.a_bytes[i] = bytes(symbols[c] for c in label)
         self.b_bytes = [self._piece(i) for i in range(self.b.vocab_size())]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
+        #: Chunks met since the cache was last full, and those of the time before.
         self.known: dict[str, tuple | None] = {}
+        self.before: dict[str, tuple | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode()
 
-    def tokens(self, chunks: list[str]) -> Iterator[tuple[str, list[int], list[int]]]:
-        """Ids of both sides; each chunk begins with the space that the second side adds itself."""
-        both = zip(self.a.encode_batch(chunks, add_special_tokens=False), self.b.encode([c[1:] for c in chunks], num_threads=1), strict=True)
-        return ((chunk, a.ids, b) for chunk, (a, b) in zip(chunks, both, strict=True))
+    def aligned(self, chunks: list[str]) -> list[tuple] | None:
+        """Of chunks that follow each other in a text: two pointers go over the cumulative ends of both sides' tokens.
 
-    def aligned(self, chunk: str, a: list[int], b: list[int]) -> tuple | None:
-        parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if not a or b"".join(parts_a) != b"".join(parts_b) or b"".join(parts_a) != chunk.encode():
+        Each end of either side is a link of the tokens that the pointers are in, each end of both
+        cuts a group, and chunks end with a group. None if a side's bytes differ from the text's.
+        """
+        text = "".join(chunks)
+        # the second side adds the space that the first chunk begins with
+        ids_a, ids_b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
+        if any(b"".join(map(side.__getitem__, ids)) != text.encode() for side, ids in ((self.a_bytes, ids_a), (self.b_bytes, ids_b))):
             return None
-        ends_a, ends_b = np.cumsum([len(x) for x in parts_a]).tolist(), np.cumsum([len(x) for x in parts_b]).tolist()
-        links, cuts = merged_ends(ends_a, ends_b)
-        groups, i, j = [], 0, 0
-        for cut in cuts:
-            last_i, last_j = links[cut - 1]
-            groups.append(",".join(map(str, a[i : last_i + 1])) + "|" + ",".join(map(str, b[j : last_j + 1])))
-            i, j = last_i + 1, last_j + 1
-        pairs = np.array([a[x] << 32 | b[y] for x, y in links], "<u8").tobytes()
-        return len(a), len(b), len(cuts), ";".join(groups), pairs
-
-    def learn(self, chunks: set[str]) -> dict[str, tuple | None]:
-        """Of all ``chunks``; those too long for the cache are in the result alone."""
+        a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ends = np.union1d(ends_a, ends_b)
+        i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
+        pairs = (a[i] << 32 | b[j]).astype("<u8").tobytes()
+        cut = np.flatnonzero((ends_a[i] == ends) & (ends_b[j] == ends))
+        last_i, last_j = [0, *(i[cut] + 1).tolist()], [0, *(j[cut] + 1).tolist()]
+        sizes = [len(c) for c in chunks] if text.isascii() else [len(c.encode()) for c in chunks]
+        stops = np.cumsum(sizes)
+        whole = np.searchsorted(ends[cut], stops)
+        if (ends[cut][whole] != stops).any():
+            raise ValueError("tokens cross a space between words")
+        texts_a, texts_b = list(map(str, ids_a)), list(map(str, ids_b))
+        spans = zip(last_i[:-1], last_i[1:], last_j[:-1], last_j[1:], strict=True)
+        groups = [f"{texts_a[p]}|{texts_b[r]}" if q - p == s - r == 1 else ",".join(texts_a[p:q]) + "|" + ",".join(texts_b[r:s]) for p, q, r, s in spans]
+        out, g = [], 0
+        links = [0, *(cut + 1).tolist()]
+        for h in (whole + 1).tolist():
+            out.append((last_i[h] - last_i[g], last_j[h] - last_j[g], h - g, ";".join(groups[g:h]), pairs[8 * links[g] : 8 * links[h]]))
+            g = h
+        return out
+
+    def learn(self, chunks: set[str]) -> list[str]:
+        """Make sure that all ``chunks`` are known; returns those too long to stay so."""
         if len(self.known) > CACHE_CHUNKS:
-            self.known.clear()
-        new = list(chunks.difference(self.known))
-        found = {chunk: self.aligned(chunk, a, b) for at in range(0, len(new), 4096) for chunk, a, b in self.tokens(new[at : at + 4096])}
-        self.known.update((c, x) for c, x in found.items() if len(c) <= CHUNK_CHARS)
-        return found
+            self.known, self.before = {}, self.known
+        self.known.update((c, self.before[c]) for c in chunks if c not in self.known and c in self.before)
+        new = [c for c in chunks if c not in self.known]
+        plain = [c for c in new if not (c[1:2].isspace() or c[-1].isspace())]
+        for at in range(0, len(plain), TOGETHER):
+            self._learn(plain[at : at + TOGETHER])
+        for chunk in new:
+            if chunk not in self.known:
+                self._learn([chunk])
+        return [c for c in new if len(c) > CHUNK_CHARS]
+
+    def _learn(self, chunks: list[str]) -> None:
+        """In halves where a chunk's bytes differ."""
+        found = self.aligned(chunks)
+        if found is not None or len(chunks) == 1:
+            self.known.update(zip(chunks, found or [None], strict=True))
+        else:
+            self._learn(chunks[: len(chunks) // 2])
+            self._learn(chunks[len(chunks) // 2 :])
 
 
 def chunks_of(text: str) -> list[str]:
     """The space and the text, cut where tokens of both sides begin; none for an empty text."""
-    return [" " + c for c in CUT.split(text)] if text else []
+    if not text:
+        return []
+    return [" " + c for c in (CUT.split(text) if WIDE(text) else text.split(" "))]
 
 
 RESULT = ["id", "n_a", "n_b", "n_groups", "n_links", "groups"]
@@ -137,17 +157,18 @@ def align_tokens(df: DataFrame, byte_json: str, piece_model: bytes, id_col: str
                 part = batch.slice(at, SLICE_ROWS)
                 ids, texts = part.column(0).to_pylist(), [t or "" for t in part.column(1).to_pylist()]
                 chunks = [chunks_of(t) for t in texts]
-                found = coder.learn(set().union(*chunks))
-                found.update((c, coder.known[c]) for x in chunks for c in x if c not in found)
+                long = coder.learn(set().union(*chunks))
                 sample = min(range(len(texts)), key=lambda i: (not texts[i], len(texts[i])))
-                _same(coder, texts[sample], [found[c] for c in chunks[sample]])
+                _same(coder, texts[sample], [coder.known[c] for c in chunks[sample]])
                 for ident, mine in zip(ids, chunks, strict=True):
-                    parts = [found[c] for c in mine]
+                    parts = list(map(coder.known.__getitem__, mine))
                     waiting.append(_document(ident, parts, with_groups) if parts and None not in parts else (ident, 0, 0, 0, 0, "", None, None))
                     links += waiting[-1][4]
                     if links >= BLOCK_LINKS or len(waiting) >= BLOCK_ROWS:
                         yield _block(waiting)
                         waiting, links = [], 0
+                for chunk in long:
+                    del coder.known[chunk]
         if waiting:
             yield _block(waiting)
 
@@ -171,17 +192,17 @@ def _same(coder: PairCoder, text: str, parts: list) -> None:
     """The chunks' tokens are those of the whole text."""
     if not text or None in parts:
         return
-    (_, a, b), = coder.tokens([" " + text])
-    whole = coder.aligned(" " + text, a, b)
-    if whole is None or whole[3] != ";".join(p[3] for p in parts):
+    whole = coder.aligned([" " + text])
+    if whole is None or whole[0][3] != ";".join(p[3] for p in parts):
         raise ValueError("a text's tokens differ from the libraries'")
 
 
 def _document(ident: int | None, parts: list[tuple], with_groups: bool) -> tuple:
-    pairs, times = np.unique(np.frombuffer(b"".join(p[4] for p in parts), "<u8"), return_counts=True)
-    groups = ";".join(p[3] for p in parts)
+    n_a, n_b, n_groups, texts, found = zip(*parts, strict=True)
+    pairs, times = np.unique(np.frombuffer(b"".join(found), "<u8"), return_counts=True)
+    groups = ";".join(texts)
     shown = groups if with_groups else hashlib.sha256(groups.encode()).hexdigest()
-    return ident, sum(p[0] for p in parts), sum(p[1] for p in parts), sum(p[2] for p in parts), int(times.sum()), shown, pairs, times
+    return ident, sum(n_a), sum(n_b), sum(n_groups), int(times.sum()), shown, pairs, times
 
 
 def _block(documents: list[tuple]) -> pa.RecordBatch:
