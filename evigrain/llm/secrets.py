@@ -52,7 +52,9 @@ TOKEN = re.compile(r"[A-Za-z0-9]+|[^\W\d_A-Za-z]+|\S")
 STRETCH = re.compile(r"[A-Za-z0-9+/_.-]+={0,2}")
 LONG_STRETCH = re.compile(r"[A-Za-z0-9+/_.-]{16,}|[A-Za-z0-9+/_.-]{15}=|[A-Za-z0-9+/_.-]{14}==")
 KEY_WORDS = ("pass", "pwd", "secret", "token", "api", "key", "auth", "cred")
-AFTER_KEY = re.compile(r"""(?:pass|pwd|secret|token|api|key|auth|cred)\w*["']?\s{0,4}[:=]\s{0,4}["']?(?:bearer\s)?(?=[A-Za-z0-9+/_.-]{8})""", re.I)
+#: After the word run that holds a key word: an assignment and what the value begins with.
+ASSIGNED = re.compile(r"""["']?\s{0,4}[:=]\s{0,4}["']?(?:bearer\s)?(?=[A-Za-z0-9+/_.-]{8})""", re.I)
+RUN = re.compile(r"\w*")
 KEY_WORD = re.compile(r"pass|pwd|secret|token|api|key|auth|cred", re.I)
 SPACE = re.compile(r"\s")
 
@@ -130,18 +132,25 @@ def file_features(text: str) -> tuple[int, ...]:
 
 
 def key_ends(text: str) -> set[int]:
-    """Where the value begins after each key word with an assignment."""
-    low = text.lower()
-    if len(low) != len(text):  # a few letters have longer lower forms, which move the places
-        return {m.end() for m in AFTER_KEY.finditer(text)}
-    found = set()
-    for word in KEY_WORDS:
-        at = low.find(word)
-        while at >= 0:
-            m = AFTER_KEY.match(text, at)
-            if m:
-                found.add(m.end())
-            at = low.find(word, at + 1)
+    """Where the value begins after each key word with an assignment. A run of word characters is read once for each key word, however often it holds it."""
+    low, found = text.lower(), set()
+
+    def after(at: int) -> int:
+        end = RUN.match(text, at).end()
+        m = ASSIGNED.match(text, end)
+        if m:
+            found.add(m.end())
+        return end
+
+    if len(low) == len(text):
+        for word in KEY_WORDS:
+            at = low.find(word)
+            while at >= 0:
+                at = low.find(word, after(at))
+    else:  # a few letters have longer lower forms, which move the places
+        m = KEY_WORD.search(text)
+        while m:
+            m = KEY_WORD.search(text, after(m.start()))
     return found
 
 
