@@ -24,10 +24,6 @@ def tokens(text: Column, pattern: str = WORD) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
-def content_tokens(text: Column, stopwords: list[str]) -> Column:
-    return F.filter(tokens(text), lambda t: ~t.isin(stopwords))
-
-
 def collapsed(text: Column) -> Column:
     """White space collapsed, trimmed, lower-cased."""
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
@@ -103,18 +99,6 @@ def display_indicator(ident: Column) -> Column:
     return F.when(ident.rlike(pattern), F.concat(F.lit("P"), part(1, 3), F.lit("-I"), part(2, 4)))
 
 
-def lines(text: Column) -> Column:
-    """Lines with half-open character offsets, in one pass over the text."""
-    empty = F.expr("named_struct('at', 0, 'out', cast(array() as array<struct<char_start:int,char_end:int,line:string>>))")
-
-    def step(done: Column, line: Column) -> Column:
-        end = done["at"] + F.length(line)
-        row = F.struct(done["at"].alias("char_start"), end.alias("char_end"), line.alias("line"))
-        return F.struct((end + 1).alias("at"), F.concat(done["out"], F.array(row)).alias("out"))
-
-    return F.aggregate(F.split(text, "\n", -1), empty, step)["out"]
-
-
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]+)", 1))
 

@@ -42,24 +42,58 @@ def merged_intervals(df: DataFrame, by: list[str], start: str, end: str) -> Data
     return numbered.groupBy(*by, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count(F.lit(1)).alias("parts")).drop("_island")
 
 
-def similar_pairs(df: DataFrame, ident: str, cell: list[str], token_col: str, least: float) -> DataFrame:
-    """Pairs of a cell whose token sets have a Jaccard of ``least`` or more, by prefix filter.
+def ranked(df: DataFrame, by: list[str], order: str, name: str = "rank", width: int = 1 << 16) -> DataFrame:
+    """``df`` with each row's place in its group, from 1, by an integer column that differs within the group.
 
-    Of n tokens in a fixed order, longest and so rarest first, only the first ``n - ceil(least * n) + 1`` are joined: sets that
-    are similar enough share one of them. So only sets with a token in common meet.
+    Places within slices of ``width`` values, and the sum of the slices before: no task holds a whole
+    group, however large one is. A null group is a group like any other.
     """
-    sets = df.select(ident, *cell, F.array_distinct(token_col).alias("set")).where("size(set) > 0")
-    ordered = F.array_sort(F.transform("set", lambda t: F.struct((-F.length(t)).alias("n"), F.xxhash64(t).alias("h"), t.alias("t"))))
-    length = F.size("set") - F.ceil(F.lit(least) * F.size("set")) + 1
-    keys = sets.withColumn("key", F.explode(F.slice(ordered, F.lit(1), length.cast("int")))).withColumn("key", F.col("key.t"))
+    slice_ = F.floor(F.col(order) / width).alias("_slice")
+    rows = df.withColumn("_slice", slice_)
+    counts = rows.groupBy(*by, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate([*by, "_slice"])), F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "_slice").orderBy(order))
+    same = F.lit(True)
+    for i, c in enumerate([*by, "_slice"]):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    return rows.withColumn("_inside", inside).join(offsets, same).select(*(F.col(c) for c in df.columns), (F.col("_inside") + F.col("_before")).alias(name))
+
+
+def token_sets(df: DataFrame, ident: str, cell: list[str], token_col: str) -> DataFrame:
+    """``(ident, *cell, set, class_id)``: sets that aren't empty, and the smallest id with an equal set in the cell."""
+    sets = df.select(F.col(ident).alias("ident"), *cell, F.array_sort(F.array_distinct(token_col)).alias("set")).where("size(set) > 0")
+    digest = F.sha2(F.concat_ws(chr(0), "set"), 256)
+    sets = sets.withColumn("_digest", digest)
+    first = sets.groupBy(*(F.col(c).alias(f"_{c}") for c in cell), F.col("_digest").alias("_its_digest")).agg(F.min("ident").alias("class_id"))
+    same = F.col("_digest") == F.col("_its_digest")
+    for c in cell:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return sets.join(first, same).select("ident", *cell, "set", "class_id")
+
+
+def similar_pairs(sets: DataFrame, cell: list[str], least: float) -> DataFrame:
+    """Pairs ``(*cell, left_id, right_id, similarity)`` of different sets of a cell with a Jaccard of ``least`` or more.
+
+    ``sets`` are those of ``token_sets``; only the first row of each class takes part, so copies
+    don't meet in pairs. Of n tokens, rarest first by the number of sets that hold them, only the
+    first ``n - ceil(least * n) + 1`` are joined: sets that are similar enough share one of them.
+    Ids and sizes alone are joined; only the sets of the candidates are then compared.
+    """
+    classes = sets.where("ident = class_id").drop("class_id")
+    words = classes.select("ident", *cell, F.size("set").alias("n"), F.explode("set").alias("t"))
+    counts = words.groupBy(F.col("t").alias("its")).agg(F.count(F.lit(1)).alias("held"))
+    place = F.row_number().over(Window.partitionBy("ident").orderBy("held", "t"))
+    keys = words.join(counts, F.col("t") == F.col("its")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("ident", *cell, "n", "t")
     a, b = keys.alias("a"), keys.alias("b")
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in [*cell, "key"]]
-    sizes = (F.size("a.set") >= least * F.size("b.set")) & (F.size("b.set") >= least * F.size("a.set"))
-    condition = F.col(f"a.{ident}") < F.col(f"b.{ident}")
-    for s in [*same, sizes]:
-        condition = condition & s
-    pairs = a.join(b, condition).select(*(F.col(f"a.{c}") for c in cell), F.col(f"a.{ident}").alias("left_id"), F.col(f"b.{ident}").alias("right_id"), T.jaccard(F.col("a.set"), F.col("b.set")).alias("similarity"))
-    return pairs.where(F.col("similarity") >= least).distinct()
+    met = (F.col("a.t") == F.col("b.t")) & (F.col("a.ident") < F.col("b.ident")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n"))
+    for c in cell:
+        met = met & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+    pairs = a.join(b, met).select(F.col("a.ident").alias("left_id"), F.col("b.ident").alias("right_id")).distinct()
+    left = classes.select(F.col("ident").alias("left_id"), *cell, F.col("set").alias("left_set"))
+    right = classes.select(F.col("ident").alias("right_id"), F.col("set").alias("right_set"))
+    both = pairs.join(left, "left_id").join(right, "right_id").withColumn("similarity", T.jaccard(F.col("left_set"), F.col("right_set")))
+    return both.where(F.col("similarity") >= least).select(*cell, "left_id", "right_id", "similarity")
 
 
 def containing(texts: DataFrame, text_id: str, items: DataFrame, item_id: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.functions import text as T
+from evigrain.functions.tokenizer import search_tokens
 from evigrain.operators.elements import paragraphs
 
 TOKEN = r"[\p{L}\p{N}_]{4,}"
@@ -41,9 +42,10 @@ def defensible_zero(state: Column, recall: Column, reach: Column, least_recall:
     return (state == "no_evidence_in_searched_corpus") & (recall >= least_recall) & (reach >= least_reach)
 
 
-def hashed_terms(rows: DataFrame, ident: str) -> DataFrame:
-    """Postings ``(ident, term, tf)`` of words of four or more letters."""
-    return rows.select(ident, F.explode(T.tokens(F.col("text"), TOKEN)).alias("t")).groupBy(ident, T.hashed_term(F.col("t")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+def hashed_terms(rows: DataFrame, ident: str, lang: str | None = None) -> DataFrame:
+    """Postings ``(ident, term, tf)`` of search tokens; ``lang`` names the column that picks the stopwords."""
+    tokens = search_tokens(F.col("text"), F.col(lang) if lang else None)
+    return rows.select(ident, F.explode(tokens).alias("t")).groupBy(ident, T.hashed_term(F.col("t")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def hashed_vectors(rows: DataFrame, ident: str, size: int = 64) -> DataFrame:

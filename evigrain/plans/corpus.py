@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evigrain.functions import text as T
+from evigrain.functions.tokenizer import search_tokens
 from evigrain.operators import elements, relational
-from evigrain.plans.registry import query, sql_list
+from evigrain.plans.registry import query, sql_list, tokens_sql
 
 LINES_SQL = "SELECT doc_id, lang, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq FROM documents"
 PAGE_SQL = r"regexp_replace(html, '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>|<!--.*?-->', ' ', 'g')"
@@ -22,11 +23,9 @@ def corpus_paragraphs(table):
     return elements.paragraphs(table("documents"))
 
 
-@query(f"""SELECT lang, token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM
-(SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM documents)
-WHERE NOT list_contains({sql_list(T.STOPWORDS['en'])}, token) GROUP BY ALL""")
+@query(f"""SELECT lang, token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lang, unnest({tokens_sql('text', 'lang')}) AS token FROM documents) GROUP BY ALL""")
 def token_frequency_by_lang(table):
-    words = table("documents").select("doc_id", "lang", F.explode(T.content_tokens(F.col("text"), T.STOPWORDS["en"])).alias("token"))
+    words = table("documents").select("doc_id", "lang", F.explode(search_tokens(F.col("text"), F.col("lang"))).alias("token"))
     by_doc = words.groupBy("lang", "token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return by_doc.groupBy("lang", "token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
@@ -138,13 +137,17 @@ def chunk_text(table):
     return elements.chunks(elements.paragraphs(table("documents")))
 
 
-@query("""WITH t AS (SELECT doc_id, lang, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{12,}')) AS s FROM documents)
-SELECT a.lang, a.doc_id AS left_id, b.doc_id AS right_id, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6) AS similarity
-FROM t a JOIN t b ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s) WHERE len(a.s) > 0 AND len(list_intersect(a.s, b.s)) >= 0.8 * len(list_distinct(list_concat(a.s, b.s)))""")
+@query("""WITH t AS (SELECT doc_id, lang, list_sort(list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'))) AS s FROM documents),
+c AS (SELECT *, min(doc_id) OVER (PARTITION BY lang, s) AS class_id FROM t WHERE len(s) > 0), u AS (SELECT * FROM c WHERE doc_id = class_id)
+SELECT lang, class_id AS left_id, doc_id AS right_id, 1.0::DOUBLE AS similarity FROM c WHERE doc_id <> class_id
+UNION ALL SELECT a.lang, a.doc_id, b.doc_id, round(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))), 6)
+FROM u a JOIN u b ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s) WHERE len(list_intersect(a.s, b.s)) >= 0.8 * len(list_distinct(list_concat(a.s, b.s)))""")
 def near_duplicates(table):
-    """Documents of a language that share most of their long words."""
-    docs = table("documents").select("doc_id", "lang", T.tokens(F.col("text"), r"[\p{L}\p{N}_]{12,}").alias("tokens"))
-    return relational.similar_pairs(docs, "doc_id", ["lang"], "tokens", 0.8).withColumn("similarity", F.round("similarity", 6))
+    """Documents of a language that share most of their words: pairs of the first documents of each word set, and every other document with the first of its set."""
+    docs = table("documents").select("doc_id", "lang", T.tokens(F.col("text")).alias("tokens"))
+    sets = relational.token_sets(docs, "doc_id", ["lang"], "tokens")
+    copies = sets.where("ident <> class_id").select("lang", F.col("class_id").alias("left_id"), F.col("ident").alias("right_id"), F.lit(1.0).alias("similarity"))
+    return copies.unionByName(relational.similar_pairs(sets, ["lang"], 0.8)).withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"""WITH l AS ({LINES_SQL}), w AS (SELECT DISTINCT doc_id, seq, unnest(regexp_extract_all(line, '[A-Z][a-z]+')) AS e FROM l)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evigrain.functions import text as T
-from evigrain.operators import relational
+from evigrain.operators import matching, relational
 from evigrain.plans.registry import query
 
 JUDGED_SQL = "j AS (SELECT d.doc_id, d.lang, CAST(l.quality AS VARCHAR) AS truth, CASE WHEN d.n_chars >= 200 AND NOT contains(d.text, '%%%') AND NOT contains(d.text, ' | ') THEN '1' ELSE '0' END AS predicted, least(1.0, d.n_chars / 4000.0) AS confidence FROM documents d JOIN labels l USING (doc_id))"
@@ -68,28 +68,21 @@ SELECT coalesce(g.jurisdiction, p.jurisdiction) AS jurisdiction, coalesce(g.indi
 def gold_match(table):
     """One-to-one matches of predictions and gold rows with equal keys, in order, and what they score."""
     docs = table("documents").withColumnsRenamed({"lang": "jurisdiction", "source": "indicator"})
-    rn = F.row_number().over(Window.partitionBy("jurisdiction", "indicator").orderBy("doc_id")).alias("rn")
-    gold = docs.join(table("labels").where("quality = 1"), "doc_id", "left_semi").select("jurisdiction", "indicator", rn, F.lit(True).alias("gold"))
-    predicted = docs.where("n_chars > 1000").select("jurisdiction", "indicator", rn, F.lit(True).alias("predicted"), (F.col("n_chars") > 1500).alias("verbatim"))
+    cell = ["jurisdiction", "indicator"]
+    gold = relational.ranked(docs.join(table("labels").where("quality = 1"), "doc_id", "left_semi"), cell, "doc_id", "rn").select(*cell, "rn", F.lit(True).alias("gold"))
+    predicted = relational.ranked(docs.where("n_chars > 1000"), cell, "doc_id", "rn").select(*cell, "rn", F.lit(True).alias("predicted"), (F.col("n_chars") > 1500).alias("verbatim"))
     both = gold.join(predicted, ["jurisdiction", "indicator", "rn"], "full_outer")
     return both.groupBy("jurisdiction", "indicator").agg(F.count("gold").alias("gold"), F.count("predicted").alias("predicted"), F.count_if(F.col("gold") & F.col("predicted")).alias("matched"), F.count_if(F.col("gold") & F.col("verbatim")).alias("faithful"))
 
 
-def _first_line(text: Column) -> Column:
-    return F.array_distinct(T.tokens(F.get(F.split(text, "\n", -1), F.lit(0))))
-
-
-@query("""WITH d AS (SELECT doc_id, lang, quality, list_distinct(regexp_extract_all(lower(string_split(text, chr(10))[1]), '[\\p{L}\\p{N}_]+')) AS s FROM documents LEFT JOIN labels USING (doc_id)),
-k AS (SELECT * FROM d WHERE quality = 1), m AS (SELECT DISTINCT n.doc_id FROM d n JOIN k ON n.lang = k.lang AND n.doc_id <> k.doc_id AND len(n.s) > 0 AND len(k.s) > 0 AND len(n.s) >= 0.6 * len(k.s) AND len(k.s) >= 0.6 * len(n.s) AND len(list_intersect(n.s, k.s)) >= 0.6 * len(list_distinct(list_concat(n.s, k.s))))
-SELECT doc_id, CASE WHEN m.doc_id IS NULL THEN 'NEW' ELSE 'KNOWN' END AS tag FROM d LEFT JOIN m USING (doc_id)""")
+@query("""WITH d AS (SELECT doc_id, lang, source, coalesce(quality = 1, false) AS gold, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS s FROM documents LEFT JOIN labels USING (doc_id)),
+k AS (SELECT * FROM d WHERE gold), m AS (SELECT DISTINCT n.doc_id FROM d n JOIN k ON n.lang = k.lang AND n.source = k.source AND len(n.s) > 0 AND len(k.s) > 0 AND len(n.s) >= 0.6 * len(k.s) AND len(k.s) >= 0.6 * len(n.s) AND len(list_intersect(n.s, k.s)) >= 0.6 * len(list_distinct(list_concat(n.s, k.s))))
+SELECT doc_id, CASE WHEN gold OR m.doc_id IS NOT NULL THEN 'KNOWN' ELSE 'NEW' END AS tag FROM d LEFT JOIN m USING (doc_id)""")
 def discovery_tag(table):
-    """KNOWN if the first line overlaps with that of a registered (well labelled) document of the language by 0.6 or more."""
-    docs = table("documents").select("doc_id", "lang", _first_line(F.col("text")).alias("s"))
-    known = table("labels").where("quality = 1").select("doc_id")
-    pairs = relational.similar_pairs(docs, "doc_id", ["lang"], "s", 0.6).select("left_id", "right_id")
-    both = pairs.unionByName(pairs.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id")))
-    hit = both.join(known, both["right_id"] == known["doc_id"], "left_semi").select(F.col("left_id").alias("doc_id")).distinct().withColumn("tag", F.lit("KNOWN"))
-    return docs.select("doc_id").join(hit, "doc_id", "left").select("doc_id", F.coalesce("tag", F.lit("NEW")).alias("tag"))
+    """KNOWN if the document itself is registered (well labelled), or its words overlap by 0.6 or more with a registered document of its language and source."""
+    docs = table("documents").select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("tokens"))
+    gold = table("labels").where("quality = 1").select("doc_id").distinct()
+    return matching.discovery_tags(docs, gold, ["lang", "source"], 0.6)
 
 
 @query("""WITH g AS (SELECT DISTINCT b.item_id, lower(d.lang) AS lang, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), r AS (SELECT item_id, lang, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM g)

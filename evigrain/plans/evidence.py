@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evigrain.functions import text as T
 from evigrain.operators import relational, rules
 from evigrain.plans.corpus import LINES_SQL
-from evigrain.plans.registry import query, sql_list
+from evigrain.plans.registry import query, sql_list, tokens_sql
 
 #: Indicators of the flagship query: id, name, keywords.
 INDICATORS = [("6.1", "transfer of data", ["tion", "data", "ment"]), ("6.2", "licence", ["licen", "apache", "zürich"]), ("7.1", "mandate", ["shall", "ung", "ción"]), ("7.2", "absent", ["qqqq", "zzzzz"])]
@@ -61,13 +61,13 @@ def keyword_topk(table):
     return relational.top_k(scored, ["indicator_id"], [F.desc("score"), F.asc("doc_id")], 10)
 
 
-TERMS_SQL = "SELECT {0}, ('0x' || right(md5(t), 6))::BIGINT AS term, count(*) AS tf FROM (SELECT {0}, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{4,}}')) AS t FROM {1}) GROUP BY ALL"
-SPARSE_SQL = f"""WITH d AS ({TERMS_SQL.format('doc_id', 'documents')}), q AS ({TERMS_SQL.format('item_id', 'benchmark')}), s AS (SELECT item_id, doc_id, sum(d.tf * q.tf) AS score FROM q JOIN d USING (term) GROUP BY ALL),
+TERMS_SQL = "SELECT {0}, ('0x' || right(md5(t), 6))::BIGINT AS term, count(*) AS tf FROM (SELECT {0}, unnest({2}) AS t FROM {1}) GROUP BY ALL"
+SPARSE_SQL = f"""WITH d AS ({TERMS_SQL.format('doc_id', 'documents', tokens_sql('text', 'lang'))}), q AS ({TERMS_SQL.format('item_id', 'benchmark', tokens_sql('text', "'en'"))}), s AS (SELECT item_id, doc_id, sum(d.tf * q.tf) AS score FROM q JOIN d USING (term) GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s)"""
 
 
 def _sparse_ranks(table, limit: int):
-    docs, items = (rules.hashed_terms(table(name), ident) for name, ident in (("documents", "doc_id"), ("benchmark", "item_id")))
+    docs, items = rules.hashed_terms(table("documents"), "doc_id", "lang"), rules.hashed_terms(table("benchmark"), "item_id")
     scores = items.withColumnRenamed("tf", "q").join(docs, "term").groupBy("item_id", "doc_id").agg(F.sum(F.col("q") * F.col("tf")).alias("score"))
     return relational.top_k(scores, ["item_id"], [F.desc("score"), F.asc("doc_id")], limit)
 
