@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evigrain.plans import claims, corpus, evaluation, evidence, review, structure  # noqa: F401
+from evigrain.plans import claims, corpus, evaluation, evidence, gold, graph, review, structure  # noqa: F401
 from evigrain.plans.registry import ORACLES, QUERIES  # noqa: F401
 
 FLAGSHIP = "coverage_3state"

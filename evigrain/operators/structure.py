@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigrain.operators.blocks import OPENS_SUB, heading_class, text_blocks
+from evigrain.sources.staging import written
 
 #: What names a unit, and the short form that its numbering begins with.
 UNITS = {"s. ": r"(?i:section|sec\.?|s\.)", "art. ": r"(?i:article|art\.?)"}
@@ -125,9 +126,10 @@ def edges(elements: DataFrame) -> DataFrame:
 
     ``cross_reference`` by numbering; ``defines`` from a term's first definition to every element
     that holds it; ``proviso`` to the parent, or to the sibling before where there is none;
-    ``notwithstanding`` to the first reference that can be resolved, else to the parent.
+    ``notwithstanding`` to the first reference that can be resolved, else to the parent. Each kind
+    reads ``elements``, so these should be a written table.
     """
-    resolved = _resolved(elements)
+    resolved = written(_resolved(elements), "references")
     sibling = F.lag("element_id").over(Window.partitionBy("doc_id", "parent_id").orderBy("seq"))
     provisos = elements.withColumn("to_element", F.coalesce("parent_id", sibling)).where(F.col("text").rlike(PROVISO))
     first = resolved.groupBy("doc_id", "from_element").agg(F.min_by("to_element", "at").alias("named"))
@@ -143,3 +145,50 @@ def edges(elements: DataFrame) -> DataFrame:
         rows = found.select("doc_id", "from_element", "to_element", F.lit(kind).alias("edge_type"))
         union = rows if union is None else union.unionByName(rows)
     return union.where("to_element is not null and from_element <> to_element").distinct()
+
+
+#: What an element is to a regime, by the kind of the edge that it is first reached over.
+ROLES = {"defines": "definition", "proviso": "exception", "notwithstanding": "exception"}
+
+
+def regimes(claims: DataFrame, elements: DataFrame, found: DataFrame, max_depth: int = 2) -> DataFrame:
+    """``(claim_id, element_id, depth, place, role)``: each claim's primary element and what the edges lead to, whatever their direction.
+
+    ``claims`` are ``(claim_id, doc_id, primary_id, clause_id, hinted_ids)``. A claim begins at its
+    primary element or, where the document has none of that id, at its clause; where it has neither
+    it has no rows. In each round elements are reached in the order of the elements before them and
+    of the edges, by kind, ``from_element`` and ``to_element``; the edge of first arrival decides the
+    role, ``definition``, ``exception`` or ``member``. Hinted elements that the document has come
+    last, with depth -1, as definitions where they are of that type. ``place`` counts from 0.
+    """
+    if max_depth < 0:
+        raise ValueError("max_depth must not be negative")
+    known = elements.select("doc_id", "element_id", "element_type")
+    ids = known.select("doc_id", F.col("element_id"))
+    primary = claims.join(ids.withColumn("_p", F.lit(True)).withColumnRenamed("element_id", "primary_id"), ["doc_id", "primary_id"], "left")
+    clause = primary.join(ids.withColumn("_c", F.lit(True)).withColumnRenamed("element_id", "clause_id"), ["doc_id", "clause_id"], "left")
+    begin = clause.select("claim_id", "doc_id", F.when(F.col("_p"), F.col("primary_id")).when(F.col("_c"), F.col("clause_id")).alias("element_id")).where("element_id is not null")
+    begin = written(begin, "primaries")
+    seen = begin.select("claim_id", "doc_id", "element_id", F.lit(0).alias("depth"), F.lit(0).cast("long").alias("place"), F.lit("primary").alias("role"))
+    way = lambda a, b: F.struct(F.col(a).alias("element_id"), F.col(b).alias("other"))
+    both = found.select("doc_id", "edge_type", "from_element", "to_element", F.explode(F.array(way("from_element", "to_element"), way("to_element", "from_element"))).alias("x"))
+    both = both.select("doc_id", "x.element_id", "x.other", F.struct("edge_type", "from_element", "to_element").alias("edge"))
+    role = F.lit("member")
+    for kind, name in ROLES.items():
+        role = F.when(F.col("way.edge.edge_type") == kind, name).otherwise(role)
+    frontier = seen
+    for depth in range(1, max_depth + 1):
+        step = frontier.select("claim_id", "doc_id", "element_id", "place").join(both, ["doc_id", "element_id"])
+        step = step.groupBy("claim_id", "doc_id", F.col("other").alias("element_id")).agg(F.min(F.struct("place", "edge")).alias("way"))
+        step = step.join(seen.select("claim_id", "element_id"), ["claim_id", "element_id"], "left_anti").join(ids, ["doc_id", "element_id"], "left_semi")
+        order = F.row_number().over(Window.partitionBy("claim_id").orderBy("way", "element_id"))
+        sizes = seen.groupBy("claim_id").agg(F.count(F.lit(1)).alias("before"))
+        frontier = step.withColumn("order", order).join(sizes, "claim_id").select("claim_id", "doc_id", "element_id", F.lit(depth).alias("depth"), (F.col("before") + F.col("order") - 1).alias("place"), role.alias("role"))
+        frontier = written(frontier, "frontier")
+        seen = seen.unionByName(frontier)
+    hints = claims.select("claim_id", "doc_id", F.posexplode("hinted_ids").alias("at", "element_id")).join(begin.select("claim_id"), "claim_id", "left_semi")
+    hints = hints.groupBy("claim_id", "doc_id", "element_id").agg(F.min("at").alias("at")).join(known, ["doc_id", "element_id"]).join(seen.select("claim_id", "element_id"), ["claim_id", "element_id"], "left_anti")
+    sizes = seen.groupBy("claim_id").agg(F.count(F.lit(1)).alias("before"))
+    order = F.row_number().over(Window.partitionBy("claim_id").orderBy("at"))
+    hinted = hints.withColumn("order", order).join(sizes, "claim_id").select("claim_id", "doc_id", "element_id", F.lit(-1).alias("depth"), (F.col("before") + F.col("order") - 1).alias("place"), F.when(F.col("element_type") == "definition", "definition").otherwise("member").alias("role"))
+    return seen.unionByName(hinted).select("claim_id", "element_id", "depth", "place", "role")

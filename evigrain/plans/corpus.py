@@ -150,17 +150,6 @@ def near_duplicates(table):
     return copies.unionByName(relational.similar_pairs(sets, ["lang"], 0.8)).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH l AS ({LINES_SQL}), w AS (SELECT DISTINCT doc_id, seq, unnest(regexp_extract_all(line, '[A-Z][a-z]+')) AS e FROM l)
-SELECT a.e AS left_key, b.e AS right_key, count(*) AS n FROM w a JOIN w b ON a.doc_id = b.doc_id AND a.seq = b.seq AND a.e < b.e WHERE length(a.e) > 9 AND length(b.e) > 9 GROUP BY ALL""")
-def entity_cooccurrence(table):
-    """Long capitalised words that share an element."""
-    words = elements.paragraphs(table("documents")).select("doc_id", "seq", F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Z][a-z]+"), F.lit(0))).alias("w"))
-    words = words.withColumn("w", F.array_sort(F.filter("w", lambda x: F.length(x) > 9)))
-    left = words.select("w", F.posexplode("w").alias("i", "left_key"))
-    pairs = left.select("left_key", F.explode(F.slice("w", F.col("i") + 2, F.size("w"))).alias("right_key"))
-    return pairs.groupBy("left_key", "right_key").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("""WITH t AS (SELECT doc_id, lang, string_split(text, chr(10)) AS l FROM documents), w AS (SELECT doc_id, lang, regexp_extract_all(lower(l[-1]), '[\\p{L}\\p{N}_]+') AS a, regexp_extract_all(lower(array_to_string(l[:-2], chr(10))), '[\\p{L}\\p{N}_]+') AS s FROM t WHERE len(l) > 1)
 SELECT doc_id, lang, len(a) AS words, round(CASE WHEN len(a) = 0 THEN 0 ELSE len(list_filter(a, lambda x: NOT list_contains(s, x))) / len(a) END, 6) AS rate FROM w""")
 def hallucinated_words_rate(table):

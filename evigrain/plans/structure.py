@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evigrain.operators import relational, structure
+from evigrain.operators import structure
 from evigrain.plans.registry import query
 from evigrain.plans.review import BLOCKS_SQL
+from evigrain.sources.staging import written
 
 LAW_SQL = r"""t AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE i % 4
 WHEN 1 THEN CASE WHEN i % 8 = 5 THEN 'Chapter ' || i || chr(10) || chr(10) ELSE '' END || 'Section ' || i || CASE WHEN i = 1 THEN ' Interpretation' ELSE ' Duty' END || chr(10) || '(1) "' || regexp_extract(x, '^(\S+)', 1) || '" means ' || x
@@ -42,7 +43,7 @@ UNION SELECT doc_id, element_id, coalesce(parent_id, sibling), 'proviso' FROM di
 UNION SELECT doc_id, element_id, coalesce(to_element, parent_id), 'notwithstanding' FROM e LEFT JOIN (SELECT doc_id, from_element AS element_id, arg_min(to_element, place) AS to_element FROM rs GROUP BY ALL) USING (doc_id, element_id) WHERE regexp_matches(text, '(?i)(?:^|\.\s+)notwithstanding\b') AND coalesce(to_element, parent_id) IS NOT NULL)"""
 
 
-def _laws(table):
+def laws(table):
     """Each document's lines as sections with subsections, references, exceptions and a defined term."""
     n = lambda i, less=0: (i + 1 - less).cast("string")
     line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
@@ -55,24 +56,43 @@ def _laws(table):
     return table("documents").select("doc_id", F.array_join(laid, "\n").alias("text"))
 
 
+def law_elements(table):
+    """The laws' elements as a written table."""
+    return written(structure.element_tree(laws(table)), "elements")
+
+
 @query(f"WITH {ELEMENTS_SQL} SELECT doc_id, seq, element_id, coalesce(parent_id, '-') AS parent_id, element_type, coalesce(numbering, '-') AS numbering, char_start, char_end, md5(text) AS digest FROM e")
 def element_tree(table):
-    found = structure.element_tree(_laws(table)).withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("text")
+    found = structure.element_tree(laws(table)).withColumn("digest", F.md5(F.col("text").cast("binary"))).drop("text")
     return found.na.fill("-", ["parent_id", "numbering"])
 
 
 @query(f"WITH {EDGES_SQL} SELECT doc_id, from_element, to_element, edge_type FROM ed WHERE from_element <> to_element")
 def structure_edges(table):
     """Typed edges between the elements of every law."""
-    return structure.edges(structure.element_tree(_laws(table)))
+    return structure.edges(law_elements(table))
+
+
+def _round_sql(depth: int) -> str:
+    """One round: what the last round's elements lead to, by place and edge, without what was seen before."""
+    seen = " UNION ALL ".join(f"SELECT * FROM f{d}" for d in range(depth))
+    roles = " ".join(f"WHEN '{kind}' THEN '{role}'" for kind, role in structure.ROLES.items())
+    return f"""w{depth} AS (SELECT f.claim_id, f.doc_id, bo.other AS element_id, f.place, bo.edge_type, bo.from_element, bo.to_element, row_number() OVER (PARTITION BY f.claim_id, bo.other ORDER BY f.place, bo.edge_type, bo.from_element, bo.to_element) AS r FROM f{depth - 1} f JOIN bo ON bo.doc_id = f.doc_id AND bo.element_id = f.element_id),
+n{depth} AS (SELECT claim_id, count(*) AS n FROM ({seen}) GROUP BY claim_id),
+f{depth} AS (SELECT claim_id, doc_id, element_id, {depth} AS depth, n + row_number() OVER (PARTITION BY claim_id ORDER BY place, edge_type, from_element, to_element, element_id) - 1 AS place, CASE edge_type {roles} ELSE 'member' END AS role
+FROM w{depth} JOIN n{depth} USING (claim_id) WHERE r = 1 AND (claim_id, element_id) NOT IN (SELECT claim_id, element_id FROM ({seen})) AND (doc_id, element_id) IN (SELECT doc_id, element_id FROM e))"""
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, bo AS (SELECT from_element AS src, to_element AS dst FROM ed WHERE from_element <> to_element UNION SELECT to_element, from_element FROM ed WHERE from_element <> to_element),
-re(node, depth) AS (SELECT doc_id || '_s1', 0 FROM documents UNION SELECT bo.dst, re.depth + 1 FROM re JOIN bo ON bo.src = re.node WHERE re.depth < 2) SELECT node AS element_id, min(depth) AS depth FROM re GROUP BY node""")
+@query(f"""WITH {EDGES_SQL}, de AS (SELECT * FROM ed WHERE from_element <> to_element), bo AS (SELECT doc_id, from_element AS element_id, to_element AS other, edge_type, from_element, to_element FROM de UNION ALL SELECT doc_id, to_element, from_element, edge_type, from_element, to_element FROM de),
+cl AS (SELECT doc_id, doc_id || '_claim' AS claim_id, CASE WHEN doc_id % 3 = 1 THEN 'none' ELSE doc_id || '_s1' END AS primary_id, doc_id || '_s1' AS clause_id, [doc_id || '_s5', doc_id || '_definition_1', 'none'] AS hints FROM documents),
+f0 AS (SELECT claim_id, doc_id, CASE WHEN (doc_id, primary_id) IN (SELECT doc_id, element_id FROM e) THEN primary_id ELSE clause_id END AS element_id, 0 AS depth, 0::BIGINT AS place, 'primary' AS role FROM cl WHERE (doc_id, clause_id) IN (SELECT doc_id, element_id FROM e) OR (doc_id, primary_id) IN (SELECT doc_id, element_id FROM e)),
+{_round_sql(1)}, {_round_sql(2)}, al AS (SELECT * FROM f0 UNION ALL SELECT * FROM f1 UNION ALL SELECT * FROM f2), na AS (SELECT claim_id, count(*) AS n FROM al GROUP BY claim_id),
+hi AS (SELECT doc_id, claim_id, unnest(hints) AS element_id, generate_subscripts(hints, 1) AS hint_no FROM cl), hk AS (SELECT hi.*, e.element_type FROM hi JOIN e USING (doc_id, element_id) WHERE (claim_id, element_id) NOT IN (SELECT claim_id, element_id FROM al) AND claim_id IN (SELECT claim_id FROM f0))
+SELECT claim_id, element_id, depth, place, role FROM al UNION ALL SELECT claim_id, element_id, -1, n + row_number() OVER (PARTITION BY claim_id ORDER BY hint_no) - 1, CASE WHEN element_type = 'definition' THEN 'definition' ELSE 'member' END FROM hk JOIN na USING (claim_id)""")
 def regime_assembly(table):
-    """Elements within two edges of each law's first section, whatever the direction."""
-    found = structure.edges(structure.element_tree(_laws(table)))
-    way = lambda a, b: F.struct(F.col(a).alias("src"), F.col(b).alias("dst"))
-    both = found.select(F.explode(F.array(way("from_element", "to_element"), way("to_element", "from_element"))).alias("x")).select("x.*").distinct()
-    seeds = table("documents").select(F.concat("doc_id", F.lit("_s1")).alias("node"))
-    return relational.reachable(both, seeds, 2).withColumnRenamed("node", "element_id")
+    """What belongs to each law's first section: over two edges, with the role that the first edge gives, and hinted elements."""
+    tree = law_elements(table)
+    named = lambda suffix: F.concat("doc_id", F.lit(suffix))
+    primary = F.when(F.col("doc_id") % 3 == 1, "none").otherwise(named("_s1"))
+    claims = table("documents").select("doc_id", named("_claim").alias("claim_id"), primary.alias("primary_id"), named("_s1").alias("clause_id"), F.array(named("_s5"), named("_definition_1"), F.lit("none")).alias("hinted_ids"))
+    return structure.regimes(claims, tree, written(structure.edges(tree), "edges"))
