@@ -33,6 +33,26 @@ def majority(votes: DataFrame, by: list[str], choice: str) -> DataFrame:
     return found.select(*by, F.col("best.choice").alias("winner"), top.alias("winner_votes"), "votes", (top / F.col("votes")).alias("share"), (top >= F.floor(F.col("votes") / 2) + 1).alias("passed"))
 
 
+def modal_samples(samples: DataFrame, by: list[str], choice: str, order: str) -> DataFrame:
+    """The first sample, by ``order``, of the choice with most votes; among equals the choice that was made first. With ``winner_votes`` and ``votes``.
+
+    Samples without a choice don't vote. Each choice is reduced to its count and first sample before
+    choices meet, so a group's samples are never in one place.
+    """
+    first = F.min_by(F.struct(*samples.columns), order).alias("sample")
+    counts = samples.where(F.col(choice).isNotNull()).groupBy(*by, choice).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("made"), first)
+    best = F.min_by(F.struct("sample", "n"), F.struct((-F.col("n")).alias("minus"), "made")).alias("best")
+    found = counts.groupBy(*by).agg(best, F.sum("n").alias("votes"))
+    return found.select("best.sample.*", F.col("best.n").alias("winner_votes"), "votes")
+
+
+def panel_verdicts(votes: DataFrame, by: str, lens: str, refuted: str) -> DataFrame:
+    """``(by, lenses, refuted, refuted_by, survives, score)``: a claim survives unless a majority of its lenses refutes it; null votes don't refute."""
+    against = F.coalesce(F.col(refuted), F.lit(False))
+    found = votes.groupBy(by).agg(F.count(F.lit(1)).alias("lenses"), F.count_if(against).alias("refuted"), F.array_join(F.array_sort(F.collect_list(F.when(against, F.col(lens)))), ",").alias("refuted_by"))
+    return found.withColumns({"survives": F.col("refuted") < F.floor(F.col("lenses") / 2) + 1, "score": (F.col("lenses") - F.col("refuted")) / F.col("lenses")})
+
+
 def merged_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     """Unions of overlapping or touching intervals in each group; empty ones are dropped."""
     order = Window.partitionBy(*by).orderBy(start, end)

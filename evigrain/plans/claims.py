@@ -30,14 +30,21 @@ def script_detect(table):
     return rows.select("doc_id", "latin", script.alias("script"))
 
 
-@query("""WITH v AS (SELECT doc_id, unnest(range(5)) AS lens, length(text) AS n FROM documents), p AS (SELECT doc_id, count(*) AS lenses, count(*) FILTER ((n + lens * lens) % 3 = 0) AS refuted, string_agg(CAST(lens AS VARCHAR), ',' ORDER BY lens) FILTER ((n + lens * lens) % 3 = 0) AS names FROM v GROUP BY doc_id)
-SELECT doc_id, refuted, coalesce(names, '') AS refuted_by, refuted < lenses // 2 + 1 AS survives, round((lenses - refuted) / lenses, 6) AS score FROM p""")
+@query("""WITH v AS (SELECT user_id, event_type AS lens, avg(value) > 40 AS refutes FROM events GROUP BY ALL)
+SELECT user_id, count(*) AS lenses, count(*) FILTER (refutes) AS refuted, coalesce(string_agg(lens, ',' ORDER BY lens) FILTER (refutes), '') AS refuted_by, count(*) FILTER (refutes) < count(*) // 2 + 1 AS survives, round((count(*) - count(*) FILTER (refutes)) / count(*), 6) AS score FROM v GROUP BY user_id""")
 def adversarial_panel(table):
-    """Five lenses, refuted by a stand-in rule; a claim survives unless a majority refutes it."""
-    refutes = (F.col("n") + F.col("lens") * F.col("lens")) % 3 == 0
-    votes = table("documents").select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(4))).alias("lens"))
-    found = votes.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lenses"), F.count_if(refutes).alias("refuted"), F.array_sort(F.collect_list(F.when(refutes, F.col("lens")))).alias("by"))
-    return found.select("doc_id", "refuted", F.array_join(F.transform("by", lambda x: x.cast("string")), ",").alias("refuted_by"), (F.col("refuted") < F.floor(F.col("lenses") / 2) + 1).alias("survives"), F.round((F.col("lenses") - F.col("refuted")) / F.col("lenses"), 6).alias("score"))
+    """Every user's kinds of events as a panel of lenses; one refutes where its mean value is over 40."""
+    votes = table("events").groupBy("user_id", F.col("event_type").alias("lens")).agg((F.avg("value") > 40).alias("refutes"))
+    return relational.panel_verdicts(votes, "user_id", "lens", "refutes").withColumn("score", F.round("score", 6))
+
+
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n, min(event_id) AS made FROM events GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY user_id) AS votes, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, made) AS r FROM c)
+SELECT r.user_id, r.event_type AS indicator, e.event_id, e.value, md5(concat_ws('|', 'x', r.user_id, r.event_type)) AS claim_id, n AS winner_votes, CAST(votes AS BIGINT) AS votes FROM r JOIN events e ON e.event_id = made WHERE r.r = 1""")
+def claim_construction(table):
+    """A claim of each user's samples: the first sample of the choice with most votes, with its own columns."""
+    found = relational.modal_samples(table("events").select("user_id", "event_type", "event_id", "value"), ["user_id"], "event_type", "event_id")
+    claim = F.md5(F.concat_ws("|", F.lit("x"), "user_id", "event_type").cast("binary"))
+    return found.select("user_id", F.col("event_type").alias("indicator"), "event_id", "value", claim.alias("claim_id"), "winner_votes", "votes")
 
 
 GROUND_SQL = f"""WITH l AS ({LINES_SQL}), s AS (SELECT doc_id, max(seq) AS last FROM l GROUP BY doc_id), e AS (SELECT DISTINCT l.doc_id, lower(unnest(regexp_extract_all(line, '[A-Z][a-z]+'))) AS entity FROM l JOIN s ON l.doc_id = s.doc_id AND l.seq = s.last),
