@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that a search leaves out, by language; any other language has those of English.
@@ -67,14 +68,28 @@ def is_supported(lang: Column) -> Column:
     return F.coalesce(F.lower(lang).isin(list(SEARCH_STOPWORDS)), F.lit(False))
 
 
-def search_tokens(text: Column, lang: Column | None = None) -> Column:
-    """Tokens in order; none of a null text. ``lang`` picks the stopwords, a null or unknown one those of English."""
-    words = F.regexp_extract_all(F.regexp_replace(F.lower(folded_forms(text)), APOSTROPHES, " "), F.lit(SEARCH_WORD), F.lit(0))
-    words = F.when(F.array_join(words, "").rlike(f"[{CJK}]"), _with_grams(words)).otherwise(words)
-    without = lambda stopwords: F.filter(words, lambda t: ~t.isin(stopwords))
-    kept = {name: without(stopwords) for name, stopwords in SEARCH_STOPWORDS.items()}
-    found = kept["en"]
+def _words(text: Column) -> Column:
+    low = F.lower(folded_forms(text))
+    words = F.regexp_extract_all(F.regexp_replace(low, APOSTROPHES, " "), F.lit(SEARCH_WORD), F.lit(0))
+    return F.coalesce(F.when(low.rlike(f"[{CJK}]"), _with_grams(words)).otherwise(words), F.array().cast("array<string>"))
+
+
+def _by_language(lang: Column | None, of: Callable[[list[str]], Column]) -> Column:
+    """What ``of`` says of the stopwords of a language; of those of English where it is null or unknown."""
+    found = of(SEARCH_STOPWORDS["en"])
     if lang is not None:
         for name in list(SEARCH_STOPWORDS)[1:]:
-            found = F.when(F.lower(lang) == name, kept[name]).otherwise(found)
-    return F.coalesce(found, F.array().cast("array<string>"))
+            found = F.when(F.lower(lang) == name, of(SEARCH_STOPWORDS[name])).otherwise(found)
+    return found
+
+
+def search_tokens(text: Column, lang: Column | None = None) -> Column:
+    """Tokens in order; none of a null text. ``lang`` picks the stopwords, a null or unknown one those of English."""
+    words = _words(text)
+    return _by_language(lang, lambda stopwords: F.filter(words, lambda t: ~t.isin(stopwords)))
+
+
+def token_rows(df: DataFrame, keep: list[str], text: str, lang: str | None = None) -> DataFrame:
+    """``(*keep, token)``: a row for each search token. Stopwords are dropped after the rows are made, by compiled code."""
+    rows = df.select(*keep, *([F.lower(lang).alias("_lang")] if lang else []), F.explode(_words(F.col(text))).alias("token"))
+    return rows.where(_by_language(F.col("_lang") if lang else None, lambda stopwords: ~F.col("token").isin(stopwords))).select(*keep, "token")

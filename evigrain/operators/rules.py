@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigrain.functions import text as T
-from evigrain.functions.tokenizer import search_tokens
+from evigrain.functions.tokenizer import token_rows
 from evigrain.operators.elements import paragraphs
 
 TOKEN = r"[\p{L}\p{N}_]{4,}"
@@ -43,9 +43,12 @@ def defensible_zero(state: Column, recall: Column, reach: Column, least_recall:
 
 
 def hashed_terms(rows: DataFrame, ident: str, lang: str | None = None) -> DataFrame:
-    """Postings ``(ident, term, tf)`` of search tokens; ``lang`` names the column that picks the stopwords."""
-    tokens = search_tokens(F.col("text"), F.col(lang) if lang else None)
-    return rows.select(ident, F.explode(tokens).alias("t")).groupBy(ident, T.hashed_term(F.col("t")).alias("term")).agg(F.count(F.lit(1)).alias("tf"))
+    """Postings ``(ident, term, tf)`` of search tokens; ``lang`` names the column that picks the stopwords.
+
+    A word is hashed once for each document. Two words of a document with the same term have a row each.
+    """
+    counts = token_rows(rows, [ident], "text", lang).groupBy(ident, "token").agg(F.count(F.lit(1)).alias("tf"))
+    return counts.select(ident, T.hashed_term(F.col("token")).alias("term"), "tf")
 
 
 def hashed_vectors(rows: DataFrame, ident: str, size: int = 64) -> DataFrame:

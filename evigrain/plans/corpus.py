@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evigrain.functions import text as T
-from evigrain.functions.tokenizer import search_tokens
+from evigrain.functions.tokenizer import token_rows
 from evigrain.operators import elements, relational
 from evigrain.plans.registry import query, sql_list, tokens_sql
 
@@ -25,7 +25,7 @@ def corpus_paragraphs(table):
 
 @query(f"""SELECT lang, token, count(*) AS n, count(DISTINCT doc_id) AS docs FROM (SELECT doc_id, lang, unnest({tokens_sql('text', 'lang')}) AS token FROM documents) GROUP BY ALL""")
 def token_frequency_by_lang(table):
-    words = table("documents").select("doc_id", "lang", F.explode(search_tokens(F.col("text"), F.col("lang"))).alias("token"))
+    words = token_rows(table("documents"), ["doc_id", "lang"], "text", "lang")
     by_doc = words.groupBy("lang", "token", "doc_id").agg(F.count(F.lit(1)).alias("n"))
     return by_doc.groupBy("lang", "token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
 
