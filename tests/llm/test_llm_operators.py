@@ -621,7 +621,7 @@ def test_quality(spark):
 
 def test_queries_are_registered():
     names = list(queries.queries())
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
     assert set(queries.oracle_sql()) <= set(names)
 
 
