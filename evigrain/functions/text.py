@@ -12,6 +12,8 @@ STOPWORDS = {
     "es": "el la los las de del y o un una es son no que en por para con sobre al se su sus menos salvo debe datos personales".split(),
 }
 MIN_DETECT_CHARS = 12
+#: Fixed value: what looks like law in an address or a link's text.
+LEGAL = r"(?i)(?<![a-z])(?:act|acts|statute|statutes|regulation|regulations|law|laws|gazette)(?![a-z])|\.pdf(?![a-z])"
 WORD = r"[\p{L}\p{N}_]+"
 
 

@@ -36,11 +36,18 @@ def submission_summary(provisions: DataFrame, violations: DataFrame) -> DataFram
     return counts.crossJoin(violations.agg(F.count(F.lit(1)).alias("violations")))
 
 
+def without_nul(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({c: F.replace(F.col(c), F.lit("\0"), F.lit("")) for c, kind in rows.dtypes if kind == "string"})
+
+
 def merged(new: DataFrame, old: DataFrame, keys: list[str]) -> DataFrame:
-    """``old`` with the rows of ``new`` put in the place of those with equal keys; NUL characters are dropped."""
-    texts = [c for c, kind in new.dtypes if kind == "string"]
-    clean = new.withColumns({c: F.replace(F.col(c), F.lit("\0"), F.lit("")) for c in texts}) if texts else new
-    return clean.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+    """``old`` with the rows of ``new`` put in the place of those with equal keys, nulls equal to each other; NUL characters are dropped, also in keys. Columns that one side lacks are null there."""
+    clean = without_nul(new)
+    there = clean.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keys)))
+    same = F.lit(True)
+    for i, c in enumerate(keys):
+        same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+    return clean.unionByName(old.join(there, same, "left_anti"), allowMissingColumns=True)
 
 
 def append_log(rows: DataFrame, path: str) -> None:

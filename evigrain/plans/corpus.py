@@ -62,8 +62,7 @@ def anchors(table):
 
 @query(f"""SELECT page_id, url, regexp_matches(lower(url), '(^|[^a-z])(act|acts|statute|statutes|regulation|regulations|law|laws|gazette)($|[^a-z])|\\.pdf($|[^a-z])') AS legal, host FROM (SELECT *, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]+)', 1)) AS host FROM pages)""")
 def legal_hint(table):
-    hint = r"(?i)(?<![a-z])(?:act|acts|statute|statutes|regulation|regulations|law|laws|gazette)(?![a-z])|\.pdf(?![a-z])"
-    return table("pages").select("page_id", "url", F.col("url").rlike(hint).alias("legal"), T.host(F.col("url")).alias("host"))
+    return table("pages").select("page_id", "url", F.col("url").rlike(T.LEGAL).alias("legal"), T.host(F.col("url")).alias("host"))
 
 
 @query(f"""WITH n AS (SELECT page_id, {URL_SQL} AS url FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS u FROM pages))

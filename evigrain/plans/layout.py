@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from evigrain.operators import elements, html, overlap, tables
-from evigrain.plans.corpus import ANCHORS_SQL, PAGE_SQL
+from evigrain.functions import text as T
+from evigrain.operators import crawl, elements, html, overlap, tables
+from evigrain.plans.corpus import ANCHORS_SQL, PAGE_SQL, URL_SQL
 from evigrain.plans.registry import query, sql_list
 
 BARE_SQL = "regexp_replace({0}, '^\\s+|\\s+$', '', 'g')"
@@ -62,3 +63,21 @@ CASE WHEN NOT head THEN (SELECT arg_max(x.element_id, x.seq) FROM i x WHERE x.pa
 def html_elements(table):
     found = html.html_elements(table("pages"))
     return found.select("page_id", "seq", "element_id", "element_type", "char_start", "char_end", F.md5(F.col("text").cast("binary")).alias("digest"), "parent_id", "outline_id")
+
+
+SITE_BUDGET = 24
+
+
+@query(rf"""WITH a AS (SELECT *, {URL_SQL.replace('u,', 'v,').replace('(u', '(v')} AS source FROM (SELECT *, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS v FROM ({ANCHORS_SQL}))),
+p AS (SELECT page_id, {URL_SQL} AS source FROM (SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '/+$', '') AS u FROM pages)),
+s AS (SELECT regexp_extract(source, '^[a-z]+://([^/?#]+)', 1) AS site, source AS url, min(page_id) AS page_id FROM p GROUP BY source),
+l0 AS (SELECT site, url, 0 AS depth, row_number() OVER (PARTITION BY site ORDER BY page_id, url) AS place FROM s), k AS (SELECT * FROM l0 WHERE place <= {SITE_BUDGET}),
+n AS (SELECT k.site, regexp_replace(regexp_extract(a.source, '^[a-z]+://[^/?#]+') || a.href, '/+$', '') AS url, min((k.place, a.seq)) AS arrival FROM k JOIN s USING (site, url) JOIN a ON a.page_id = s.page_id WHERE a.href LIKE '/%' GROUP BY ALL),
+l1 AS (SELECT site, url, 1 AS depth, (SELECT count(*) FROM k WHERE k.site = n.site) + row_number() OVER (PARTITION BY site ORDER BY arrival, url) AS place FROM n ANTI JOIN k USING (site, url))
+SELECT * FROM k UNION ALL SELECT * FROM l1 WHERE place <= {SITE_BUDGET}""")
+def site_crawl(table):
+    """The addresses that a budget of pages reaches on each host, from its pages in order."""
+    pages = table("pages")
+    url = T.normalised_url(F.col("url"))
+    seeds = pages.select(T.host(url).alias("site"), url.alias("url"), F.col("page_id").alias("seq"))
+    return crawl.crawled(crawl.page_links(pages), seeds, SITE_BUDGET)

@@ -9,6 +9,7 @@ from evigrain.functions import text as T
 
 INDICATOR_SCHEMA = "indicator_id string, name string, definition string, clause_pattern string, weight double, scoring_criteria map<string,string>, positive_keywords map<string,array<string>>, negative_cues map<string,array<string>>"
 SOURCE_SCHEMA = "source_id string, title string, source_url string, local_path string, document_type string, authority_tier string, language string, law_number_ref string, last_amended string"
+PILLAR_SCHEMA = "pillar_id string, name string, status string, config_path string"
 GOLD_SCHEMA = "gold_id string, pillar_id string, indicator_id string, jurisdiction string, doc_id string, span_text string, expected_score_band string, expected_authority_tier string"
 
 
@@ -40,11 +41,37 @@ def _top_level(schema: str) -> list[str]:
     return parts
 
 
-def load_indicators(spark: SparkSession, path: str) -> DataFrame:
-    """Indicators of pillar files, with their pillar and its status."""
+def load_pillars(spark: SparkSession, path: str) -> DataFrame:
+    """The registry's pillars, each with the path of its file and its status."""
+    rows = [{k: v for k, v in r.items() if k != "extra"} for r in _yaml_rows(spark, path, "pillars", _names(PILLAR_SCHEMA), [])]
+    return spark.createDataFrame(rows, PILLAR_SCHEMA)
+
+
+def economies(spark: SparkSession, path: str) -> DataFrame:
+    """The names of the YAML files of a folder, without those that begin with an underscore; contents aren't read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.yaml").load(path).select("path")
+    name = F.regexp_extract("path", r"([^/]+)\.yaml$", 1)
+    return files.select(name.alias("economy")).where(~F.col("economy").startswith("_")).distinct()
+
+
+def load_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """``(jurisdiction, indicator, document_type)`` of manifest files; a null indicator is a file's own default. Types are checked by rules (``checks``)."""
+    import yaml
+
+    rows = []
+    for _, content in sorted(spark.sparkContext.wholeTextFiles(path).collect()):
+        data = yaml.safe_load(content) or {}
+        rows += [(data.get("jurisdiction"), None, str(t)) for t in data.get("default_expected_source_types") or []]
+        rows += [(data.get("jurisdiction"), str(i), str(t)) for i, body in (data.get("indicators") or {}).items() for t in body.get("expected_source_types") or []]
+    return spark.createDataFrame(rows, "jurisdiction string, indicator string, document_type string")
+
+
+def load_indicators(spark: SparkSession, path: str, statuses: list[str] | None = None) -> DataFrame:
+    """Indicators of pillar files, with their pillar and its status; only of pillars with one of ``statuses``, if given."""
     names = _names(INDICATOR_SCHEMA)
     rows = [{k: v for k, v in r.items() if k != "extra"} for r in _yaml_rows(spark, path, "indicators", names, ["pillar_id", "status"])]
-    return spark.createDataFrame(rows, INDICATOR_SCHEMA + ", file_pillar_id string, file_status string").withColumnsRenamed({"file_pillar_id": "pillar_id", "file_status": "status"})
+    found = spark.createDataFrame(rows, INDICATOR_SCHEMA + ", file_pillar_id string, file_status string").withColumnsRenamed({"file_pillar_id": "pillar_id", "file_status": "status"})
+    return found.where(F.col("status").isin(statuses)) if statuses else found
 
 
 def load_sources(spark: SparkSession, path: str) -> DataFrame:
@@ -82,8 +109,7 @@ def changed(now: DataFrame, before: DataFrame) -> DataFrame:
 
 def proposals(pages: DataFrame, links: DataFrame) -> DataFrame:
     """Linked pages that look like law, each url once, with a provisional tier."""
-    hint = r"(?i)(?<![a-z])(?:act|acts|statute|statutes|regulation|regulations|law|laws|gazette)(?![a-z])|\.pdf(?![a-z])"
     url = T.normalised_url(F.when(F.col("href").rlike("^[a-zA-Z]+://"), F.col("href")).otherwise(F.concat(F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]+", 0), "href")))
-    rows = links.where(F.col("href").rlike(hint) | F.col("label").rlike(hint)).withColumn("target", url)
+    rows = links.where(F.col("href").rlike(T.LEGAL) | F.col("label").rlike(T.LEGAL)).withColumn("target", url)
     first = rows.groupBy("target").agg(F.min(F.struct("page_id", "seq", "label")).alias("x"))
     return first.select(F.col("target").alias("source_url"), F.md5(F.col("target").cast("binary")).alias("source_id"), F.col("x.label").alias("title"), F.lit("tier_3_guideline").alias("authority_tier"))
