@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigrain.functions import text as T
+from evigrain.sources.staging import written
 
 
 def top_k(df: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
@@ -92,28 +92,58 @@ def token_sets(df: DataFrame, ident: str, cell: list[str], token_col: str) -> Da
     return sets.join(first, same).select("ident", *cell, "set", "class_id")
 
 
-def similar_pairs(sets: DataFrame, cell: list[str], least: float) -> DataFrame:
+def similar_pairs(sets: DataFrame, cell: list[str], least: float, width: int = 128) -> DataFrame:
     """Pairs ``(*cell, left_id, right_id, similarity)`` of different sets of a cell with a Jaccard of ``least`` or more.
 
-    ``sets`` are those of ``token_sets``; only the first row of each class takes part, so copies
-    don't meet in pairs. Of n tokens, rarest first by the number of sets that hold them, only the
-    first ``n - ceil(least * n) + 1`` are joined: sets that are similar enough share one of them.
-    Ids and sizes alone are joined; only the sets of the candidates are then compared.
+    ``sets`` are those of ``token_sets``, with integer ids; only the first row of each class takes
+    part, so copies don't meet in pairs. Tokens are compared by 64-bit hashes. Of n tokens, rarest
+    first by the number of sets that hold them, the first ``n - ceil(least * n) + 1`` are a set's
+    keys: sets that are similar enough share one of them. Tokens of a single set come first, and
+    only take places. Two sets of n and m tokens need ``least / (1 + least) * (n + m)`` common ones,
+    and at most ``ceil(least * n) - 1`` of them stand behind the keys of the set whose keys end
+    first, so the others have to be common keys; pairs with fewer are left before sets are sent.
+
+    Sets that are likely alike stand together in blocks of at most ``width``. Keys name pairs of
+    blocks, and the smaller block's sets are sent to the larger: of a group of thousands of near
+    copies a set travels once for each hundred others, not once for each pair. Blocks only say
+    what travels together; all pairs of two blocks that meet are compared.
     """
-    classes = sets.where("ident = class_id").drop("class_id")
-    words = classes.select("ident", *cell, F.size("set").alias("n"), F.explode("set").alias("t"))
-    counts = words.groupBy(F.col("t").alias("its")).agg(F.count(F.lit(1)).alias("held"))
-    place = F.row_number().over(Window.partitionBy("ident").orderBy("held", "t"))
-    keys = words.join(counts, F.col("t") == F.col("its")).withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1).select("ident", *cell, "n", "t")
-    a, b = keys.alias("a"), keys.alias("b")
-    met = (F.col("a.t") == F.col("b.t")) & (F.col("a.ident") < F.col("b.ident")) & (F.col("a.n") >= least * F.col("b.n")) & (F.col("b.n") >= least * F.col("a.n"))
+    at_least = lambda share: F.ceil(share - 1e-9)  # noqa: E731 (a product just above a whole number is that number)
+    tokens = F.array_distinct(F.transform("set", lambda t: F.xxhash64(t, *cell)))
+    classes = written(sets.where("ident = class_id").select("ident", *cell, tokens.alias("set")).withColumn("n", F.size("set")), "sets")
+    words = classes.select("ident", "n", F.explode("set").alias("t"))
+    counts = words.groupBy(F.col("t").alias("its")).agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    whole = Window.partitionBy("ident")
+    place = F.row_number().over(whole.orderBy("held", "t"))
+    sketch = F.xxhash64(*(F.min(F.xxhash64("t", F.lit(i))).over(whole) for i in range(6)))
+    shared = words.join(counts, F.col("t") == F.col("its")).select("ident", "n", "t", place.alias("place"), F.count(F.lit(1)).over(whole).alias("shared"), sketch.alias("kin"))
+    keys = written(shared.where(F.col("place") <= F.col("shared") - at_least(least * F.col("n")) + 1).select("ident", "n", "t", "kin"), "keys")
+    blocks = _blocks(keys, width)
+    named = keys.select("ident", "t").join(blocks, "ident").groupBy("t", "block").agg(*(F.first(c).alias(c) for c in ("low", "high", "members")), F.count(F.lit(1)).alias("here"))
+    a, b = named.alias("a"), named.alias("b")
+    fits = (F.col("a.high") >= least * F.col("b.low")) & (F.col("b.high") >= least * F.col("a.low"))
+    first = F.struct("a.members", "a.block") < F.struct("b.members", "b.block")
+    once = (F.col("a.block") == F.col("b.block")) & (F.col("a.here") > 1)
+    need = at_least(least / (1 + least) * (F.col("a.low") + F.col("b.low"))) - at_least(least * F.greatest("a.high", "b.high")) + 1
+    met = a.join(b, (F.col("a.t") == F.col("b.t")) & fits & (first | once)).groupBy(F.col("a.block").alias("small"), F.col("b.block").alias("large"), need.alias("need")).agg(F.count(F.lit(1)).alias("common"))
+    met = met.where("common >= need").select("small", "large")
+    standing = classes.join(blocks.select("ident", "block"), "ident")
+    side = lambda x, block: standing.select(F.col("block").alias(block), *(F.col(c).alias(f"{x}_{c}") for c in ["ident", *cell, "n", "set"]))
+    both = met.join(side("x", "small"), "small").join(side("y", "large"), "large")
+    both = both.where(((F.col("small") != F.col("large")) | (F.col("x_ident") < F.col("y_ident"))) & (F.col("x_n") >= least * F.col("y_n")) & (F.col("y_n") >= least * F.col("x_n")))
     for c in cell:
-        met = met & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
-    pairs = a.join(b, met).select(F.col("a.ident").alias("left_id"), F.col("b.ident").alias("right_id")).distinct()
-    left = classes.select(F.col("ident").alias("left_id"), *cell, F.col("set").alias("left_set"))
-    right = classes.select(F.col("ident").alias("right_id"), F.col("set").alias("right_set"))
-    both = pairs.join(left, "left_id").join(right, "right_id").withColumn("similarity", T.jaccard(F.col("left_set"), F.col("right_set")))
-    return both.where(F.col("similarity") >= least).select(*cell, "left_id", "right_id", "similarity")
+        both = both.where(F.col(f"x_{c}").eqNullSafe(F.col(f"y_{c}")))
+    common = F.size(F.array_intersect("x_set", "y_set"))
+    both = both.select(*(F.col(f"x_{c}").alias(c) for c in cell), F.least("x_ident", "y_ident").alias("left_id"), F.greatest("x_ident", "y_ident").alias("right_id"), (common / (F.col("x_n") + F.col("y_n") - common)).alias("similarity"))
+    return both.where(F.col("similarity") >= least)
+
+
+def _blocks(keys: DataFrame, width: int) -> DataFrame:
+    """``(ident, block, members, low, high)``: sets of one kin in blocks of at most ``width``, by their place in the kin; ``low`` and ``high`` are a block's sizes of sets."""
+    placed = ranked(keys.select("ident", "n", "kin").distinct(), ["kin"], "ident", "place")
+    blocks = written(placed.select("ident", "n", F.xxhash64("kin", F.floor((F.col("place") - 1) / width)).alias("block")), "blocks")
+    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
+    return blocks.join(sizes, "block").drop("n")
 
 
 def containing(texts: DataFrame, text_id: str, items: DataFrame, item_id: str) -> DataFrame:
