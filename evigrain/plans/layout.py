@@ -53,7 +53,7 @@ def layout_overlap(table):
 r AS (SELECT page_id, unnest(string_split(h, '<')) AS piece, generate_subscripts(string_split(h, '<'), 1) - 1 AS k FROM c),
 t AS (SELECT page_id, k, lower(regexp_extract(piece, '^/?([a-zA-Z0-9]+)', 1)) AS tag, piece LIKE '/%' AS shut, trim(regexp_replace(regexp_extract(piece, '(?s)>(.*)$', 1), '\s+', ' ', 'g')) AS txt FROM r),
 g AS (SELECT *, count(*) FILTER (tag IN (SELECT unnest({sql_list(html.BREAKS)}))) OVER (PARTITION BY page_id ORDER BY k) AS grp FROM t),
-b AS (SELECT page_id, min(k) AS k, arg_min(tag, k) AS tag, arg_min(shut, k) AS shut, replace(string_agg(txt, ' ' ORDER BY k) FILTER (txt <> ''), '&amp;', '&') AS text FROM g GROUP BY page_id, grp),
+b AS (SELECT page_id, min(k) AS k, arg_min(tag, k) AS tag, arg_min(shut, k) AS shut, replace(replace(string_agg(txt, ' ' ORDER BY k) FILTER (txt <> ''), '&quot;', '"'), '&amp;', '&') AS text FROM g GROUP BY page_id, grp),
 o AS (SELECT page_id, k, tag, text, regexp_matches(tag, '^h[1-6]$') AS head, row_number() OVER w - 1 AS seq, sum(length(text) + 1) OVER w - length(text) - 1 AS char_start FROM b WHERE NOT shut AND text IS NOT NULL AND (tag IN ('p', 'li', 'table') OR regexp_matches(tag, '^h[1-6]$')) WINDOW w AS (PARTITION BY page_id ORDER BY k)),
 e AS (SELECT *, CASE WHEN head THEN CAST(substr(tag, 2) AS INT) ELSE 7 END AS rank, CASE WHEN head AND regexp_matches(text, '(?i)\b(section|sec\.?|s\.)\s+\d') THEN 'section' WHEN head AND regexp_matches(text, '(?i)\b(article|art\.?)\s+\d') THEN 'article' WHEN head THEN 'heading' WHEN tag = 'li' THEN 'list_item' WHEN tag = 'table' THEN 'table' ELSE 'paragraph' END AS element_type FROM o),
 i AS (SELECT *, page_id || '_' || CASE element_type WHEN 'section' THEN 's' || regexp_extract(text, '(?i)\b(section|sec\.?|s\.)\s+(\d+[A-Za-z]?(\(\d+\)(\([a-z]+\))?)?)', 2) WHEN 'article' THEN 'art' || regexp_extract(text, '(?i)\b(article|art\.?)\s+(\d+[A-Za-z]?(\(\d+\)(\([a-z]+\))?)?)', 2) ELSE element_type || '_' || seq END AS element_id FROM e)
