@@ -15,11 +15,17 @@ def _cell(name: str) -> Column:
     return F.when(value.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
 
 
-def write_csv(provisions: DataFrame, path: str) -> None:
-    """One file with a header and CRLF line ends; line ends within cells stay as they are, which Spark's own CSV writer would change."""
-    rows = provisions.select(F.concat_ws(",", *map(_cell, PROVISION_COLUMNS)).alias("value"))
-    head = provisions.sparkSession.createDataFrame([(",".join(PROVISION_COLUMNS),)], "value string").coalesce(1)
-    head.unionByName(rows).coalesce(1).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+def write_csv(provisions: DataFrame, path: str, one_file: bool = False) -> None:
+    """Parts with CRLF line ends, the first of them the header, that make the CSV file in the order of their names; ``one_file`` makes one task write it all.
+
+    Line ends within cells stay as they are, which Spark's own CSV writer would change.
+    """
+    rows = provisions.select(F.concat_ws(",", *map(_cell, PROVISION_COLUMNS)).alias("value"), F.monotonically_increasing_id().alias("place"))
+    head = provisions.sparkSession.createDataFrame([(",".join(PROVISION_COLUMNS), -1)], "value string, place long").coalesce(1)
+    whole = head.unionByName(rows)
+    if one_file:  # joined partitions come in any order
+        whole = whole.coalesce(1).sortWithinPartitions("place")
+    whole.select("value").write.mode("overwrite").option("lineSep", "\r\n").text(path)
 
 
 def provision_json(provisions: DataFrame) -> DataFrame:

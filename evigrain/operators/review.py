@@ -189,3 +189,39 @@ def retrieved(hits: DataFrame, wanted: DataFrame, rerank: Column, first: int = 4
 
 def identity_rerank(place: Column) -> Column:
     return 1.0 - 0.01 * (place - 1)
+
+
+def passage_recall(pairs: DataFrame, gold: DataFrame, passages: DataFrame) -> DataFrame:
+    """``(gold_id, claim_id, context_recall, faithfulness)`` of matched ``pairs (gold_id, claim_id, constraint)``.
+
+    ``gold`` is ``(gold_id, text)``, ``passages`` are ``(claim_id, text)``, any number for a claim:
+    recall is the share of the gold text's words that a passage of the claim holds, faithfulness that
+    of the constraint's words. Empty sides give 0. Words travel as rows, so a claim may have any
+    number of passages; a repeated pair counts once.
+    """
+    found = lambda df, keys, text: df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))).alias("word"))
+    key = ["gold_id", "claim_id"]
+    pairs = pairs.select(*key, "constraint").dropDuplicates(key)
+    given = found(passages, ["claim_id"], "text").distinct().withColumn("there", F.lit(1))
+    asked = pairs.select(*key).join(found(gold, ["gold_id"], "text").distinct(), "gold_id").select(*key, "word", F.lit("context_recall").alias("side"))
+    asked = asked.unionByName(found(pairs, key, "constraint").withColumn("side", F.lit("faithfulness")))
+    of = lambda side: F.avg(F.when(F.col("side") == side, F.coalesce("there", F.lit(0))))
+    shares = asked.join(given, ["claim_id", "word"], "left").groupBy(*key).agg(of("context_recall").alias("context_recall"), of("faithfulness").alias("faithfulness"))
+    return pairs.select(*key).join(shares, key, "left").na.fill(0.0, ["context_recall", "faithfulness"])
+
+
+def mean_recall(scored: DataFrame) -> DataFrame:
+    """Means over all pairs, 0 without any."""
+    mean = lambda c: F.coalesce(F.avg(c), F.lit(0.0)).alias(c)
+    return scored.agg(mean("context_recall"), mean("faithfulness"), F.count(F.lit(1)).alias("pairs"))
+
+
+def grid(cells: DataFrame, row: str, column: str, value: Column) -> DataFrame:
+    """``cells`` with a column for each value of ``column``, in the natural order of the numbers in them (``6.9`` before ``6.10``); null values have none.
+
+    The names are listed first by a distinct query, as columns of a plan have to be known; they are
+    those of a configured set of indicators, a few hundred at most by Spark's own bound on pivots.
+    """
+    numbers = F.transform(F.regexp_extract_all(column, F.lit(r"\d+"), F.lit(0)), lambda x: F.lpad(x, 20, "0"))
+    names = cells.where(F.col(column).isNotNull()).select(column).distinct().orderBy(F.regexp_replace(column, r"\d+.*", ""), numbers, column)
+    return cells.groupBy(row).pivot(column, [r[0] for r in names.collect()]).agg(value)

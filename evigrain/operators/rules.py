@@ -123,17 +123,6 @@ def band_pick(zero: Column, half: Column, one: Column) -> Column:
     return F.when((top <= 0) | (margin < 0.5), "0.5").when(zero == top, "0").when(half == top, "0.5").otherwise("1")
 
 
-def made_up_provisions(docs: DataFrame) -> DataFrame:
-    """Provision rows with some faults in them."""
-    d = F.col("doc_id")
-    return docs.select(
-        "doc_id", F.col("lang").alias("economy"), F.col("source").alias("law_name"), F.when(d % 9 == 4, "").otherwise(F.concat(F.lit("Law "), d)).alias("law_number_ref"), F.lit("").alias("last_amended"),
-        F.when(d % 7 == 2, "6.1").otherwise(F.concat(F.lit("P6-I"), d % 5)).alias("indicator_id"), F.when(d % 6 == 1, "s. 26").otherwise("s. 26(1)").alias("article"), F.when(d % 8 == 3, "OLD").otherwise("NEW").alias("discovery_tag"),
-        F.concat(F.lit("doc "), d).alias("location_reference"), F.trim(F.substring("text", 1, 40)).alias("verbatim_snippet"), F.substring("text", F.lit(1), (250 + d % 100).cast("int")).alias("mapping_rationale"), F.lit("http://example.org").alias("source_url"),
-        F.when(d % 5 == 0, "1.20").otherwise("0.85").alias("confidence"), F.lit("").alias("notes"),
-    )
-
-
 def violations(provisions: DataFrame) -> DataFrame:
     """``(doc_id, violation)`` for each conformance rule that a row breaks."""
     required = [c for c in PROVISION_COLUMNS if c in ("economy", "law_name", "law_number_ref", "indicator_id", "article", "verbatim_snippet", "source_url")]

@@ -99,14 +99,6 @@ def cost_summary(table):
     return rows.agg(F.count(F.lit(1)).alias("calls"), F.round(F.sum("value"), 4).alias("seconds"), F.round(F.sum("value") / 60, 4).alias("minutes"), F.round(F.sum("value") / F.countDistinct("user_id"), 4).alias("per_claim"))
 
 
-@query("""WITH p(event_type, price) AS (VALUES ('click', 0.0015), ('view', 0.00002), ('purchase', 0.00015), ('signup', 0.0006), ('error', 0.0))
-SELECT event_type AS component, arg_min(props, event_id) AS first_props, count(*) AS events, round(sum(CAST(json_extract(props, '$.k') AS BIGINT) * price::DOUBLE), 6) AS cost FROM events JOIN p USING (event_type) GROUP BY event_type""")
-def cost_components(table):
-    prices = table("region").sparkSession.createDataFrame([("click", 0.0015), ("view", 0.00002), ("purchase", 0.00015), ("signup", 0.0006), ("error", 0.0)], "event_type string, price double")
-    rows = table("events").join(prices, "event_type").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
-    return rows.groupBy(F.col("event_type").alias("component")).agg(F.min_by("props", "event_id").alias("first_props"), F.count(F.lit(1)).alias("events"), F.round(F.sum(F.col("k") * F.col("price")), 6).alias("cost"))
-
-
 @query("""WITH a AS (SELECT event_type AS metric, avg(value) AS v FROM events WHERE user_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) AS v FROM events WHERE user_id % 2 = 1 GROUP BY 1) SELECT metric, round(a.v, 6) AS base, round(b.v, 6) AS variant, round(b.v - a.v, 6) AS delta FROM a JOIN b USING (metric)""")
 def ablation(table):
     """A metric with and without a variant, here the two halves of the users."""

@@ -149,13 +149,6 @@ def completeness(table):
     return found.select("source", F.round(ratio, 6).alias("ratio"), F.round(recall, 6).alias("recall"), state.alias("state"), rules.defensible_zero(state, recall, ratio, 0.4, 0.9).alias("defensible"))
 
 
-@query("""SELECT lang, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1, count(*) FILTER (source = 'src2') AS src2, count(*) AS total FROM documents GROUP BY lang""")
-def coverage_matrix(table):
-    docs = table("documents")
-    matrix = docs.groupBy("lang").pivot("source", ["src0", "src1", "src2"]).count().na.fill(0)
-    return matrix.join(docs.groupBy("lang").agg(F.count(F.lit(1)).alias("total")), "lang")
-
-
 @query("""WITH i AS (SELECT user_id, floor(epoch(ts))::BIGINT AS s, floor(epoch(ts))::BIGINT + (value * 600)::BIGINT AS e FROM events WHERE value IS NOT NULL), o AS (SELECT *, max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM i WHERE e > s),
 k AS (SELECT *, sum(CASE WHEN b IS NULL OR s > b THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY s, e) AS g FROM o) SELECT user_id, min(s) AS start, max(e) AS "end", count(*) AS parts FROM k GROUP BY user_id, g""")
 def interval_merge(table):
@@ -177,14 +170,6 @@ def authority_override(table):
     return rows.select("s_suppkey", tier.alias("tier"), rules.authority_rank(tier).alias("rank"))
 
 
-@query("""WITH p AS (SELECT doc_id, lang AS economy, source AS law_name, CASE WHEN doc_id % 9 = 4 THEN '' ELSE 'Law ' || doc_id END AS law_number_ref, CASE WHEN doc_id % 7 = 2 THEN '6.1' ELSE 'P6-I' || (doc_id % 5) END AS indicator_id, CASE WHEN doc_id % 6 = 1 THEN 's. 26' ELSE 's. 26(1)' END AS article, CASE WHEN doc_id % 8 = 3 THEN 'OLD' ELSE 'NEW' END AS discovery_tag, trim(substr(text, 1, 40)) AS verbatim_snippet, substr(text, 1, 250 + doc_id % 100) AS mapping_rationale, CASE WHEN doc_id % 5 = 0 THEN '1.20' ELSE '0.85' END AS confidence FROM documents),
-v AS (SELECT doc_id, unnest(list_filter([CASE WHEN law_number_ref = '' THEN 'missing law_number_ref' END, CASE WHEN verbatim_snippet = '' THEN 'missing verbatim_snippet' END, CASE WHEN discovery_tag NOT IN ('NEW', 'KNOWN') THEN 'bad discovery_tag' END, CASE WHEN NOT regexp_matches(article, '\\(') THEN 'article lacks paragraph' END, CASE WHEN length(mapping_rationale) > 300 THEN 'long rationale' END, CASE WHEN confidence::DOUBLE > 1 THEN 'confidence above 1' END, CASE WHEN NOT regexp_matches(indicator_id, '^P[0-9]+-I[0-9]+$') THEN 'bad indicator_id' END], lambda x: x IS NOT NULL)) AS violation FROM p)
-SELECT doc_id, violation FROM v""")
-def provision_violations(table):
-    """Conformance violations of provision rows made up from the documents."""
-    return rules.violations(rules.made_up_provisions(table("documents")))
-
-
 @query("""WITH c AS (SELECT conv_id, turn, length(text) AS n, CASE WHEN role = 'system' THEN 'no_evidence' WHEN length(text) < 100 THEN 'insufficient' WHEN length(text) % 3 = 0 THEN 'flagged' WHEN length(text) % 3 = 1 THEN 'rejected' ELSE 'verified' END AS state FROM conversations)
 SELECT conv_id, turn, state, row_number() OVER (ORDER BY CASE state WHEN 'no_evidence' THEN 0 WHEN 'insufficient' THEN 1 WHEN 'flagged' THEN 2 WHEN 'rejected' THEN 3 ELSE 5 END, conv_id, turn, n) AS position FROM c QUALIFY position <= 50""")
 def review_queue(table):

@@ -136,13 +136,6 @@ def few_shot_bands(table):
     return review.few_shot_bands(claims, examples).withColumn("band", F.coalesce("band", F.lit("-")))
 
 
-@query(f"""SELECT item_id, CASE WHEN len(b.w) > 0 AND len(d.w) > 0 THEN len(list_intersect(b.w, d.w)) / len(b.w) ELSE 0 END AS recall FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) b JOIN (SELECT doc_id, {WORDS_SQL} AS w FROM documents) d ON doc_id = item_id""")
-def context_recall(table):
-    words = lambda: F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-    gold, passages = table("benchmark").select("item_id", words().alias("gold")), table("documents").select(F.col("doc_id").alias("item_id"), words().alias("given"))
-    return gold.join(passages, "item_id").select("item_id", review.covered_share(F.col("gold"), F.col("given")).alias("recall"))
-
-
 @query("""WITH h AS (SELECT l_suppkey AS query_id, l_orderkey * 10 + l_linenumber AS id, l_extendedprice AS score, l_returnflag AS jurisdiction, l_quantity FROM lineitem),
 w AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 3 WHEN 0 THEN 'N' WHEN 1 THEN 'R' END AS asked FROM supplier),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS place FROM h), g AS (SELECT f.*, row_number() OVER (PARTITION BY f.query_id ORDER BY score DESC, id) AS p FROM f JOIN w USING (query_id) WHERE place <= 160 AND (asked IS NULL OR asked = jurisdiction)),
