@@ -18,6 +18,8 @@ from evigrain.llm.staging import staged
 #: Words in a shingle, and the similarity of shingle sets from which texts are near copies.
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go; null, empty and very short texts can't be judged and stay."""
     return quality.keep_good(docs, queries.trusted_ids(spark, sf_dir))
@@ -26,13 +28,19 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier line is within one word of go; documents of which nothing remains go too.
 
-    Null texts and rows with a null id stay as they are. Rows that share their id with a row of
-    another text keep their lines, since a line number would not name one of them; equal rows lose
-    the same lines.
+    Null texts and rows with a null id stay as they are. Earlier is the smaller id. Rows that share
+    their id with a row of another text come after all others, in an order of their own, and lose
+    lines like them; equal rows lose the same lines.
     """
-    texts = docs.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high")).where("low <> high").select("doc_id")
-    removed = linedup.removed_lines(docs, shortest=1).join(texts, "doc_id", "left_anti")
-    left = linedup.drop_lines(docs, removed, shortest=1)
+    name = max(docs.columns, key=len) + " line key"  # no column has this name
+    rows = docs.withColumn(name, F.col("doc_id").cast("long"))
+    several = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(name + " id")).agg(F.min(F.xxhash64("text")).alias("low"), F.max(F.xxhash64("text")).alias("high"))
+    several = staged(several.where("low <> high").select(name + " id"), "shared_ids")
+    if not several.isEmpty():  # whole texts are joined only where there is something to tell apart
+        own = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 2) + F.lit(1 << 62)
+        rows = docs.join(several, docs["doc_id"] == several[name + " id"], "left").withColumn(name, F.when(F.col(name + " id").isNotNull(), own).otherwise(F.col("doc_id").cast("long"))).drop(name + " id")
+        rows = staged(rows, "keyed_rows")
+    left = linedup.drop_lines(rows, linedup.removed_lines(rows, id_col=name, shortest=1), id_col=name, shortest=1).drop(name)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else left
 
 

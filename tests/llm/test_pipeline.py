@@ -95,6 +95,17 @@ def test_run_equals_the_stages(spark, stages):
 ODD = [(1, "one two three four five six seven eight", "en", "a"), (1, "one two three four five six seven eight", "en", "a"), (2, "one two three four five six seven eight", None, "b"), (None, "a line of quite a few words that stands alone", "en", None), (None, None, None, None), (5, None, "en", "a"), (6, "", "en", "a"), (7, "alpha beta\nalpha beta", "en", "b"), (8, "first text of this id here", "en", "b"), (8, "alpha beta\nsecond text of this id", "en", "b"), (9, "w " * 30_000, "xx", "c")]
 
 
+def test_texts_that_share_an_id_lose_lines(spark):
+    """Ids that name several texts: lines that repeat among these, and those that other documents have, go; equal rows lose the same ones."""
+    a, b, c = ("the quick brown fox jumps over a dog", "five words stand in here", "one more line of text in here")
+    given = [(4, f"{a}\n{b}"), (4, f"{c}\n{a}"), (4, f"{c}\n{a}"), (4, None), (9, f"{b}\nkept by nine alone it is")]
+    got = corpus_pipeline.drop_repeated_lines(spark, spark.createDataFrame(given, "doc_id int, text string"), DATA)
+    rows = [tuple(r) for r in got.collect()]
+    assert got.columns == ["doc_id", "text"] and (9, given[4][1]) in rows and (4, None) in rows
+    rest = sorted(t for i, t in rows if i == 4 and t)
+    assert rest in ([a, c, c], sorted([f"{c}\n{a}"] * 2)), rest
+
+
 @pytest.mark.parametrize("name", ["quality", "lines", "near_copies", "mix", "encode"])
 def test_odd_rows_in_each_stage(spark, name):
     """Nulls, repeated rows and ids, empty and long texts, and columns with names that the stages use themselves."""
@@ -109,8 +120,8 @@ def test_odd_rows_in_each_stage(spark, name):
     if name == "quality":
         assert set(map(str, rows)) <= set(map(str, given)) and all((i, t) in rows for i, t in given if not t)
     elif name == "lines":
-        want = [(i, t) for i, t in given if i not in (2, 7)]  # 8's second text keeps its line although 7 has it
-        assert order(rows) == order([*want, (7, "alpha beta")])
+        want = [(i, t) for i, t in given if i not in (2, 7) and t != ODD[9][1]]  # 8 names two texts; the second one loses the line that 7 has
+        assert order(rows) == order([*want, (7, "alpha beta"), (8, "second text of this id")])
     elif name == "near_copies":
         want = [x for x in given if x not in {(2, given[0][1]), (6, ""), (None, None)}]
         want.remove(given[0])  # one of the repeated rows
