@@ -124,7 +124,8 @@ def few_shot_bands(claims: DataFrame, examples: DataFrame, least: float = FEW_SH
     known = examples.where(F.col("band").isin(list(BANDS))).select("ord", "label", "band", words("text").alias("theirs")).where(F.size("theirs") > 0)
     own = claims.select("claim_id", "indicator_id", words("text").alias("ours"))
     fits = F.col("label").isNull() | (F.col("label") == "") | (F.col("label") == F.col("indicator_id"))
-    met = own.where(F.size("ours") > 0).join(F.broadcast(known), fits).withColumn("overlap", T.jaccard(F.col("ours"), F.col("theirs"))).where("overlap > 0")
+    met = own.where(F.size("ours") > 0).join(F.broadcast(known), fits).withColumn("shared", F.size(F.array_intersect("ours", "theirs"))).where("shared > 0")
+    met = met.withColumn("overlap", F.col("shared") / (F.size("ours") + F.size("theirs") - F.col("shared")))  # both are distinct words
     best = met.groupBy("claim_id").agg(F.max_by(F.struct("band", "overlap"), F.struct("overlap", -F.col("ord"))).alias("best"))
     found = claims.select("claim_id").join(best, "claim_id", "left")
     return found.select("claim_id", F.when(F.col("best.overlap") >= least, F.col("best.band")).alias("band"), F.coalesce("best.overlap", F.lit(0.0)).alias("overlap"))
