@@ -4,20 +4,23 @@ SimHash over vantage-point trees names the candidates, and the shingle sets of e
 decide. Documents with the same set are one node from the start. A node has three independent 64-bit
 fingerprints of its set (each shingle once). At a similarity of 0.8 a bit differs with a chance of
 0.151, 29 of 192 bits give or take five: pairs over ``MOST_BITS`` aren't looked at further, which
-costs one pair of 0.8 in a hundred thousand. The bits are twelve parts of 16, and each part has a
-vantage-point tree of its own, searched with a radius of one: two sets of similarity 0.8 are that
-close in one part with a chance of 0.28, so twelve parts miss 2 % of pairs just at 0.8, 0.4 % at
-0.85 and some 0.03 % at 0.9. Unrelated sets are that close in a part once in 3,900 pairs. A value
-reaches its leaf and at most those of its 16 neighbours, so what is shuffled grows with the number
-of nodes, not with its square. Leaves that many nodes share are cut into blocks of bounded size,
-and pairs of blocks are tasks of their own.
+costs one pair of 0.8 in a hundred thousand. The bits are twelve parts of 16, and sets meet where
+they are within one bit in a part: two sets of similarity 0.8 are that close in one part with a
+chance of 0.28, so twelve parts miss 2 % of pairs just at 0.8, 0.4 % at 0.85 and some 0.03 % at 0.9.
+Unrelated sets are that close in a part once in 3,900 pairs. Parts within one bit have an equal half
+of eight bits, so each half has a vantage-point tree with radius zero: a node reaches one leaf of
+each of the 24 trees, however deep they are, and what is shuffled grows with the number of nodes. In
+a leaf the search goes on by a tree over the whole part, with radius one. Leaves that many nodes
+share are cut into blocks of bounded size, and pairs of blocks are tasks of their own.
 
 Sets of fewer than six shingles may differ in more bits at 0.8; their bound is ``SMALL_BITS``. Sets
 whose sizes alone rule out the similarity are no candidates.
 
 Components need no more than a link for each of their nodes. A first search names for each node its
-closest candidates in each task; the second one names all candidates between nodes that those
-have not joined, so a large group of copies doesn't list its pairs and none is left out.
+closest candidate in each task, and the nodes that have several in one task: only between two such
+nodes is a pair left unnamed. The second search takes these nodes alone, and names all candidates
+that the first one's links have not joined, so a large group of copies doesn't list its pairs and
+none is left out.
 """
 
 from __future__ import annotations
@@ -35,11 +38,11 @@ from pyspark.sql import functions as F
 from evigrain.llm.simhash import SAMPLE_PER_LEAF, Shard, fingerprint, fit_tree, other_bits, route, shingle_hashes
 from evigrain.llm.staging import connected_components, sieved, staged
 
-PART_BITS, RADIUS = 16, 1
+PART_BITS, HALF_BITS, RADIUS = 16, 8, 1
 FIRST_BITS = 26
 MOST_BITS = 51
 SMALL, SMALL_BITS = 6, 66
-LEAF_ROWS, BLOCK_ROWS = 8192, 16384
+LEAF_ROWS, BLOCK_ROWS = 8192, 32768
 NODES = "id long, node long, fp long, second long, third long, n int"
 PRINTS = "fp", "second", "third"
 
@@ -79,27 +82,31 @@ class Candidates(Shard):
     def __init__(self, prints: list[np.ndarray], part: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float, closest: bool):
         super().__init__(prints[0], None, part, RADIUS, FIRST_BITS)
         self.prints, self.sizes, self.roots, self.similarity, self.closest = prints, sizes, roots, similarity, closest
-        self.best, self.pairs = np.full(len(part), 1 << 62), []
+        self.best, self.met, self.pairs = np.full(len(part), 1 << 62), np.zeros(len(part), np.int64), []
 
     def compare(self, home: np.ndarray, visit: np.ndarray) -> None:
         step = max(1, (1 << 17) // max(1, len(home)))
         for i in range(0, len(visit), step):
             a, b = np.nonzero(np.bitwise_count(self.fps[visit[i : i + step], None] ^ self.fps[None, home]) <= FIRST_BITS)
             a, b = visit[i : i + step][a], home[b]
+            keep = self.roots[a] != self.roots[b]
+            a, b = a[keep], b[keep]
             far = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in self.prints)
             low, high = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
-            keep = (self.roots[a] != self.roots[b]) & (low >= self.similarity * high - 1e-9) & (far <= np.where(low < SMALL, SMALL_BITS, MOST_BITS))
+            keep = (low >= self.similarity * high - 1e-9) & (far <= np.where(low < SMALL, SMALL_BITS, MOST_BITS))
             a, b, far = a[keep], b[keep], far[keep]
             if self.closest:
                 np.minimum.at(self.best, a, far << 40 | b)
                 np.minimum.at(self.best, b, far << 40 | a)
+                self.met += np.bincount(a, minlength=len(self.met)) + np.bincount(b, minlength=len(self.met)) if len(a) else 0
             elif len(a):
                 self.pairs.append((a, b))
 
-    def found(self) -> tuple[np.ndarray, np.ndarray]:
+    def found(self, times: int) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs; where only the closest are wanted, also ``(a, a)`` for each node that met more than one other, ``times`` times each."""
         if self.closest:
-            a = np.flatnonzero(self.best < 1 << 62)
-            return a, self.best[a] & ((1 << 40) - 1)
+            a, crowded = np.flatnonzero(self.best < 1 << 62), np.flatnonzero(self.met > times)
+            return np.concatenate([a, crowded]), np.concatenate([self.best[a] & ((1 << 40) - 1), crowded])
         return tuple(np.concatenate(x) for x in zip(*self.pairs, strict=True)) if self.pairs else (np.empty(0, int), np.empty(0, int))
 
 
@@ -108,48 +115,73 @@ def parts_of(prints: list[np.ndarray]) -> list[np.ndarray]:
     return [(p >> np.uint64(at)).astype(np.uint16) for p in prints for at in range(0, 64, PART_BITS)]
 
 
-def candidates(nodes: DataFrame, similarity: float, closest: bool, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Pairs ``(a, b)`` of nodes ``(node, fp, second, third, n, root)`` with different roots."""
-    able = nodes.where("n >= 4").select("node", *PRINTS, "n", "root")
+def halves_of(prints: list[np.ndarray]) -> list[np.ndarray]:
+    """The two halves of each part, one after the other."""
+    return [(p >> np.uint16(at)).astype(np.uint8) for p in parts_of(prints) for at in range(0, PART_BITS, HALF_BITS)]
+
+
+def leaf_table(tree: list) -> np.ndarray:
+    """The leaf of each value of a half: with radius zero there is just one."""
+    table = np.zeros(1 << HALF_BITS, np.int64)
+    for leaf, values, _ in route(tree, np.arange(1 << HALF_BITS, dtype=np.uint8), 0):
+        table[values] = leaf
+    return table
+
+
+def dealt(able: DataFrame, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """A row ``(task, side, ...)`` for each node ``(node, fp, second, third, n, root)`` and leaf it reaches, more only where a leaf has several blocks.
+
+    Rows of a block meet each other (side 0), or those of another block (sides 1 and 2).
+    """
     total = able.count()
     depth = min(PART_BITS, max(0, math.ceil(math.log2(max(1, total) / leaf_rows))))
     sample = able.orderBy(F.xxhash64("node"), "node").select(*PRINTS).limit(SAMPLE_PER_LEAF << depth).collect()
     prints = [np.array([r[k] for r in sample], np.int64).view(np.uint64) for k in range(len(PRINTS))]
-    trees, blocks = [], []
-    for values in parts_of(prints):
-        trees.append(fit_tree(values, depth))
-        share = {leaf: len(rows) / len(values) for leaf, rows, _ in route(trees[-1], values, RADIUS)} if len(values) else {}
-        blocks.append({leaf: max(1, math.ceil(s * total / block_rows)) for leaf, s in share.items()})
+    leaves, blocks = [], []
+    for values in halves_of(prints):
+        leaves.append(leaf_table(fit_tree(values, depth)))
+        share = np.bincount(leaves[-1][values], minlength=1 << HALF_BITS) / max(1, len(values))
+        blocks.append(np.maximum(1, np.ceil(share * total / block_rows)).astype(np.int64))
 
     def to_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
             mixed = other_bits(columns[0].view(np.uint64))
-            for k, part in enumerate(parts_of([c.view(np.uint64) for c in columns[1:]])):
-                for leaf, rows, home in route(trees[k], part, RADIUS):
-                    many = blocks[k].get(leaf, 1)
-                    own = (mixed[rows] % np.uint64(many)).astype(np.int64)
-                    for other in range(many):
-                        low, high = np.minimum(own, other), np.maximum(own, other)
-                        task = ((low * many + high) << 24) | leaf << 4 | k
-                        at = pa.array(rows)
-                        yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(own == low), *(c.take(at) for c in batch.columns), pa.array(home)], names=["task", "low", *batch.schema.names, "home"])
+            for k, half in enumerate(halves_of([c.view(np.uint64) for c in columns[1:]])):
+                leaf = leaves[k][half]
+                many = blocks[k][leaf]
+                own = (mixed % many.astype(np.uint64)).astype(np.int64)
+                for other in range(int(many.max(initial=0))):
+                    rows = np.flatnonzero(many > other)
+                    low, high = np.minimum(own[rows], other), np.maximum(own[rows], other)
+                    task = (low * many[rows] + high) << 24 | leaf[rows] << 5 | k
+                    at = pa.array(rows)
+                    side = np.where(low == high, 0, np.where(own[rows] == low, 1, 2)).astype(np.int8)
+                    yield pa.RecordBatch.from_arrays([pa.array(task), pa.array(side), *(c.take(at) for c in batch.columns)], names=["task", "side", *batch.schema.names])
+
+    return able.mapInArrow(to_tasks, "task long, side byte, node long, fp long, second long, third long, n int, root long")
+
+
+def candidates(nodes: DataFrame, similarity: float, closest: bool, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes ``(node, fp, second, third, n, root)`` with different roots.
+
+    All of them, or each node's closest one in each task, and then ``(a, a)`` for nodes that have several in one.
+    """
 
     def in_task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         values = {c: rows[c].to_numpy(np.int64) for c in ("node", *PRINTS, "n", "root")}
         prints = [values[p].view(np.uint64) for p in PRINTS]
-        shard = Candidates(prints, parts_of(prints)[int(key[0]) & 15], values["n"], values["root"], similarity, closest)
-        home, low = rows["home"].to_numpy(bool), rows["low"].to_numpy(bool)
-        sides = [(home, np.ones(len(rows), bool))] if low.all() else [(home & low, ~low), (home & ~low, low)]
-        for own, visit in sides:
-            if own.any() and visit.any():
-                shard.search(np.flatnonzero(own), np.flatnonzero(visit))
-        a, b = shard.found()
+        shard = Candidates(prints, parts_of(prints)[(int(key[0]) & 31) // 2], values["n"], values["root"], similarity, closest)
+        side = rows["side"].to_numpy()
+        home, visit = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
+        if len(home) and len(visit):
+            shard.search(home, visit)
+        a, b = shard.found(2 if len(side) and side[0] == 0 else 1)  # within a block a pair meets from both sides
         a, b = values["node"][a], values["node"][b]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
-    schema = "task long, low boolean, node long, fp long, second long, third long, n int, root long, home boolean"
-    return able.mapInArrow(to_tasks, schema).groupBy("task").applyInPandas(in_task, "a long, b long").where("a <> b").distinct()
+    able = nodes.where("n >= 4").select("node", *PRINTS, "n", "root")
+    return dealt(able, leaf_rows, block_rows).groupBy("task").applyInPandas(in_task, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
@@ -174,6 +206,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, si
     return staged(both.mapInArrow(alike, "a long, b long"), "links")
 
 
+def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    roots = staged(connected_components(links, "a", "b"), "roots")
+    return staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+
+
 def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """``(id_col, component_id)``, one row per input row: the smallest id that links reach.
 
@@ -183,13 +220,12 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     every = staged(_nodes(rows, width), "nodes")
     nodes = staged(every.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in (*PRINTS, "n"))), "distinct")
-    rooted, links = nodes.withColumn("root", F.col("node")), None
-    for closest in (True, False):
-        pairs = staged(candidates(rooted, similarity, closest), "pairs")
-        found = verified(pairs, nodes, rows, width, similarity)
-        links = found if links is None else links.unionByName(found)
-        roots = staged(connected_components(links, "a", "b"), "roots")
-        rooted = staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
+    first = staged(candidates(nodes.withColumn("root", F.col("node")), similarity, closest=True), "pairs")
+    links = verified(first.where("a <> b"), nodes, rows, width, similarity)
+    rooted = _rooted(nodes, links)
+    crowded = rooted.join(first.where("a = b").select(F.col("a").alias("node")), "node", "left_semi")
+    second = staged(candidates(crowded, similarity, closest=False), "pairs")
+    rooted = _rooted(nodes, links.unionByName(verified(second, nodes, rows, width, similarity)))
     lowest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     groups = rooted.join(lowest, "root").select("node", "component_id")
     return every.join(groups, "node").select(F.col("id").alias(id_col), "component_id")

@@ -1,5 +1,7 @@
 """Near copies against brute force: links at a Jaccard similarity of 0.8 or more, and no others."""
 
+import itertools
+
 import numpy as np
 
 import corpus_pipeline
@@ -51,3 +53,41 @@ def test_odd_rows(spark):
     got = nearcopies.near_copy_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or 0, r.component_id) for r in got) == [(0, 7), (4, 4), (5, 4), (7, 7), (8, 8), (9, 8), (9, 8)]
     assert nearcopies.near_copy_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def random_nodes(spark, n, groups=0):
+    """Nodes of random fingerprints; some of ``groups`` groups, whose members differ in few bits."""
+    rng = np.random.default_rng(3)
+    prints = rng.integers(-(1 << 63), (1 << 63) - 1, (n, 3))
+    for g in range(groups):
+        for i in range(g, n, 4 * groups):
+            prints[i] = prints[g]
+            for at in rng.integers(0, 192, rng.integers(0, 26)).tolist():
+                prints[i, at // 64] ^= np.int64(-(1 << 63)) if at % 64 == 63 else np.int64(1 << at % 64)
+    rows = [(i, *p, 100, i) for i, p in enumerate(prints.tolist())]
+    return rows, spark.createDataFrame(rows, "node long, fp long, second long, third long, n int, root long")
+
+
+def test_rows_dealt_do_not_grow_with_depth(spark):
+    """A node reaches one leaf of each tree, however many leaves there are."""
+    rows, nodes = random_nodes(spark, 5000)
+    assert nearcopies.dealt(nodes).count() == nearcopies.dealt(nodes, leaf_rows=16).count() == 24 * len(rows)
+
+
+def test_searches_name_every_pair(spark):
+    """The closest ones of all nodes, and all pairs of the crowded ones, are the pairs that are close in a part; with one block and with many."""
+    rows, nodes = random_nodes(spark, 900, 9)
+    prints = np.array([r[1:4] for r in rows]).view(np.uint64)
+    parts = np.stack(nearcopies.parts_of(list(prints.T)))
+    want = set()
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        far = np.bitwise_count(prints[a] ^ prints[b]).astype(int)
+        if far[0] <= nearcopies.FIRST_BITS and far.sum() <= nearcopies.MOST_BITS and np.bitwise_count(parts[:, a] ^ parts[:, b]).min() <= 1:
+            want.add((a, b))
+    assert len(want) > 2000
+    for block_rows in (nearcopies.BLOCK_ROWS, 20):
+        first = nearcopies.candidates(nodes, 0.8, True, leaf_rows=64, block_rows=block_rows).collect()
+        crowded = [r.a for r in first if r.a == r.b]
+        second = nearcopies.candidates(nodes.where(nodes.node.isin(crowded)), 0.8, False, leaf_rows=64, block_rows=block_rows).collect()
+        got = {(r.a, r.b) for r in first + second if r.a != r.b}
+        assert want <= got and len(crowded) < len(rows) / 2
