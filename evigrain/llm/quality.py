@@ -1,8 +1,10 @@
 """Quality classifier: perplexity under an n-gram model of trusted text.
 
-An interpolated modified Kneser-Ney bigram model is trained on a bounded number of documents of one
-half of the trusted ones, so their ids can be broadcast and no text is shuffled. The other half, all of it, which the model has not seen, gives each language's threshold: a high quantile of
-their log perplexity. A document over its language's threshold is rejected. The counts lie in
+An interpolated modified Kneser-Ney bigram model is trained on all documents of one half of the
+trusted ones. Their ids are staged as a bit set, a row for each 64 ids that follow each other, which
+Spark broadcasts unless it is large, so no text is shuffled. The other half, all of it, which the
+model has not seen, gives each language's threshold: a high quantile of their log perplexity, within
+a rank of one in 20,000. A document over its language's threshold is rejected. The counts lie in
 shards of sorted arrays, and the sorted keys of each slice of documents are joined with them shard
 by shard, so neither the model nor the documents' n-grams are shuffled or held whole.
 """
@@ -16,19 +18,23 @@ from evigrain.llm import ngrams
 from evigrain.llm.staging import staged
 
 QUANTILE = 0.998
-#: The model is fitted on at most so many trusted documents, the ones with the lowest hashes; thresholds take all others.
-TRAIN_DOCS = 16384
 MIN_TOKENS = 10
 MIN_TRUSTED = 50
 
 
+def _among(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose ``id`` is one of ``ids``, without nulls."""
+    word, bit = F.shiftright("id", 6), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("id").bitwiseAND(F.lit(63)).cast("int"))
+    bits = staged(ids.groupBy(word.alias("the word")).agg(F.bit_or(bit).alias("the bits")), "learn")
+    return docs.join(bits, word == F.col("the word")).where(F.col("the bits").bitwiseAND(bit) != 0)
+
+
 def _judged(df: DataFrame, trusted: DataFrame, keep: list[str], id_col: str, text_col: str, lang_col: str, quantile: float) -> DataFrame:
     """The columns ``keep`` of every row, as ``column 0`` and so on, with its scores and verdict."""
     ids = trusted.select(F.col(id_col).cast("long").alias("id")).where("id is not null").distinct()
     docs = df.select(*(F.col(c).alias(f"column {i}") for i, c in enumerate(keep)), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     learn = F.crc32(F.col("id").cast("string").cast("binary")) % 2 == 0
-    sample = ids.where(learn).orderBy(F.xxhash64("id"), "id").limit(TRAIN_DOCS)
-    model = ngrams.train(docs.join(F.broadcast(sample), "id", "left_semi").select("text"))
+    model = ngrams.train(_among(docs, ids.where(learn)).select("text"))
     kept_columns = [F.col(f"column {i}") for i in range(len(keep))]
     found = ngrams.score(docs, model, [*kept_columns, F.col("id"), F.col("lang")], F.col("text"))
     found = staged(found.withColumn("surprise", -F.col("score") / F.col("n_tokens")).drop("n_known", "base_score", "score"), "quality")

@@ -633,3 +633,17 @@ def test_matches_sql(spark, name):
     ours, theirs = queries.queries()[name](spark, DATA).toPandas(), con.execute(queries.oracle_sql()[name]).df()
     rows = lambda df: sorted(tuple(f"{v:.6g}" if isinstance(v, float) else str(v) for v in r) for r in df[sorted(df.columns)].itertuples(index=False))
     assert rows(ours) == rows(theirs)
+
+
+def test_quality_learns_from_all_trusted_documents(spark):
+    """More trusted documents than a bounded sample of them would hold, ids below zero among them."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i - 20_000, " ".join(words[j] for j in rng.integers(0, 3000, 10)), "en") for i in range(36_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    code = lambda text: [xxhash.xxh64_intdigest(w, 0) >> 32 for w in text.encode().split() + [b"\n"]]
+    score = plain_model([code(t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 2 == 0])
+    got = {r.doc_id: r.perplexity for r in quality.quality_scores(docs, docs.select("doc_id")).where("doc_id % 300 = 0").collect()}
+    assert len(got) == 120
+    for i, t, _ in rows[200::300]:
+        assert math.log10(got[i]) == pytest.approx(-score(code(t)) / 11, rel=1e-9)
