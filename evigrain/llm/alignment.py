@@ -30,11 +30,10 @@ from evigrain.llm.staging import staged
 BLOCK_LINKS, BLOCK_ROWS = 1 << 18, 1 << 14
 SLICE_ROWS = 256
 #: Bounds of the worker's cache and of a chunk in it, and the new chunks that are encoded as one text.
-CACHE_CHUNKS, CHUNK_CHARS, TOGETHER = 150_000, 64, 1024
+CACHE_CHUNKS, CHUNK_CHARS, TOGETHER = 300_000, 64, 1024
 MARK = "▁"
 #: Where chunks begin: a space between two characters that aren't white space.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-WIDE = re.compile(r"\s\s|^\s|\s$").search
 
 
 class PairCoder:
@@ -55,6 +54,8 @@ class PairCoder:
                 self.a_bytes[i] = bytes(symbols[c] for c in label)
         self.b_bytes = [self._piece(i) for i in range(self.b.vocab_size())]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
+        #: Each id with the sign after it: inside a group, then (at the same id, plus the size of the vocabulary) at the end of its side.
+        self.a_signed, self.b_signed = (np.array([f"{i}{sign}" for sign in signs for i in range(len(side))], object) for side, signs in ((self.a_bytes, ",|"), (self.b_bytes, ",;")))
         #: Chunks met since the cache was last full, and those of the time before.
         self.known: dict[str, tuple | None] = {}
         self.before: dict[str, tuple | None] = {}
@@ -71,37 +72,45 @@ class PairCoder:
         """
         text = "".join(chunks)
         # the second side adds the space that the first chunk begins with
-        ids_a, ids_b = self.a.encode(text, add_special_tokens=False).ids, self.b.encode(text[1:])
-        if any(b"".join(map(side.__getitem__, ids)) != text.encode() for side, ids in ((self.a_bytes, ids_a), (self.b_bytes, ids_b))):
+        ids_a, ids_b = self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.b.encode(text[1:])
+        whole_bytes = text.encode()
+        if any(b"".join(map(side.__getitem__, ids)) != whole_bytes for side, ids in ((self.a_bytes, ids_a), (self.b_bytes, ids_b))):
             return None
         a, b = np.array(ids_a, np.int64), np.array(ids_b, np.int64)
         ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
-        ends = np.union1d(ends_a, ends_b)
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        ends = ends[np.append(ends[1:] != ends[:-1], True)]
         i, j = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         pairs = (a[i] << 32 | b[j]).astype("<u8").tobytes()
         cut = np.flatnonzero((ends_a[i] == ends) & (ends_b[j] == ends))
-        last_i, last_j = [0, *(i[cut] + 1).tolist()], [0, *(j[cut] + 1).tolist()]
+        last_i, last_j = i[cut] + 1, j[cut] + 1
         sizes = [len(c) for c in chunks] if text.isascii() else [len(c.encode()) for c in chunks]
         stops = np.cumsum(sizes)
         whole = np.searchsorted(ends[cut], stops)
         if (ends[cut][whole] != stops).any():
             raise ValueError("tokens cross a space between words")
-        texts_a, texts_b = list(map(str, ids_a)), list(map(str, ids_b))
-        spans = zip(last_i[:-1], last_i[1:], last_j[:-1], last_j[1:], strict=True)
-        groups = [f"{texts_a[p]}|{texts_b[r]}" if q - p == s - r == 1 else ",".join(texts_a[p:q]) + "|" + ",".join(texts_b[r:s]) for p, q, r, s in spans]
-        out, g = [], 0
-        links = [0, *(cut + 1).tolist()]
-        for h in (whole + 1).tolist():
-            out.append((last_i[h] - last_i[g], last_j[h] - last_j[g], h - g, ";".join(groups[g:h]), pairs[8 * links[g] : 8 * links[h]]))
-            g = h
+        # tokens with their signs, group by group: those of the first side, then those of the second
+        signed = np.empty(len(a) + len(b), object)
+        for ids, last, table, before in ((a, last_i, self.a_signed, np.append(0, last_j[:-1])), (b, last_j, self.b_signed, last_i)):
+            at, ending = np.arange(len(ids)), np.zeros(len(ids), bool)
+            ending[last - 1] = True
+            signed[at + before[np.cumsum(ending) - ending]] = table[ids + len(table) // 2 * ending]
+        tokens = signed.tolist()
+        stops_i, stops_j, links = last_i[whole], last_j[whole], cut[whole] + 1
+        out, g, p, q, r = [], 0, 0, 0, 0
+        for h, i, j, k in zip((whole + 1).tolist(), stops_i.tolist(), stops_j.tolist(), links.tolist(), strict=True):
+            out.append((i - p, j - q, h - g, "".join(tokens[p + q : i + j])[:-1], pairs[8 * r : 8 * k]))
+            g, p, q, r = h, i, j, k
         return out
 
     def learn(self, chunks: set[str]) -> list[str]:
         """Make sure that all ``chunks`` are known; returns those too long to stay so."""
         if len(self.known) > CACHE_CHUNKS:
             self.known, self.before = {}, self.known
-        self.known.update((c, self.before[c]) for c in chunks if c not in self.known and c in self.before)
-        new = [c for c in chunks if c not in self.known]
+        new = chunks.difference(self.known)
+        met = new.intersection(self.before)
+        self.known.update((c, self.before[c]) for c in met)
+        new = list(new - met)
         plain = [c for c in new if not (c[1:2].isspace() or c[-1].isspace())]
         for at in range(0, len(plain), TOGETHER):
             self._learn(plain[at : at + TOGETHER])
@@ -124,7 +133,8 @@ def chunks_of(text: str) -> list[str]:
     """The space and the text, cut where tokens of both sides begin; none for an empty text."""
     if not text:
         return []
-    return [" " + c for c in (CUT.split(text) if WIDE(text) else text.split(" "))]
+    plain = len(text) == len(" ".join(text.split()))  # white space is single and inside the text
+    return [" " + c for c in (text.split(" ") if plain else CUT.split(text))]
 
 
 RESULT = ["id", "n_a", "n_b", "n_groups", "n_links", "groups"]

@@ -226,3 +226,16 @@ def test_codes_equal_sql(spark):
     want = con.execute(queries.oracle_sql()["op12_codes"]).df()
     got = queries.op12_codes(spark, DATA).toPandas()[list(want.columns)]
     assert sorted(map(tuple, got.to_numpy().tolist())) == sorted(map(tuple, want.to_numpy().tolist()))
+
+
+def test_chunks_met_again_are_not_encoded_again():
+    """The words of some thousands of documents, met twice; white space of any kind keeps the cuts."""
+    coder, encoded = alignment.PairCoder.__new__(alignment.PairCoder), []
+    coder.known, coder.before = {}, {}
+    coder._learn = lambda chunks: (encoded.extend(chunks), coder.known.update(dict.fromkeys(chunks)))
+    for _ in range(2):
+        for at in range(0, 290_000, 10_000):
+            coder.learn({f" w{i}" for i in range(at, at + 10_000)})
+    assert len(encoded) == len(set(encoded)) == 290_000
+    for text in ("a b", "a  b", " a b", "a b ", "a\n", "a\nb c", "a b c", "a 　b", "\x1ca b", " ", "a", "a\n b  c d"):
+        assert alignment.chunks_of(text) == [" " + c for c in alignment.CUT.split(text)]
