@@ -18,9 +18,12 @@ whose sizes alone rule out the similarity are no candidates.
 
 Components need no more than a link for each of their nodes. A first search names for each node its
 closest candidate in each task, and the nodes that have several in one task: only between two such
-nodes is a pair left unnamed. The second search takes these nodes alone, and names all candidates
-that the first one's links have not joined, so a large group of copies doesn't list its pairs and
-none is left out.
+nodes is a pair left unnamed. The second search takes these nodes alone and looks at all candidates
+that the first one's links have not joined, but a task names only as many as hold its candidates
+together, fewer than it has nodes. What they connect are kin: every candidate pair is within one
+kin. The nodes of a kin then meet with their shingle sets in pairs of blocks, where all pairs that
+the fingerprints allow are compared, and again only links that connect leave a task. So neither
+search lists the pairs of a large group, linked or not, and none is left out.
 """
 
 from __future__ import annotations
@@ -43,6 +46,8 @@ FIRST_BITS = 26
 MOST_BITS = 51
 SMALL, SMALL_BITS = 6, 66
 LEAF_ROWS, BLOCK_ROWS = 8192, 32768
+#: A kin has a block for each so many nodes, up to ``KIN_BLOCKS`` of them; more only where blocks would hold over ``KIN_HASHES`` shingles.
+KIN_ROWS, KIN_BLOCKS, KIN_HASHES = 128, 24, 1 << 20
 NODES = "id long, node long, fp long, second long, third long, n int"
 PRINTS = "fp", "second", "third"
 
@@ -76,12 +81,18 @@ def _sets(df: DataFrame, width: int) -> DataFrame:
     return df.mapInArrow(of, "node long, hashes binary")
 
 
+def allowed(far: np.ndarray, n: np.ndarray, m: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of ``n`` and ``m`` shingles that differ in ``far`` bits may have the similarity."""
+    low, high = np.minimum(n, m), np.maximum(n, m)
+    return (low >= similarity * high - 1e-9) & (far <= np.where(low < SMALL, SMALL_BITS, MOST_BITS))
+
+
 class Candidates(Shard):
-    """Candidate pairs among the nodes of one task whose roots differ: each node's closest one, or all."""
+    """Candidate pairs among the nodes of one task whose roots differ: each node's closest one, all, or as many as connect what all do."""
 
-    def __init__(self, prints: list[np.ndarray], part: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float, closest: bool):
+    def __init__(self, prints: list[np.ndarray], part: np.ndarray, sizes: np.ndarray, roots: np.ndarray, similarity: float, closest: bool, spanning: bool):
         super().__init__(prints[0], None, part, RADIUS, FIRST_BITS)
-        self.prints, self.sizes, self.roots, self.similarity, self.closest = prints, sizes, roots, similarity, closest
+        self.prints, self.sizes, self.roots, self.similarity, self.closest, self.spanning = prints, sizes, roots, similarity, closest, spanning
         self.best, self.met, self.pairs = np.full(len(part), 1 << 62), np.zeros(len(part), np.int64), []
 
     def compare(self, home: np.ndarray, visit: np.ndarray) -> None:
@@ -92,13 +103,14 @@ class Candidates(Shard):
             keep = self.roots[a] != self.roots[b]
             a, b = a[keep], b[keep]
             far = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in self.prints)
-            low, high = np.minimum(self.sizes[a], self.sizes[b]), np.maximum(self.sizes[a], self.sizes[b])
-            keep = (low >= self.similarity * high - 1e-9) & (far <= np.where(low < SMALL, SMALL_BITS, MOST_BITS))
+            keep = allowed(far, self.sizes[a], self.sizes[b], self.similarity)
             a, b, far = a[keep], b[keep], far[keep]
             if self.closest:
                 np.minimum.at(self.best, a, far << 40 | b)
                 np.minimum.at(self.best, b, far << 40 | a)
                 self.met += np.bincount(a, minlength=len(self.met)) + np.bincount(b, minlength=len(self.met)) if len(a) else 0
+            elif self.spanning:
+                self.out.add(a, b)
             elif len(a):
                 self.pairs.append((a, b))
 
@@ -107,6 +119,8 @@ class Candidates(Shard):
         if self.closest:
             a, crowded = np.flatnonzero(self.best < 1 << 62), np.flatnonzero(self.met > times)
             return np.concatenate([a, crowded]), np.concatenate([self.best[a] & ((1 << 40) - 1), crowded])
+        if self.spanning:
+            return self.out.edges()
         return tuple(np.concatenate(x) for x in zip(*self.pairs, strict=True)) if self.pairs else (np.empty(0, int), np.empty(0, int))
 
 
@@ -162,16 +176,18 @@ def dealt(able: DataFrame, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_R
     return able.mapInArrow(to_tasks, "task long, side byte, node long, fp long, second long, third long, n int, root long")
 
 
-def candidates(nodes: DataFrame, similarity: float, closest: bool, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def candidates(nodes: DataFrame, similarity: float, closest: bool, leaf_rows: int = LEAF_ROWS, block_rows: int = BLOCK_ROWS, spanning: bool = False) -> DataFrame:
     """Pairs ``(a, b)`` of nodes ``(node, fp, second, third, n, root)`` with different roots.
 
     All of them, or each node's closest one in each task, and then ``(a, a)`` for nodes that have several in one.
+    ``spanning``: not all, but pairs that connect the same nodes, fewer in each task than it has nodes.
     """
 
     def in_task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("node", ignore_index=True)  # a task's smallest nodes are its roots, so tasks name the same pairs
         values = {c: rows[c].to_numpy(np.int64) for c in ("node", *PRINTS, "n", "root")}
         prints = [values[p].view(np.uint64) for p in PRINTS]
-        shard = Candidates(prints, parts_of(prints)[(int(key[0]) & 31) // 2], values["n"], values["root"], similarity, closest)
+        shard = Candidates(prints, parts_of(prints)[(int(key[0]) & 31) // 2], values["n"], values["root"], similarity, closest, spanning)
         side = rows["side"].to_numpy()
         home, visit = np.flatnonzero(side < 2), np.flatnonzero(side != 1)
         if len(home) and len(visit):
@@ -184,13 +200,17 @@ def candidates(nodes: DataFrame, similarity: float, closest: bool, leaf_rows: in
     return dealt(able, leaf_rows, block_rows).groupBy("task").applyInPandas(in_task, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs whose shingle sets have the similarity."""
+def sets_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """``(node, hashes)``: the shingle set of each node of the pairs."""
     wanted = staged(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "wanted")
     ids = nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("_id")).distinct()
     some = sieved(rows, "id", ids).unionByName(rows.where("id is null"))
     texts = some.join(ids, some["id"].eqNullSafe(ids["_id"]), "left_semi")
-    sets = staged(_sets(texts, width).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+    return staged(_sets(texts, width).join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs whose shingle sets have the similarity."""
     left = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").select("a", "b", "x", "y")
 
@@ -206,6 +226,58 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, width: int, si
     return staged(both.mapInArrow(alike, "a long, b long"), "links")
 
 
+def connecting_links(rows: pd.DataFrame, across: bool, similarity: float) -> Iterator[tuple[int, int]]:
+    """Rows of nodes ``(fp, second, third, root, own, hashes)`` whose sets have the similarity; none between rows that these or the roots join already.
+
+    ``across``: only rows of different blocks are compared.
+    """
+    prints = [rows[p].to_numpy(np.int64).view(np.uint64) for p in PRINTS]
+    sets = [np.frombuffer(x, np.uint64) for x in rows["hashes"]]
+    sizes, own, root = np.array([len(x) for x in sets]), rows["own"].to_numpy(), np.unique(rows["root"].to_numpy(np.int64), return_inverse=True)[1]
+    hashes, places = np.unique(np.concatenate(sets), return_inverse=True)
+    places, there = np.split(places, np.cumsum(sizes)[:-1]), np.zeros(len(hashes), bool)
+    for a in range(len(sets)):
+        b = a + 1 + np.flatnonzero((root[a + 1 :] != root[a]) & ((own[a + 1 :] != own[a]) | (not across)))
+        far = sum(np.bitwise_count(p[a] ^ p[b]).astype(np.int64) for p in prints)
+        may = allowed(far, sizes[a], sizes[b], similarity)
+        b = b[may][np.argsort(far[may], kind="stable")]
+        there[places[a]] = True
+        while len(b):
+            c, b = int(b[0]), b[1:]
+            shared = np.count_nonzero(there[places[c]])
+            if shared >= similarity * (sizes[a] + sizes[c] - shared) - 1e-9:
+                yield a, c
+                root[root == root[c]] = root[a]
+                b = b[root[b] != root[a]]
+        there[places[a]] = False
+
+
+def verified_kin(kin: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``(a, b)`` that, with the roots, connect what all links among the nodes ``(node, kin, fp, second, third, n, root)`` of each kin do.
+
+    Kin of several blocks are dealt to a task for each pair of blocks, the others are gathered in tasks of about a block.
+    """
+    blocks = F.greatest(F.least(F.ceil(F.col("rows") / KIN_ROWS), F.lit(KIN_BLOCKS)), F.ceil(F.col("hashes") / KIN_HASHES)).cast("long")
+    sizes = kin.groupBy("kin").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("n").cast("long")).alias("hashes"))
+    sizes = staged(sizes.withColumn("blocks", blocks), "kin_sizes")
+    n_rows, n_hashes = sizes.where("blocks = 1").agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("hashes"), F.lit(0))).first()
+    gathered = max(1, math.ceil(n_rows / KIN_ROWS), math.ceil(n_hashes / KIN_HASHES))
+    own = F.pmod(F.xxhash64("node"), "blocks")
+    rows = kin.join(sizes.select("kin", "blocks"), "kin").join(sets, "node").withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    task = F.when(F.col("blocks") > 1, F.col("kin")).otherwise(F.pmod(F.xxhash64("kin"), F.lit(gathered)))
+    rows = rows.select(task.alias("task"), F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "kin", "node", *PRINTS, "root", "hashes")
+
+    def in_task(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, of in rows.groupby("kin", sort=False):
+            node = of["node"].to_numpy(np.int64)
+            found += [(node[a], node[b]) for a, b in connecting_links(of, key[1] != key[2], similarity)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return staged(rows.groupBy("task", "low", "high").applyInPandas(in_task, "a long, b long"), "links")
+
+
 def _rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
     roots = staged(connected_components(links, "a", "b"), "roots")
     return staged(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")), "rooted")
@@ -221,11 +293,13 @@ def near_copy_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     every = staged(_nodes(rows, width), "nodes")
     nodes = staged(every.groupBy("node").agg(F.min("id").alias("first_id"), *(F.first(c).alias(c) for c in (*PRINTS, "n"))), "distinct")
     first = staged(candidates(nodes.withColumn("root", F.col("node")), similarity, closest=True), "pairs")
-    links = verified(first.where("a <> b"), nodes, rows, width, similarity)
+    sets = sets_of(first.where("a <> b"), nodes, rows, width)  # crowded nodes are among these
+    links = verified(first.where("a <> b"), sets, similarity)
     rooted = _rooted(nodes, links)
     crowded = rooted.join(first.where("a = b").select(F.col("a").alias("node")), "node", "left_semi")
-    second = staged(candidates(crowded, similarity, closest=False), "pairs")
-    rooted = _rooted(nodes, links.unionByName(verified(second, nodes, rows, width, similarity)))
+    second = connected_components(candidates(crowded, similarity, closest=False, spanning=True), "a", "b")
+    kin = staged(second.withColumnRenamed("root", "kin"), "kin")
+    rooted = _rooted(nodes, links.unionByName(verified_kin(rooted.join(kin, "node"), sets, similarity)))
     lowest = staged(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "lowest")
     groups = rooted.join(lowest, "root").select("node", "component_id")
     return every.join(groups, "node").select(F.col("id").alias(id_col), "component_id")

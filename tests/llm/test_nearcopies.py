@@ -3,9 +3,12 @@
 import itertools
 
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from evigrain.llm import nearcopies
+from evigrain.llm.groups import local_roots
+from evigrain.llm.staging import staged
 
 DATA = "/root/testdata/sf0.01"
 
@@ -91,3 +94,53 @@ def test_searches_name_every_pair(spark):
         second = nearcopies.candidates(nodes.where(nodes.node.isin(crowded)), 0.8, False, leaf_rows=64, block_rows=block_rows).collect()
         got = {(r.a, r.b) for r in first + second if r.a != r.b}
         assert want <= got and len(crowded) < len(rows) / 2
+
+
+def copies_around_the_bound(n):
+    """Texts of 400 words of one family that differ in 2 to 12 words from it: all are candidates of each other, and few pairs reach 0.8."""
+    rng = np.random.default_rng(5)
+    words = [f"base{i}" for i in range(400)]
+    texts = []
+    for k in range(n):
+        copy = list(words)
+        for i in rng.permutation(78)[: 12 - 10 * (k % 7 == 0)].tolist():
+            copy[5 * i + 4] = f"k{k}w{i}"
+        texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("kin_rows", [128, 20])
+def test_a_large_group_lists_no_pairs(spark, monkeypatch, kin_rows):
+    """Candidates that don't link: nothing grows with their pairs, and the components are those of all pairs; with few blocks and with many."""
+    texts, root = copies_around_the_bound(260), list(range(260))
+    sets = [set(nearcopies.shingle_set(t, 5).tolist()) for t in texts]
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        shared = len(sets[a] & sets[b])
+        if shared >= 0.8 * (len(sets[a]) + len(sets[b]) - shared) - 1e-9:
+            low, high = sorted((root[a], root[b]))
+            root = [low if r == high else r for r in root]
+    assert 50 < len(set(root)) < 255
+    counts = []
+
+    def counted(df, name):
+        out = staged(df, name)
+        counts.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(nearcopies, "staged", counted)
+    monkeypatch.setattr(nearcopies, "KIN_ROWS", kin_rows, raising=False)
+    got = nearcopies.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.doc_id: r.component_id for r in got.collect()} == dict(enumerate(root))
+    assert max(n for _, n in counts) <= 24 * len(texts), counts
+
+
+def test_connecting_names_as_much_as_all_pairs(spark):
+    """The pairs that connect join the same nodes as all pairs do, in no more rows than each task has nodes."""
+    rows, nodes = random_nodes(spark, 900, 9)
+    for block_rows in (nearcopies.BLOCK_ROWS, 20):
+        every, few = ([(r.a, r.b) for r in nearcopies.candidates(nodes, 0.8, False, leaf_rows=64, block_rows=block_rows, spanning=s).collect()] for s in (False, True))
+        roots = []
+        for pairs in (every, few):
+            a, b = np.array(pairs).T
+            roots.append(local_roots(len(rows), a, b).tolist())
+        assert roots[0] == roots[1] and len(few) < len(every)
