@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigrain.operators import likeness
 from evigrain.sources.staging import written
 
 
@@ -80,56 +83,71 @@ def ranked(df: DataFrame, by: list[str], order: str, name: str = "rank", width:
     return rows.withColumn("_inside", inside).join(offsets, same).select(*(F.col(c) for c in df.columns), (F.col("_inside") + F.col("_before")).alias(name))
 
 
-def token_sets(df: DataFrame, ident: str, cell: list[str], token_col: str) -> DataFrame:
-    """``(ident, *cell, set, class_id)``: sets that aren't empty, and the smallest id with an equal set in the cell."""
-    sets = df.select(F.col(ident).alias("ident"), *cell, F.array_sort(F.array_distinct(token_col)).alias("set")).where("size(set) > 0")
-    digest = F.sha2(F.concat_ws(chr(0), "set"), 256)
-    sets = sets.withColumn("_digest", digest)
-    first = sets.groupBy(*(F.col(c).alias(f"_{c}") for c in cell), F.col("_digest").alias("_its_digest")).agg(F.min("ident").alias("class_id"))
+#: Rows of ids that may be sent to every task.
+SMALL = 1 << 20
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """A written table of ids, marked to be sent to every task if it is small."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def set_classes(df: DataFrame, ident: str, cell: list[str], tokens: str | Column) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``(ident, *cell, class_id)``: the smallest id with an equal set in the cell; and a function that makes the sets.
+
+    The function gives ``(ident, *cell, set, class_id)`` of all rows, or of those in a table of ids
+    ``ident``; only these rows' tokens are then taken. Digests alone are compared and written. Rows
+    without tokens have no class, and an empty set.
+    """
+    set_, row = F.array_distinct(tokens), F.xxhash64(*df.columns)
+    digest = F.unhex(F.sha2(F.concat_ws(chr(0), F.array_sort(set_)), 256)).alias("_digest")
+    rows = written(df.select(F.col(ident).alias("ident"), *cell, row.alias("_row"), digest, F.size(set_).alias("_n")), "digests").where("_n > 0")
+    first = rows.groupBy(*(F.col(c).alias(f"_{c}") for c in cell), F.col("_digest").alias("_its_digest")).agg(F.min("ident").alias("class_id"))
     same = F.col("_digest") == F.col("_its_digest")
     for c in cell:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return sets.join(first, same).select("ident", *cell, "set", "class_id")
+    members = written(rows.join(first, same).select("ident", *cell, "class_id", "_row"), "classes")
+    copies = written(members.where("ident <> class_id").select(F.col("ident").alias("_copy"), F.col("_row").alias("_its"), "class_id").distinct(), "copies")
 
+    def made(ids: DataFrame | None = None) -> DataFrame:
+        known = df if ids is None else df.join(_sent(ids.select(F.col("ident").alias("_wanted"))), F.col(ident) == F.col("_wanted"), "left_semi")
+        known = known.join(_sent(copies), (F.col(ident) == F.col("_copy")) & (row == F.col("_its")), "left")
+        return known.select(F.col(ident).alias("ident"), *cell, F.coalesce(set_, F.array().cast("array<string>")).alias("set"), F.coalesce("class_id", ident).alias("class_id"))
 
-def similar_pairs(sets: DataFrame, cell: list[str], least: float, width: int = 128) -> DataFrame:
+    return members.drop("_row"), made
+
+
+def token_sets(df: DataFrame, ident: str, cell: list[str], token_col: str) -> DataFrame:
+    """``(ident, *cell, set, class_id)``: sets that aren't empty, and the smallest id with an equal set in the cell."""
+    return set_classes(df, ident, cell, token_col)[1]().where("size(set) > 0")
+
+
+def similar_pairs(sets: DataFrame | Callable[..., DataFrame], cell: list[str], least: float, width: int = 128, listed: DataFrame | None = None) -> DataFrame:
     """Pairs ``(*cell, left_id, right_id, similarity)`` of different sets of a cell with a Jaccard of ``least`` or more.
 
-    ``sets`` are those of ``token_sets``, with integer ids; only the first row of each class takes
-    part, so copies don't meet in pairs. Tokens are compared by 64-bit hashes. Of n tokens, rarest
-    first by the number of sets that hold them, the first ``n - ceil(least * n) + 1`` are a set's
-    keys: sets that are similar enough share one of them. Tokens of a single set come first, and
-    only take places. Two sets of n and m tokens need ``least / (1 + least) * (n + m)`` common ones,
-    and at most ``ceil(least * n) - 1`` of them stand behind the keys of the set whose keys end
-    first, so the others have to be common keys; pairs with fewer are left before sets are sent.
-
-    Sets that are likely alike stand together in blocks of at most ``width``. Keys name pairs of
-    blocks, and the smaller block's sets are sent to the larger: of a group of thousands of near
-    copies a set travels once for each hundred others, not once for each pair. Blocks only say
-    what travels together; all pairs of two blocks that meet are compared.
+    ``sets`` are those of ``token_sets``, with integer ids, or the function of ``set_classes`` that
+    makes them; only the first row of each class takes part, so copies don't meet in pairs. With
+    ``listed``, ids in its first column, pairs of a listed set and one that isn't alone are looked
+    for. Tokens are compared by 64-bit hashes.
+
+    Pairs that may be similar are found by bitmaps (``likeness.candidates``), so sets that are like
+    no other stay where they are. The others stand together with their kin, the smallest id that
+    they may be similar to, in blocks of at most ``width``, and the smaller block's sets are sent to
+    the larger: of a group of thousands of near copies a set travels once for each hundred others,
+    not once for each pair. All pairs of two blocks that meet are compared.
     """
-    at_least = lambda share: F.ceil(share - 1e-9)  # noqa: E731 (a product just above a whole number is that number)
-    tokens = F.array_distinct(F.transform("set", lambda t: F.xxhash64(t, *cell)))
-    classes = written(sets.where("ident = class_id").select("ident", *cell, tokens.alias("set")).withColumn("n", F.size("set")), "sets")
-    words = classes.select("ident", "n", F.explode("set").alias("t"))
-    counts = words.groupBy(F.col("t").alias("its")).agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    whole = Window.partitionBy("ident")
-    place = F.row_number().over(whole.orderBy("held", "t"))
-    sketch = F.xxhash64(*(F.min(F.xxhash64("t", F.lit(i))).over(whole) for i in range(6)))
-    shared = words.join(counts, F.col("t") == F.col("its")).select("ident", "n", "t", place.alias("place"), F.count(F.lit(1)).over(whole).alias("shared"), sketch.alias("kin"))
-    keys = written(shared.where(F.col("place") <= F.col("shared") - at_least(least * F.col("n")) + 1).select("ident", "n", "t", "kin"), "keys")
-    blocks = _blocks(keys, width)
-    named = keys.select("ident", "t").join(blocks, "ident").groupBy("t", "block").agg(*(F.first(c).alias(c) for c in ("low", "high", "members")), F.count(F.lit(1)).alias("here"))
-    a, b = named.alias("a"), named.alias("b")
-    fits = (F.col("a.high") >= least * F.col("b.low")) & (F.col("b.high") >= least * F.col("a.low"))
-    first = F.struct("a.members", "a.block") < F.struct("b.members", "b.block")
-    once = (F.col("a.block") == F.col("b.block")) & (F.col("a.here") > 1)
-    need = at_least(least / (1 + least) * (F.col("a.low") + F.col("b.low"))) - at_least(least * F.greatest("a.high", "b.high")) + 1
-    met = a.join(b, (F.col("a.t") == F.col("b.t")) & fits & (first | once)).groupBy(F.col("a.block").alias("small"), F.col("b.block").alias("large"), need.alias("need")).agg(F.count(F.lit(1)).alias("common"))
-    met = met.where("common >= need").select("small", "large")
-    standing = classes.join(blocks.select("ident", "block"), "ident")
-    side = lambda x, block: standing.select(F.col("block").alias(block), *(F.col(c).alias(f"{x}_{c}") for c in ["ident", *cell, "n", "set"]))
-    both = met.join(side("x", "small"), "small").join(side("y", "large"), "large")
+    made = sets if callable(sets) else lambda ids=None: sets if ids is None else sets.join(ids, "ident", "left_semi")
+    pairs = written(likeness.candidates(made().where("ident = class_id"), cell, least, listed), "candidates")
+    ends = pairs.select(F.col("left_id").alias("ident"), F.col("left_id").alias("other")).unionByName(pairs.select(F.col("right_id").alias("ident"), F.col("left_id").alias("other")))
+    kin = ends.groupBy("ident").agg(F.min("other").alias("kin"))
+    placed = ranked(kin, ["kin"], "ident", "place")
+    blocks = written(placed.select("ident", "kin", F.floor((F.col("place") - 1) / width).alias("part")).select("ident", F.xxhash64("kin", "part").alias("block")), "blocks")
+    side = lambda x: blocks.select(F.col("ident").alias(f"{x}_id"), F.col("block").alias(f"{x}_block"))
+    met = pairs.join(side("left"), "left_id").join(side("right"), "right_id").select(F.least("left_block", "right_block").alias("small"), F.greatest("left_block", "right_block").alias("large")).distinct()
+    standing = made(blocks.select("ident")).where("ident = class_id").join(_sent(blocks), "ident").select("block", "ident", *cell, F.array_distinct(F.transform("set", lambda t: F.xxhash64(t, *cell))).alias("set"))
+    standing = written(standing.withColumn("n", F.size("set")), "standing")
+    its = lambda x, block: standing.select(F.col("block").alias(block), *(F.col(c).alias(f"{x}_{c}") for c in ["ident", *cell, "n", "set"]))
+    both = met.join(its("x", "small"), "small").join(its("y", "large"), "large")
     both = both.where(((F.col("small") != F.col("large")) | (F.col("x_ident") < F.col("y_ident"))) & (F.col("x_n") >= least * F.col("y_n")) & (F.col("y_n") >= least * F.col("x_n")))
     for c in cell:
         both = both.where(F.col(f"x_{c}").eqNullSafe(F.col(f"y_{c}")))
@@ -138,14 +156,6 @@ def similar_pairs(sets: DataFrame, cell: list[str], least: float, width: int = 1
     return both.where(F.col("similarity") >= least)
 
 
-def _blocks(keys: DataFrame, width: int) -> DataFrame:
-    """``(ident, block, members, low, high)``: sets of one kin in blocks of at most ``width``, by their place in the kin; ``low`` and ``high`` are a block's sizes of sets."""
-    placed = ranked(keys.select("ident", "n", "kin").distinct(), ["kin"], "ident", "place")
-    blocks = written(placed.select("ident", "n", F.xxhash64("kin", F.floor((F.col("place") - 1) / width)).alias("block")), "blocks")
-    sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("members"), F.min("n").alias("low"), F.max("n").alias("high"))
-    return blocks.join(sizes, "block").drop("n")
-
-
 def containing(texts: DataFrame, text_id: str, items: DataFrame, item_id: str) -> DataFrame:
     """Pairs ``(item_id, text_id)`` whose text holds the item's text verbatim.
 

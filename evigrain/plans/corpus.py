@@ -143,9 +143,8 @@ UNION ALL SELECT a.lang, a.doc_id, b.doc_id, round(len(list_intersect(a.s, b.s))
 FROM u a JOIN u b ON a.lang = b.lang AND a.doc_id < b.doc_id AND len(a.s) >= 0.8 * len(b.s) AND len(b.s) >= 0.8 * len(a.s) WHERE len(list_intersect(a.s, b.s)) >= 0.8 * len(list_distinct(list_concat(a.s, b.s)))""")
 def near_duplicates(table):
     """Documents of a language that share most of their words: pairs of the first documents of each word set, and every other document with the first of its set."""
-    docs = table("documents").select("doc_id", "lang", T.tokens(F.col("text")).alias("tokens"))
-    sets = relational.token_sets(docs, "doc_id", ["lang"], "tokens")
-    copies = sets.where("ident <> class_id").select("lang", F.col("class_id").alias("left_id"), F.col("ident").alias("right_id"), F.lit(1.0).alias("similarity"))
+    members, sets = relational.set_classes(table("documents").select("doc_id", "lang", "text"), "doc_id", ["lang"], T.tokens(F.col("text")))
+    copies = members.where("ident <> class_id").select("lang", F.col("class_id").alias("left_id"), F.col("ident").alias("right_id"), F.lit(1.0).alias("similarity"))
     return copies.unionByName(relational.similar_pairs(sets, ["lang"], 0.8)).withColumn("similarity", F.round("similarity", 6))
 
 
