@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evigrain.functions import text as T
 from evigrain.operators import relational
+from evigrain.sources.staging import written
 
 #: Fixed value: the label of a side that has no row.
 NO_CLAIM = "<no_claim>"
@@ -118,12 +119,12 @@ def labelled(found: DataFrame) -> DataFrame:
     return found.where("kind <> 'new'").select(side("gold").alias("truth"), side("predicted").alias("predicted"))
 
 
-def discovery_tags(docs: DataFrame, gold: DataFrame, cell: list[str], least: float) -> DataFrame:
-    """``(doc_id, tag)``: KNOWN where the document is in ``gold`` or its ``tokens`` overlap with those of a gold row of its cell by ``least`` or more, else NEW."""
-    sets = relational.token_sets(docs, "doc_id", cell, "tokens")
-    members = sets.select(F.col("ident").alias("doc_id"), "class_id")
-    listed = members.join(gold, "doc_id", "left_semi").select("class_id").distinct()
-    pairs = relational.similar_pairs(sets, cell, least).select("left_id", "right_id")
+def discovery_tags(docs: DataFrame, gold: DataFrame, cell: list[str], least: float, tokens: str | Column = "tokens") -> DataFrame:
+    """``(doc_id, tag)``: KNOWN where the document is in ``gold`` or its ``tokens``, a column or what makes it, overlap with those of a gold row of its cell by ``least`` or more, else NEW."""
+    members, sets = relational.set_classes(docs, "doc_id", cell, tokens)
+    members = members.select(F.col("ident").alias("doc_id"), "class_id")
+    listed = written(members.join(gold, "doc_id", "left_semi").select("class_id").distinct(), "listed")
+    pairs = written(relational.similar_pairs(sets, cell, least, listed=listed).select("left_id", "right_id"), "similar")
     both = pairs.unionByName(pairs.select(F.col("right_id").alias("left_id"), F.col("left_id").alias("right_id")))
     near = both.join(listed, F.col("right_id") == F.col("class_id"), "left_semi").select(F.col("left_id").alias("class_id"))
     hit = members.join(near.unionByName(listed).distinct(), "class_id", "left_semi").select("doc_id").unionByName(gold.select("doc_id")).distinct().withColumn("tag", F.lit("KNOWN"))

@@ -80,9 +80,9 @@ k AS (SELECT * FROM d WHERE gold), m AS (SELECT DISTINCT n.doc_id FROM d n JOIN
 SELECT doc_id, CASE WHEN gold OR m.doc_id IS NOT NULL THEN 'KNOWN' ELSE 'NEW' END AS tag FROM d LEFT JOIN m USING (doc_id)""")
 def discovery_tag(table):
     """KNOWN if the document itself is registered (well labelled), or its words overlap by 0.6 or more with a registered document of its language and source."""
-    docs = table("documents").select("doc_id", "lang", "source", T.tokens(F.col("text")).alias("tokens"))
+    docs = table("documents").select("doc_id", "lang", "source", "text")
     gold = table("labels").where("quality = 1").select("doc_id").distinct()
-    return matching.discovery_tags(docs, gold, ["lang", "source"], 0.6)
+    return matching.discovery_tags(docs, gold, ["lang", "source"], 0.6, T.tokens(F.col("text")))
 
 
 @query("""WITH g AS (SELECT DISTINCT b.item_id, lower(d.lang) AS lang, d.doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), r AS (SELECT item_id, lang, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS rank FROM g)

@@ -3,8 +3,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
-from evigrain.operators import likeness, relational
+from evigrain.operators import likeness, matching, relational
 
 
 @pytest.fixture
@@ -45,3 +46,20 @@ def test_only_kin_is_written_out(spark, sets, monkeypatch):
     assert {(r.left_id, r.right_id) for r in found} == _pairs(sets, 0.8) and len(found) > 3
     whole = [name for name, t in tables.items() if any(kind.startswith("array") for _, kind in t.dtypes)]
     assert whole == ["standing"] and tables["standing"].count() < 40
+
+
+def test_tags_compare_listed_with_others_alone(spark, sets, monkeypatch):
+    asked = []
+
+    def noted(*args, found=likeness.candidates):
+        asked.append(found(*args).collect())
+        return spark.createDataFrame(asked[-1], "left_id long, right_id long")
+
+    monkeypatch.setattr(likeness, "candidates", noted)
+    docs = spark.createDataFrame([(i, "c", " ".join(sorted(s))) for i, s in enumerate(sets)] + [(9999, "c", None), (9998, "c", "")], "doc_id long, cell string, text string")
+    marks = {*range(6), *range(306, 312)}
+    gold = spark.createDataFrame([(i,) for i in [*marks, 9998]], "doc_id long")
+    tags = {r.doc_id: r.tag for r in matching.discovery_tags(docs, gold, ["cell"], 0.6, F.split("text", " ")).collect()}
+    known = {*marks, 9998} | {x for i, j in _pairs(sets, 0.6) for x, y in ((i, j), (j, i)) if y in marks}
+    assert {i for i, t in tags.items() if t == "KNOWN"} == known and len(known) > 18 and len(tags) == len(sets) + 2
+    assert asked and all((r.left_id in marks) != (r.right_id in marks) for r in asked[0])
