@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evigrain.functions import text as T
-from evigrain.operators import relational, rules
+from evigrain.operators import nearest, relational, rules
 from evigrain.plans.corpus import LINES_SQL
 from evigrain.plans.registry import query, sql_list, tokens_sql
 
@@ -97,10 +97,7 @@ def rrf_hybrid(table):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT * FROM r WHERE rank <= 10""")
 def dense_topk(table):
     """The ten nearest rows of each query row, one in fifty, among all rows."""
-    rows = table("embeddings").select("vec_id", "embedding")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = rows.join(asked, F.col("query_id") != F.col("vec_id")).select("query_id", "vec_id", F.round(T.dot(F.col("q"), F.col("embedding")), 6).alias("score"))
-    return relational.top_k(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], 10)
+    return nearest.top_products(table("embeddings").select("vec_id", "embedding"), "vec_id % 50 = 0", 10)
 
 
 @query("SELECT d.source, count(*) AS pairs, count(DISTINCT b.item_id) AS items FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY d.source")
