@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,7 +62,7 @@ def _groups(table: pa.Table) -> dict[tuple, tuple[np.ndarray, np.ndarray, np.nda
     """``(block, listed, bytes)`` to the ids, sizes and bitmaps of its sets, smallest first; bitmaps stand in columns."""
     number = lambda c: table.column(c).to_numpy()
     bits = table.column("bits").combine_chunks()
-    keys, found = list(zip(number("no").tolist(), number("listed").tolist(), pa.compute.binary_length(bits).to_pylist(), strict=True)), {}
+    keys, found = list(zip(number("no").tolist(), number("listed").tolist(), pc.binary_length(bits).to_pylist(), strict=True)), {}
     rows: dict[tuple, list[int]] = {}
     for i, key in enumerate(keys):
         rows.setdefault(key, []).append(i)

@@ -42,11 +42,14 @@ s AS (SELECT page_id, block_id, row_id, CASE WHEN contains(x, y) OR contains(y,
 SELECT page_id AS page, block_id, row_id, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY page_id, block_id ORDER BY score DESC, row_id) AS r FROM s WHERE score >= 0.3) WHERE r = 1""")
 def layout_overlap(table):
     """The sentence or link label of its page that each block of a page overlaps best."""
-    blocks = elements.html_blocks(table("pages")).select(F.col("page_id").alias("page"), F.col("seq").alias("block_id"), "text")
-    parts = blocks.select("page", "block_id", F.posexplode(F.split("text", r"\. ", -1)).alias("at", "text"))
-    labels = elements.anchors(table("pages")).select(F.col("page_id").alias("page"), (F.lit(10000000) + F.col("seq")).cast("long").alias("row_id"), F.col("label").alias("text"))
-    rows = parts.select("page", (F.col("block_id") * 1000 + F.col("at")).cast("long").alias("row_id"), "text").unionByName(labels)
-    return overlap.best_overlap(blocks, rows).withColumn("score", F.round("score", 6))
+    blocks = elements.html_blocks(table("pages")).select(F.col("page_id").alias("page"), F.col("seq").cast("long").alias("block_id"), "text")
+    side = lambda block, row, text: F.struct(block.cast("long").alias("block_id"), row.cast("long").alias("row_id"), text.alias("text"))
+    none = F.lit(None)
+    parts = F.transform(F.split("text", r"\. ", -1), lambda t, at: side(none, F.col("block_id") * 1000 + at, t))
+    both = blocks.select("page", F.explode(F.concat(F.array(side(F.col("block_id"), none, F.col("text"))), parts)).alias("x")).select("page", "x.*")
+    labels = elements.anchors(table("pages")).select(F.col("page_id").alias("page"), none.cast("long").alias("block_id"), (F.lit(10000000) + F.col("seq")).cast("long").alias("row_id"), F.col("label").alias("text"))
+    best = overlap.best_of_sides(both.unionByName(labels))
+    return best.withColumn("block_id", F.col("block_id").cast("int")).withColumn("score", F.round("score", 6))
 
 
 @query(rf"""WITH c AS (SELECT page_id, regexp_replace(html, '(?is)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<noscript[^>]*>.*?</noscript>|<!--.*?-->', '<i>', 'g') AS h FROM pages),
